@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.scalars import blank, facet_value, is_month, is_year, leading_int
+from paperloom.operators.ranking import global_rank
 
 # Names that listings accept, by facet type.
 FACET_TYPES = (
@@ -36,13 +37,12 @@ def incidence(df: DataFrame, key: str, facets: dict[str, Column]) -> DataFrame:
 
 
 def nodes(pairs: DataFrame, key: str) -> DataFrame:
-    """(node_id, facet_type, value, paper_count).  Ids are ranks within (type, value) order, the same on every run: ranks
-    count within a type, and a type's ids start after those of the types before it."""
+    """(node_id, facet_type, value, paper_count).  Ids are ranks within (type, value) order, the same on every run."""
     counted = pairs.groupBy("facet_type", "value").agg(F.count(F.lit(1)).alias("paper_count"))
+    ranked = global_rank(counted, "value", "r", within=["facet_type"])
     sizes = counted.groupBy("facet_type").agg(F.count(F.lit(1)).alias("n"))  # a row per facet type: at most 13
     before = F.coalesce(F.sum("n").over(Window.orderBy("facet_type").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(F.col("facet_type").alias("t"), before.alias("before"))
-    ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("facet_type").orderBy("value")))
     joined = ranked.join(F.broadcast(starts), F.col("facet_type") == F.col("t"))
     return joined.select((F.col("r") + F.col("before")).cast("long").alias("node_id"), "facet_type", "value", "paper_count")
 
