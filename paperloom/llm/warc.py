@@ -91,18 +91,21 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
     return Archive(spark, path)
 
 
-def reconstruct(archive: Archive) -> DataFrame:
-    """(page_id, record binary): every original record, byte for byte.  Responses fetch their payload by digest, one to
-    one; revisits have none, so the payload of a large group of copies moves once.  A payload whose SHA-256 is not its
-    key, or that is missing, is an error."""
+def _parts(archive: Archive) -> DataFrame:
+    """The responses as they were: their header parts, and their payload fetched by digest, one to one.  A payload whose
+    SHA-256 is not its key, or that is missing, is an error."""
     good = F.sha2("payload", 256) == F.col("strong")
     payloads = archive.payloads.select("strong", F.when(good, F.col("payload")).otherwise(F.raise_error(F.lit("a stored payload is damaged")).cast("binary")).alias("payload"))
-    records = archive.records
+    found = archive.records.where("record_type = 'response'").join(payloads, "strong", "left")
+    return found.withColumn("payload", F.coalesce(F.col("payload"), F.raise_error(F.lit("a payload is missing")).cast("binary")))
+
+
+def reconstruct(archive: Archive) -> DataFrame:
+    """(page_id, record binary): every original record, byte for byte.  Revisits hold no payload, so the payload of a large
+    group of copies moves once."""
     end = F.lit(CRLF * 2).cast("binary")
-    full = records.where("record_type = 'response'").join(payloads, "strong", "left")
-    body = F.coalesce(F.col("payload"), F.raise_error(F.lit("a payload is missing")).cast("binary"))
-    whole = full.select("page_id", F.concat("header", "http", body, end).alias("record"))
-    return whole.unionByName(records.where("record_type = 'revisit'").select("page_id", F.concat("header", "http", end).alias("record")))
+    whole = _parts(archive).select("page_id", F.concat("header", "http", "payload", end).alias("record"))
+    return whole.unionByName(archive.records.where("record_type = 'revisit'").select("page_id", F.concat("header", "http", end).alias("record")))
 
 
 def _line(name: str) -> Column:
@@ -110,18 +113,16 @@ def _line(name: str) -> Column:
 
 
 def read_index(archive: Archive) -> DataFrame:
-    """(page_id, payload_bytes, payload_digest, record_type, refers_to), read back from the stored bytes: types, links and
-    digests from the record headers, lengths and digests once more from each payload, which must agree."""
-    digest = base32_of_hex(F.sha1("payload"), 40)
-    good = F.sha2("payload", 256) == F.col("strong")
-    found = archive.payloads.select("strong", F.octet_length("payload").cast("long").alias("payload_bytes"), F.when(good, digest).otherwise(F.raise_error(F.lit("a stored payload is damaged"))).alias("found_digest"))
-    said = archive.records.select(
-        "strong",
-        F.nullif(_line("WARC-X-Page"), F.lit("")).cast("long").alias("page_id"),
-        _line("WARC-Type").alias("record_type"),
-        F.regexp_replace(_line("WARC-Payload-Digest"), "^sha1:", "").alias("said_digest"),
-        F.nullif(_line("WARC-X-Refers-To-Page"), F.lit("")).cast("long").alias("refers_to"),
-    )
-    joined = said.join(found, "strong", "left")
-    same = F.when(F.col("said_digest") == F.col("found_digest"), F.col("said_digest")).otherwise(F.raise_error(F.lit("a record's digest is not its payload's")))
-    return joined.select("page_id", "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to")
+    """(page_id, payload_bytes, payload_digest, record_type, refers_to), read back from the archive: types, links and
+    digests from the record headers, lengths and digests once more from the reconstructed responses, which must agree.
+    Revisits take those of the response that has their payload."""
+    page = F.nullif(_line("WARC-X-Page"), F.lit("")).cast("long").alias("page_id")
+    said = F.regexp_replace(_line("WARC-Payload-Digest"), "^sha1:", "").alias("said")
+    found = base32_of_hex(F.sha1("payload"), 40).alias("payload_digest")
+    responses = _parts(archive).select("strong", page, F.octet_length("payload").cast("long").alias("payload_bytes"), found, said)
+    revisits = archive.records.where("record_type = 'revisit'").select("strong", page, said, F.nullif(_line("WARC-X-Refers-To-Page"), F.lit("")).cast("long").alias("refers_to"))
+    by_payload = responses.groupBy("strong").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    both = responses.select("page_id", "payload_bytes", "payload_digest", "said", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    both = both.unionByName(revisits.join(by_payload, "strong").select("page_id", "payload_bytes", "payload_digest", "said", F.lit("revisit").alias("record_type"), "refers_to"))
+    same = F.when(F.col("said") == F.col("payload_digest"), F.col("said")).otherwise(F.raise_error(F.lit("a record's digest is not its payload's")))
+    return both.select("page_id", "payload_bytes", same.alias("payload_digest"), "record_type", "refers_to")
