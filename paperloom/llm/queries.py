@@ -77,7 +77,7 @@ WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
 d AS (SELECT page_id, body, strlen(body)::BIGINT AS payload_bytes, sha1(body) AS h, max(page_id) OVER (PARTITION BY body) AS last_id FROM p)
 SELECT page_id, payload_bytes,
-  list_aggregate(list_transform(generate_series(0, 31), i ->
+  list_aggregate(list_transform(generate_series(0, 31), lambda i:
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
       1 + ((('0x' || substr(h, 1 + 10 * CAST(i // 8 AS INTEGER), 10))::UBIGINT >> CAST(35 - 5 * (i % 8) AS UBIGINT)) % 32)::INTEGER, 1)), 'string_agg', '') AS payload_digest,
   CASE WHEN page_id = last_id THEN 'response' ELSE 'revisit' END AS record_type,
