@@ -10,10 +10,13 @@ import html
 import re
 import unicodedata
 from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import PandasUDFType
+from pyspark.sql.types import DoubleType
 
 # Fixed values.
 GREEK = {
@@ -24,14 +27,18 @@ GREEK = {
 
 
 def per_text(kind: str) -> Callable[[Callable], Callable[..., Column]]:
-    """A column function that maps one text at a time, nulls to null, in Arrow batches."""
+    """A column function that maps one text at a time, nulls to null, in Arrow batches.  It is made at its first use: until
+    then no session is needed."""
 
     def wrap(f: Callable) -> Callable[..., Column]:
-        @F.pandas_udf(kind)
-        def run(s: pd.Series) -> pd.Series:
-            return pd.Series([None if x is None else f(x) for x in s], index=s.index, dtype=object)
+        @cache
+        def made() -> Callable[..., Column]:
+            def run(s: pd.Series) -> pd.Series:
+                return pd.Series([None if x is None else f(x) for x in s], index=s.index, dtype=object)
 
-        return run
+            return F.pandas_udf(run, kind, functionType=PandasUDFType.SCALAR)
+
+        return lambda c: made()(c)
 
     return wrap
 
@@ -145,7 +152,7 @@ plain_text_col = per_text("string")(plain_text)
 display_title_col = per_text("string")(display_title)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio_col(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b)], index=a.index, dtype="float64")
 

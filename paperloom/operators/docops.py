@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from paperloom.functions import markdown as M
 from paperloom.functions import spans as S
@@ -105,12 +106,12 @@ def repaired(df: DataFrame, key: str, text: str, find: Column, errors: Callable[
     return spliced(df, key, text, moves), done.unionByName(report)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def failure_col(source: pd.Series, target: pd.Series, lang: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else T.failure(s, t, g) for s, t, g in zip(source, target, lang)], index=source.index, dtype=object)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def realigned_col(source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or t is None else T.realigned(s, T.typos_fixed(t, set(T.PLACEHOLDER.findall(s)))) for s, t in zip(source, target)], index=source.index, dtype=object)
 

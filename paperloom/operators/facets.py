@@ -31,11 +31,15 @@ def incidence(df: DataFrame, key: str, facets: dict[str, Column]) -> DataFrame:
     pairs = []
     for kind, c in facets.items():
         values = c if dict(df.select(c.alias("c")).dtypes)["c"].startswith("array") else F.array(c)
-        pairs.append(F.transform(values, lambda v, k=kind: F.struct(F.lit(k).alias("facet_type"), facet_value(v).alias("value"))))
+        pairs.append(F.transform(values, _typed(kind)))
     wide = df.select(F.col(key), F.explode(F.concat(*[F.coalesce(p, F.array().cast("array<struct<facet_type:string,value:string>>")) for p in pairs])).alias("f"))
     return wide.select(key, "f.*").where(~F.col("value").isin("", "unknown")).distinct()
 
 
+def _typed(kind: str):
+    return lambda v: F.struct(F.lit(kind).alias("facet_type"), facet_value(v).alias("value"))
+
+
 def nodes(pairs: DataFrame, key: str) -> DataFrame:
     """(node_id, facet_type, value, paper_count).  Ids are ranks within (type, value) order, the same on every run."""
     counted = pairs.groupBy("facet_type", "value").agg(F.count(F.lit(1)).alias("paper_count"))
