@@ -104,7 +104,7 @@ def ordered(messages: DataFrame, owners: DataFrame) -> DataFrame:
 
     A need that was met in an earlier turn asks for nothing.  The others push their calls back, round by round, for as
     many rounds as the longest chain of them; only such chains take part, and a call pushed more often than its
-    conversation has calls is in or behind a circle.
+    conversation has calls is in a circle, or is pushed by one.
     """
     met = owners.select("conv_id", F.col("call_id").alias("need"), F.coalesce("result_turn", "call_turn").alias("met"))
     edges = messages.where("kind = 'call'").select("conv_id", "call_id", "turn", F.explode("needs").alias("need")).distinct()
@@ -118,8 +118,8 @@ def ordered(messages: DataFrame, owners: DataFrame) -> DataFrame:
     while True:
         pushed = state.select("conv_id", F.col("call_id").alias("need"), F.col("ready").alias("r"), F.col("hops").alias("h"), "most")
         to = late.join(pushed, ["conv_id", "need"])
-        later = to.where("r >= turn").groupBy("conv_id", "call_id").agg(F.max(F.struct(F.greatest("r", "met").alias("ready"), (F.col("h") + 1).alias("hops"))).alias("x"), F.first("most").alias("most"))
-        later = later.select("conv_id", "call_id", "x.ready", "x.hops", "most").where("hops <= most + 1")
+        later = to.where("r >= turn").groupBy("conv_id", "call_id").agg(F.max(F.struct(F.greatest("r", "met").alias("ready"), F.least(F.col("h") + 1, F.col("most") + 1).alias("hops"))).alias("x"), F.first("most").alias("most"))
+        later = later.select("conv_id", "call_id", "x.ready", "x.hops", "most")
         both = state.unionByName(later).groupBy("conv_id", "call_id").agg(F.max(F.struct("ready", "hops")).alias("x"), F.first("most").alias("most"))
         new = keep(both.select("conv_id", "call_id", "x.ready", "x.hops", "most"), "order")
         changed = not new.exceptAll(state).isEmpty()
