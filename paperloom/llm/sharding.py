@@ -73,8 +73,10 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 5, id_col: str = "doc
     for s in range(shards):
         starts.append(free)
         free += most[s] - kept.get(s, 0)
-    loose = base.join(sizes, "gid", "left_anti").unionByName(settled.where(~fits).select(base.columns))
-    loose = ranked(loose, [], ["doc_id", "gid"], ["doc_id", "gid", "text_crc32"], "r", 1024)
+    # documents of one group that found no room stay neighbours in the rank, in runs of 64, so they mostly move together
+    moved = settled.where(~fits).select(*base.columns, F.xxhash64("gid", F.floor(F.col("slot") / 64)).alias("run"))
+    alone = base.join(sizes, "gid", "left_anti").select(*base.columns, F.xxhash64("doc_id", "gid").alias("run"))
+    loose = ranked(moved.unionByName(alone), [], ["run"], ["run", "gid", "doc_id", "text_crc32"], "r", 1024).drop("run")
     # shards that take none share their start with the next one; the last of equal starts is the one with room
     lot = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("r"))) - 1
     dealt = loose.withColumn("shard", lot.cast("int"))
