@@ -15,7 +15,6 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import PandasUDFType
 from pyspark.sql.types import DoubleType
 
 # Fixed values.
@@ -36,7 +35,7 @@ def per_text(kind: str) -> Callable[[Callable], Callable[..., Column]]:
             def run(s: pd.Series) -> pd.Series:
                 return pd.Series([None if x is None else f(x) for x in s], index=s.index, dtype=object)
 
-            return F.pandas_udf(run, kind, functionType=PandasUDFType.SCALAR)
+            return F.pandas_udf(run, kind)
 
         return lambda c: made()(c)
 

@@ -113,7 +113,7 @@ def failure_col(source: pd.Series, target: pd.Series, lang: pd.Series) -> pd.Ser
 
 @F.pandas_udf(StringType())
 def realigned_col(source: pd.Series, target: pd.Series) -> pd.Series:
-    return pd.Series([None if s is None or t is None else T.realigned(s, T.typos_fixed(t, set(T.PLACEHOLDER.findall(s)))) for s, t in zip(source, target)], index=source.index, dtype=object)
+    return pd.Series([None if s is None or t is None else T.realigned(s, T.typos_fixed(t, set(T.PLACEHOLDER.findall(s)))) if t.strip() else t for s, t in zip(source, target)], index=source.index, dtype=object)
 
 
 def translate(df: DataFrame, key: str, text: str, lang: str, call: Callable[[DataFrame], DataFrame], most: int = 4000, group: int = 8000, level: str = "moderate", rounds: int = 3) -> tuple[DataFrame, DataFrame]:
