@@ -3,6 +3,7 @@ import math
 import duckdb
 import pytest
 
+from paperloom import queries_more  # noqa: F401
 from paperloom.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.001"
