@@ -103,16 +103,16 @@ def ranked(posts: DataFrame, key: str, query: TextQuery, docs: Column | None = N
         return posts.select(key, F.lit(0.0).alias("score")).limit(0)
     weights = WEIGHTS if weights is None else weights
     sizes = lengths(posts, key) if sizes is None else sizes
-    whole = sizes.agg(F.count(F.lit(1)).alias("all_docs"), F.avg("tokens").alias("mean"))  # one row
+    documents, mean = sizes.agg(F.count(F.lit(1)), F.avg("tokens")).first()
     hits = phrase_hits(posts, key, query)
     weight = F.lit(1.0)
     for name, w in weights.items():
         weight = F.when(F.col("col") == name, F.lit(w)).otherwise(weight)
     per_doc = hits.groupBy(key, "phrase").agg(F.sum(weight * F.col("tf")).alias("f"))
     n = per_doc.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))  # a row per phrase of the query
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("all_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
-    scored = per_doc.join(F.broadcast(n), "phrase").join(sizes, key).crossJoin(F.broadcast(whole))
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("tokens") / F.col("mean")))
+    idf = F.greatest(F.lit(1e-6), F.log((F.lit(documents) - F.col("n") + 0.5) / (F.col("n") + 0.5)))
+    scored = per_doc.join(F.broadcast(n), "phrase").join(sizes, key)
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("tokens") / F.lit(mean or 1.0)))
     total = scored.groupBy(key).agg((-F.sum(part)).alias("score"), F.collect_set("phrase").alias("has"))
     wanted = F.array(*[F.array(*map(F.lit, g)) for g in query.groups])
     return total.where(F.exists(wanted, lambda g: F.size(F.array_intersect(g, F.col("has"))) == F.size(g))).select(key, "score")

@@ -171,9 +171,9 @@ def coverage(paper: DataFrame) -> DataFrame:
 
 def coverage_by(paper: DataFrame, bridge: DataFrame, value: str, key: str = "paper_id") -> DataFrame:
     """(value, has, missing, ratio) for each value of a bridge."""
-    total = paper.agg(F.count(F.lit(1)).alias("total"))  # one row
+    total = paper.count()
     has = bridge.groupBy(value).agg(F.count_distinct(key).alias("has"))
-    return has.crossJoin(F.broadcast(total)).select(value, "has", (F.col("total") - F.col("has")).alias("missing"), F.round(F.col("has") / F.col("total"), 4).alias("ratio"))
+    return has.select(value, "has", (F.lit(total) - F.col("has")).alias("missing"), F.round(F.col("has") / F.lit(total), 4).alias("ratio"))
 
 
 def missing(paper: DataFrame, bridge: DataFrame, condition: Column, key: str = "paper_id") -> DataFrame:

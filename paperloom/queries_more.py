@@ -119,10 +119,10 @@ def text_normal_forms(spark, d):
     )
 
 
-@query("""SELECT doc_id, 'x [[[' || lang || ']]] y ' || source AS snippet FROM documents WHERE lang = 'de'""")
+@query("""SELECT doc_id, 'x [[[' || lang || ']]] y ' || source AS snippet FROM documents""")
 def search_snippet(spark, d):
-    shaped = docs(spark, d).where("lang = 'de'").select("doc_id", F.concat(F.lit("x "), "lang", F.lit(" y "), "source").alias("t"))
-    return shaped.select("doc_id", U.snippet_col(F.col("t"), ["de"]).alias("snippet"))
+    shaped = docs(spark, d).select("doc_id", F.concat(F.lit("x "), "lang", F.lit(" y "), "source").alias("t"))
+    return shaped.select("doc_id", U.snippet_col(F.col("t"), ["de", "en", "es", "fr"]).alias("snippet"))
 
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'placeholders_mismatch' WHEN 1 THEN 'empty_output' WHEN 2 THEN 'missing_target_script ratio=1.00' END AS why FROM documents""")
@@ -133,11 +133,10 @@ def translation_gate(spark, d):
     return docs(spark, d).select("doc_id", docops.failure_col(plain, target, F.lit("zh")).alias("why"))
 
 
-@query("""SELECT doc_id, '{"a":"two:a:' || length(text) || '","b":"two:b:' || length(text) || '"}' AS record FROM documents WHERE doc_id % 10 = 0 AND length(text) <> 1 AND text <> ''""")
+@query("""SELECT doc_id, '{"a":"two:a:' || length(text) || '","b":"two:b:' || length(text) || '"}' AS record FROM documents""")
 def workflow_merged(spark, d):
-    some = docs(spark, d).where("doc_id % 10 = 0 AND text != '' AND length(text) != 1")
     stages = [workflow.Stage("one", ("a",)), workflow.Stage("two", ("a", "b"))]
-    return workflow.run_stages(some, "doc_id", "text", stages, workflow.echo).merged
+    return workflow.run_stages(docs(spark, d), "doc_id", "text", stages, workflow.echo).merged
 
 
 @query("""SELECT 'summary/' || doc_id || '/' || lang || '.json' AS path, '{"paper_id":"' || doc_id || '","paper_title":"' || source || '","year":"2020","venue":"v","template_tag":"' || lang || '","summary":"s"}' AS json FROM documents
