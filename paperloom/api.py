@@ -69,22 +69,24 @@ class Library:
         pairs = snapshot["paper_facet"].join(snapshot["facet_node"].select("node_id", "facet_type", "value"), "node_id")
         self.pairs = pairs.select("paper_id", "facet_type", "value")
         self.texts = texts
-        self._posts: DataFrame | None = None
+        self._index: tuple[DataFrame, DataFrame] | None = None
 
     # Full text
 
     @property
-    def postings(self) -> DataFrame:
-        """Tokenised once, kept in the shared folder: no query reads the texts again."""
-        if self._posts is None:
+    def index(self) -> tuple[DataFrame, DataFrame]:
+        """Postings in order of term, and tokens by paper: made once and kept in the shared folder, so that no query reads
+        the texts again."""
+        if self._index is None:
             from paperloom.plans.storage import keep
 
             meta = self.lists().select("paper_id", F.concat_ws(" ", F.flatten(F.array("authors", "keywords", "institutions", "tags"))).alias("m"))
             wide = self.papers.select("paper_id", "title", F.col("summary_preview").alias("summary"), "venue", "year", "doi").join(meta, "paper_id", "left")
             wide = wide.join(self.texts, "paper_id", "left") if self.texts is not None else wide.withColumns({"source": F.lit(""), "translated": F.lit("")})
             columns = {c: F.col(c) for c in ("title", "summary", "source", "translated")} | {"metadata": F.concat_ws(" ", "m", "venue", "year", "doi")}
-            self._posts = keep(search.postings(wide, "paper_id", columns), "postings")
-        return self._posts
+            posts = keep(search.by_term(search.postings(wide, "paper_id", columns), "paper_id"), "postings")
+            self._index = posts, keep(search.lengths(posts, "paper_id"), "lengths")
+        return self._index
 
     def search(self, text: str = "", sort: str = "", page: int = 1, page_size: int = 20) -> Page:
         text = checked_query(text)
@@ -92,7 +94,8 @@ class Library:
         rows = self.papers
         query = search.parse(text)
         if text:
-            rows = rows.join(search.ranked(self.postings, "paper_id", query), "paper_id")
+            posts, sizes = self.index
+            rows = rows.join(search.ranked(posts, "paper_id", query, sizes=sizes), "paper_id")
         elif sort == "relevance":
             raise ValueError("relevance needs a query")
         order = ["score"] if sort == "relevance" else search_sort(sort, F.col("title"), F.col("venue"), F.col("year"))

@@ -77,6 +77,12 @@ def postings(df: DataFrame, key: str, columns: dict[str, Column], native: bool =
     return each.select(key, "x.col", F.posexplode("x.tokens").alias("pos", "term"))
 
 
+def by_term(posts: DataFrame, key: str) -> DataFrame:
+    """Postings in order of term, so that a query's filter on terms reads only the row groups that hold them.  The key breaks
+    ties: a term of very many postings spans several partitions."""
+    return posts.repartitionByRange("term", key).sortWithinPartitions("term", key, "col", "pos")
+
+
 def lengths(posts: DataFrame, key: str) -> DataFrame:
     """(key, tokens): tokens of a document in all columns."""
     return posts.groupBy(key).agg(F.count(F.lit(1)).alias("tokens"))
@@ -93,7 +99,7 @@ def phrase_hits(posts: DataFrame, key: str, query: TextQuery) -> DataFrame:
     return whole.groupBy(key, "phrase", "col").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def ranked(posts: DataFrame, key: str, query: TextQuery, docs: Column | None = None, weights: dict[str, float] | None = None, sizes: DataFrame | None = None) -> DataFrame:
+def ranked(posts: DataFrame, key: str, query: TextQuery, weights: dict[str, float] | None = None, sizes: DataFrame | None = None) -> DataFrame:
     """(key, score) of the documents that match; lower scores are better.
 
     For each phrase, idf = ln((N - n + 0.5) / (n + 0.5)), at least 1e-6, and f is its frequency weighted by column;
