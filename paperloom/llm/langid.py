@@ -10,9 +10,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.shared import map_texts
+
 #: Everything in ASCII but letters becomes a space, so that subwords are of letters and word ends.
 SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 UNKNOWN = "und"
+#: Languages that are learned at most, the most frequent ones: bounds what the driver gathers.
+MOST_LANGUAGES = 500
 
 
 def subwords(text: str, bits: int = 15) -> np.ndarray:
@@ -107,7 +111,7 @@ def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_
     """About ``per_language`` labelled documents of each language outside the held-out fold, never over twice that many:
     those whose id's hash falls under the language's share.  Only these reach the driver."""
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
+    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
     if not sizes:
         return [], []
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, per_language / v))])
@@ -137,7 +141,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gone, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return map_texts(narrow, run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -153,4 +157,4 @@ def filter_texts(docs: DataFrame, wanted, text_col: str = "text") -> DataFrame:
             at = batch.schema.get_field_index(text_col)
             yield batch.filter(pa.array([bool(wanted(t.as_py())) for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_texts(docs, run, docs.schema)

@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.shared import map_texts
 from paperloom.llm.tokens import load_tokenizer
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
@@ -166,4 +167,5 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, tiers: tuple[int,
         if packer.rows:
             yield out()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, PIECES)
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return map_texts(narrow, run, PIECES)

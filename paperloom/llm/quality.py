@@ -11,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.llm.langid import filter_texts
+from paperloom.llm.shared import keep, map_texts
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -137,7 +140,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *counts, pa.array([_pattern(r[1]) for r in rows], pa.int64())], ["doc_id", *COLUMNS, "pattern"])
 
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS) + ", pattern long")
+    return map_texts(narrow, run, "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS) + ", pattern long")
 
 
 def _pattern(cast: tuple[int, ...]) -> int:
@@ -174,15 +177,11 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lea
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     posterior.  A null text has no words, so it fails; ids may be null or repeated; other columns are ignored; an empty
     table gives an empty result.  Statistics come from all rows; the marks are written to the shared folder once."""
-    from paperloom.llm.shared import keep
-
     return score(keep(measured(docs, id_col, text_col), "marks"), least)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that ``quality`` keeps.  The second pass measures again rather than join texts by id."""
-    from paperloom.llm.langid import filter_texts
-
     posterior = fit(measured(docs, id_col, text_col))
 
     def wanted(text: str | None) -> bool:

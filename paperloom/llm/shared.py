@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,18 +32,39 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_texts(df: DataFrame, f: Callable, schema: str | StructType) -> DataFrame:
+    """``mapInArrow`` for rows that hold texts: batches of at most 8 MB (or what the session already says, if that is less),
+    whatever the length of the texts, bound a worker's memory."""
+    conf = df.sparkSession.conf
+    if _mega(conf.get(BATCH_BYTES, "64m")) > 8:
+        conf.set(BATCH_BYTES, "8m")
+    return df.mapInArrow(f, schema)
+
+
+def _mega(size: str) -> float:
+    number, unit = re.fullmatch(r"(\d+)([kmg]?)b?", size.strip().lower()).groups()
+    return int(number) / {"": 1 << 20, "k": 1 << 10, "m": 1, "g": 1 / (1 << 10)}[unit]
+
+
 def base32_of_hex(hex_digest: Column, n_hex: int) -> Column:
     """RFC 4648 base32 (upper case, no padding) of a hex string whose length is a multiple of ten digits."""
     parts = [F.lpad(F.conv(F.substring(hex_digest, i + 1, 10), 16, 32), 8, "0") for i in range(0, n_hex, 10)]
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def ranked(df: DataFrame, part: list[str], spread: list[str], order: list[str], out: str, buckets: int = 256) -> DataFrame:
+#: Bucket sizes of at most so many rows are broadcast; more are joined by key.
+BROADCAST_ROWS = 65_536
+
+
+def ranked(df: DataFrame, part: list[str], spread: list[str], order: list[str], out: str, buckets: int = 256, parts: int = 1) -> DataFrame:
     """Add ``out``: a gapless rank from 0 within ``part``, computed without one task per value of ``part``.
 
     Rows are dealt to ``buckets`` by a hash of ``spread``; the rank counts bucket by bucket and, in a bucket, by ``order``.
-    The table of bucket sizes has at most ``buckets`` rows for each value of ``part``, which the caller bounds; that bound
-    is what the broadcast rests on.  Rows that are equal in ``order`` are interchangeable.
+    ``parts`` bounds the values of ``part``: the table of bucket sizes has at most ``buckets * parts`` rows, and only if
+    that is under BROADCAST_ROWS is it broadcast.  Rows that are equal in ``order`` are interchangeable.
     """
     b, n, before = f"__{out}_bucket", f"__{out}_n", f"__{out}_before"
     keyed = df.withColumn(b, F.pmod(F.xxhash64(*spread), F.lit(buckets)))
@@ -53,5 +77,5 @@ def ranked(df: DataFrame, part: list[str], spread: list[str], order: list[str],
     same = F.col(b) == F.col("__b")
     for p in part:
         same = same & F.col(p).eqNullSafe(F.col(f"__p_{p}"))
-    joined = numbered.join(F.broadcast(renamed), same, "left")
+    joined = numbered.join(F.broadcast(renamed) if buckets * parts <= BROADCAST_ROWS else renamed, same, "left")
     return joined.withColumn(out, (F.col(out) + F.col(before)).cast("long")).select(*df.columns, out)

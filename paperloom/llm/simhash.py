@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.components import components
 from paperloom.llm.golay import fuzzy_keys
-from paperloom.llm.shared import keep
+from paperloom.llm.shared import keep, map_texts
 
 #: A-Z to a-z on UTF-8 bytes; no other byte changes.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -56,7 +56,8 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long) for every row: one narrow pass over whole texts, no shuffle."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    return map_texts(narrow, _fingerprints, "doc_id long, fp long")
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
