@@ -7,7 +7,7 @@ from math import gcd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import ranked
+from paperloom.llm.shared import BROADCAST_ROWS, ranked
 
 #: More sources than this are refused: their counts and windows are tables on the driver.
 MOST_SOURCES = 4096
@@ -73,9 +73,11 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, power: fl
     ``power`` of their size.  The order of documents within a source is by a hash of the id.  While all sources last, each
     has less than one block more or less than its target share of the slots; when one runs out, the same holds of the
     others' shares from there on (after MOST_PHASES such ends, slots of finished sources stay empty).  Null sources are one
-    source; null or repeated ids are rows like any other; an empty table gives an empty result.
+    source; null or repeated ids are rows like any other; columns that have those three names already are replaced; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
+    docs = docs.drop("mix_block", "mix_slot", "mix_place")
     counts = {r[0]: r[1] for r in docs.groupBy(source_col).count().limit(MOST_SOURCES + 1).collect()}
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
@@ -86,8 +88,9 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, power: fl
         aims |= {k: max(1, round(1000 * weights[k] / most)) for k in names if k in weights}
     rows = schedule(spark, [-(-counts[k] // block) for k in names], [aims[k] for k in names])
     plan = _table(spark, names, rows, docs.schema[source_col].dataType)
-    spread = max(1, min(256, 65536 // max(1, len(names))))
-    ordered = ranked(docs, [source_col], [id_col], [F.xxhash64(id_col, F.lit("mix")), F.col(id_col)], "__rank", spread)
+    # about 20,000 documents of the largest source meet in one bucket, whatever its size
+    buckets = max(1, min(256, BROADCAST_ROWS // max(1, len(names))), max(counts.values(), default=0) // 20_000)
+    ordered = ranked(docs, [source_col], [id_col], [F.xxhash64(id_col, F.lit("mix")), F.col(id_col)], "__rank", buckets, len(names))
     placed = ordered.withColumn("mix_block", F.floor(F.col("__rank") / block).cast("long")).withColumn("mix_place", (F.col("__rank") % block).cast("int"))
     inside = F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("mix_block") >= F.col("__first")) & (F.col("mix_block") < F.col("__first") + F.col("__n"))
     joined = placed.join(F.broadcast(plan), inside)

@@ -1,6 +1,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import mixing
 
@@ -49,3 +50,5 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(None, None, None), (1, "a", "x"), (1, "a", "x"), (2, "", None)], "doc_id long, source string, text string")
     assert mixing.mix(df).count() == 4
     assert mixing.mix(df.limit(0)).count() == 0
+    clash = mixing.mix(mixing.mix(df).withColumn("mix_slot", F.lit("clash")))
+    assert clash.columns == mixing.mix(df).columns and clash.count() == 4
