@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import keep
+from paperloom.llm.shared import keep, map_texts
 
 #: Tools by name, each with the JSON schema of its arguments.
 REPLY_TOOLS = {
@@ -137,8 +137,9 @@ def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     ``no id``, ``duplicate call``, ``duplicate result``, ``no call``, ``no result``, ``result before call``, ``unknown
     tool``, ``not JSON``, ``circle``, or the path and keyword of the schema that the arguments break; null if none.
     Repeated rows share their values; a null body is an empty text; null conversations or turns are linked with nothing;
-    an empty table gives an empty result.  Nothing is gathered by conversation, so long ones need no larger task.
+    other columns are ignored; an empty table gives an empty result.  Nothing is gathered by conversation, so long ones need no larger task.
     """
+    messages = messages.select("conv_id", "turn", "kind", "call_id", "name", "body", "needs")
     calls = F.col("kind") == "call"
     usable = messages.where("call_id IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL")
     owners = keep(usable.groupBy("conv_id", "call_id").agg(F.min(F.when(calls, F.col("turn"))).alias("call_turn"), F.min(F.when(F.col("kind") == "result", F.col("turn"))).alias("result_turn")), "owners")
@@ -180,7 +181,7 @@ def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
             head = [batch.column(i) for i in range(7)]
             yield pa.RecordBatch.from_arrays([*head, pa.array(valid, pa.bool_()), pa.array(problems, pa.string()), pa.array(lines, pa.string())], names)
 
-    return rows.mapInArrow(run, LINE)
+    return map_texts(rows, run, LINE)
 
 
 def _line(kind: str, call_id: str | None, name: str | None, body: str, tools: dict[str, dict]) -> tuple[str, str | None]:

@@ -45,6 +45,8 @@ def test_links_and_problems(spark):
         (3, 1, "call", None, "add", '{"a":3}', []),
         (3, 2, "call", "alone", "add", '{"a":3}', []),
     ]
+    clash = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS result_turn", "2 AS ready", "3 AS pushed", "4 AS valid")
+    assert chat.format_chats(clash, TOOLS).count() == len(rows)
     got = run(spark, rows)
     problem = {k: v.problem for k, v in got.items()}
     assert problem[(1, 1, "call", "x")] is None and got[(1, 1, "call", "x")].linked_turn == 2
