@@ -19,15 +19,15 @@ def _place(*columns: Column) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
-def propagate(linked: DataFrame, quota: float, shards: int, rounds: int) -> DataFrame:
-    """``linked`` (doc_id, gid, start: first shard), groups of two or more -> (gid, start, shard).
+def propagate(cells: DataFrame, quota: float, shards: int, rounds: int) -> DataFrame:
+    """``cells`` (gid, start: first shard, n: documents), groups of two documents or more -> (gid, start, shard).
 
     What moves is a cell: the documents of one group that started in one shard, so the table has at most ``shards`` rows
     for a group of any size.  Each round, a group's leading shards are those where it has most documents, as many as it
-    needs at ``quota`` documents each; its other cells ask to move there.  A shard that is asked for more than it has free
+    needs at ``quota`` documents each; its cells ask to move there, into the first until that would be full, and so on.  A shard that is asked for more than it has free
     accepts that share of the groups, by hash; the rest try again in the next round.
     """
-    cells = keep(linked.groupBy("gid", "start").agg(F.count(F.lit(1)).alias("n")).withColumn("shard", F.col("start")), "cells")
+    cells = keep(cells.select("gid", "start", "n", F.col("start").alias("shard")), "cells")
     for k in range(rounds):
         load = {r[0]: r[1] for r in cells.groupBy("shard").agg(F.sum("n")).collect()}  # at most one row a shard
         held = cells.groupBy("gid", "shard").agg(F.sum("n").alias("here"))
@@ -36,9 +36,10 @@ def propagate(linked: DataFrame, quota: float, shards: int, rounds: int) -> Data
         wanted = F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(quota))).cast("int")
         leaders = places.groupBy("gid").agg(F.sort_array(F.collect_list(F.struct("rank", "shard"))).alias("all"), F.first("total").alias("total"), F.first(wanted).alias("m"))
         leaders = leaders.select("gid", "total", F.slice(F.col("all").shard, F.lit(1), F.col("m")).alias("leading"))
-        asked = cells.join(leaders, "gid")
-        to = F.element_at("leading", (F.pmod(F.xxhash64("gid", "start", F.lit(k)), F.size("leading")) + 1).cast("int"))
-        asked = keep(asked.withColumn("to", F.when(F.array_contains("leading", F.col("shard")), F.col("shard")).otherwise(to)).drop("leading"), "asked")
+        earlier = Window.partitionBy("gid").orderBy(F.xxhash64("gid", "start")).rowsBetween(Window.unboundedPreceding, -1)
+        asked = cells.join(leaders, "gid").withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+        turn = F.least(F.floor(F.col("before") / F.lit(quota)), F.size("leading") - 1) + 1
+        asked = keep(asked.withColumn("to", F.element_at("leading", turn.cast("int"))).drop("leading", "before"), "asked")
         demand = {r[0]: r[1] for r in asked.where("to != shard").groupBy("to").agg(F.sum("n")).collect()}
         if not demand:
             break
@@ -58,14 +59,20 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 5, id_col: str = "doc
     repeated ids are rows like any other; other columns are ignored; an empty table gives an empty result; fewer rows than
     shards leave shards empty.  Everything stays in DataFrame operations; what reaches the driver is a row for each shard.
     """
-    base = keep(described(docs, id_col, text_col), "sharding")
+    start = F.pmod(F.xxhash64("doc_id", "gid"), F.lit(shards)).cast("int")
+    base = keep(described(docs, id_col, text_col).withColumn("start", start), "sharding")
     total = base.count()
     most = [total // shards + (s < total % shards) for s in range(shards)]
-    sizes = base.where("gid IS NOT NULL").groupBy("gid").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    linked = base.join(sizes, "gid").withColumn("start", F.pmod(F.xxhash64("doc_id", "gid"), F.lit(shards)).cast("int"))
+    # counted by cell before anything is joined: a group of very many rows is at most ``shards`` rows from here on
+    cells = keep(base.where("gid IS NOT NULL").groupBy("gid", "start").agg(F.count(F.lit(1)).alias("n")), "cells")
+    groups = cells.groupBy("gid").agg(F.sum("n").alias("members")).where("members > 1")
+    linked = keep(cells.join(groups, "gid"), "linked")
     homes = propagate(linked, max(1.0, total / shards), shards, rounds)
-    settled = linked.join(homes, ["gid", "start"]).select("doc_id", "size", "text_crc32", "gid", "shard")
-    settled = keep(ranked(settled, ["shard"], ["gid"], ["gid", "doc_id", "text_crc32"], "slot"), "settled")
+    # a group is ranked as one run, but a large one cell by cell
+    large = F.col("members") > max(64, total // shards // 16)
+    homes = keep(homes.join(linked, ["gid", "start"]).select("gid", "start", "shard", F.xxhash64("gid", F.when(large, F.col("start")).otherwise(-1)).alias("run")), "homes")
+    settled = base.join(homes, ["gid", "start"]).select("doc_id", "size", "text_crc32", "gid", "start", "shard", "run")
+    settled = keep(ranked(settled, ["shard"], ["run"], ["run", "gid", "doc_id", "text_crc32"], "slot", max(256, total // shards // 1_000_000), shards), "settled")
     quota = F.array(*map(F.lit, most))
     fits = F.col("slot") < F.element_at(quota, F.col("shard") + 1)
     kept = {r[0]: r[1] for r in settled.where(fits).groupBy("shard").count().collect()}
@@ -75,8 +82,8 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 5, id_col: str = "doc
         free += most[s] - kept.get(s, 0)
     # documents of one group that found no room stay neighbours in the rank, in runs of 64, so they mostly move together
     moved = settled.where(~fits).select(*base.columns, F.xxhash64("gid", F.floor(F.col("slot") / 64)).alias("run"))
-    alone = base.join(sizes, "gid", "left_anti").select(*base.columns, F.xxhash64("doc_id", "gid").alias("run"))
-    loose = ranked(moved.unionByName(alone), [], ["run"], ["run", "gid", "doc_id", "text_crc32"], "r", 1024).drop("run")
+    alone = base.join(homes, ["gid", "start"], "left_anti").select(*base.columns, F.xxhash64("doc_id", "gid").alias("run"))
+    loose = ranked(moved.unionByName(alone), [], ["run"], ["run", "gid", "doc_id", "text_crc32"], "r", max(1024, total // 1_000_000)).drop("run")
     # shards that take none share their start with the next one; the last of equal starts is the one with room
     lot = F.size(F.filter(F.array(*map(F.lit, starts)), lambda x: x <= F.col("r"))) - 1
     dealt = loose.withColumn("shard", lot.cast("int"))
