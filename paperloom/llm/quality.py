@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,7 @@ def _vote(value: float, good: bool, bad: bool) -> int:
     return GOOD if good else BAD if bad else ABSTAIN
 
 
-RULES = ("length", "repeats", "symbols", "capitals", "exclamations", "variety", "word_length", "duplicate_lines", "cells", "letters")
+RULES = ("length", "repeats", "symbols", "capitals", "exclamations", "variety", "word_length", "duplicate_lines", "cells", "letters", "stutter")
 
 
 def votes(text: str, words: list[str], lines: list[str], counts: tuple[int, ...]) -> tuple[int, ...]:
@@ -71,6 +72,7 @@ def votes(text: str, words: list[str], lines: list[str], counts: tuple[int, ...]
     mean = chars / m
     cells = text.count("|") / m
     letters = sum(map(str.isalpha, text)) / c
+    stutter = sum(map(eq, words, words[1:])) / m
     return (
         _vote(n, n >= 40, n < 20),
         _vote(repeats, 100 * repeats <= 5 * n, 100 * repeats > 30 * n),
@@ -79,9 +81,10 @@ def votes(text: str, words: list[str], lines: list[str], counts: tuple[int, ...]
         _vote(shout, shout <= 0.02, shout > 0.15),
         _vote(variety, variety >= 0.3 or n < 40, variety < 0.05 and n >= 40),
         _vote(mean, 2.5 <= mean <= 9, mean < 2 or mean > 14),
-        _vote(dup, dup <= 0.1 * len(lines), dup > 0.3 * len(lines)),
+        _vote(dup, dup <= 0.1 * len(lines), dup > 0.3 * len(lines) and dup >= 3),
         _vote(cells, cells <= 0.02, cells > 0.25),
-        _vote(letters, letters >= 0.9, letters < 0.7),
+        _vote(letters, letters >= 0.9, letters < 0.6),
+        _vote(stutter, stutter <= 0.05, stutter > 0.2),
     )
 
 
@@ -155,7 +158,7 @@ def _cast(pattern: int) -> list[int]:
 
 
 def fit(patterns: DataFrame) -> dict[int, float]:
-    """Posterior of good for each pattern that occurs.  Only counts by pattern reach the driver: at most 3^10 of them."""
+    """Posterior of good for each pattern that occurs.  Only counts by pattern reach the driver: at most 3^11 of them."""
     found = patterns.groupBy("pattern").count().collect()
     if not found:
         return {}
