@@ -17,6 +17,8 @@ SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 UNKNOWN = "und"
 #: Languages that are learned at most, the most frequent ones: bounds what the driver gathers.
 MOST_LANGUAGES = 500
+#: Pieces that the training has seen are marked in a table of this many bits' length: so many that foreign ones rarely meet them.
+FAMILIAR_BITS = 20
 
 
 def subwords(text: str, bits: int = 15) -> np.ndarray:
@@ -29,6 +31,13 @@ def subwords(text: str, bits: int = 15) -> np.ndarray:
     return np.concatenate([(pairs * np.uint32(0x9E3779B1)) >> shift, (threes * np.uint32(0x85EBCA77) + np.uint32(0x27D4EB2F)) >> shift, (fours * np.uint32(0xC2B2AE3D) + np.uint32(0x165667B1)) >> shift])
 
 
+def familiar_pieces(text: str) -> np.ndarray:
+    """Hashes, of FAMILIAR_BITS bits, of all 4-byte pieces of the text as ``subwords`` sees it."""
+    b = np.frombuffer(b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(SPACED).split()) + b" ", dtype=np.uint8).astype(np.uint32)
+    fours = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
+    return (fours * np.uint32(0xC2B2AE3D) + np.uint32(0x165667B1)) >> np.uint32(32 - FAMILIAR_BITS)
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -41,6 +50,13 @@ class LanguageModel:
     temperature: float
     least_score: float  # predictions below it are rejected
     bits: int
+    familiar: np.ndarray | None = None  # 4-byte pieces that the training has seen
+    least_familiar: float = 0.0  # texts with a smaller share of such pieces are rejected
+
+    def familiarity(self, text: str) -> float:
+        """Share of the text's pieces that the training has seen: the softmax must choose a language, this need not."""
+        found = familiar_pieces(text)
+        return float(self.familiar[found].mean()) if self.familiar is not None and len(found) else 1.0
 
     def logits(self, text: str) -> np.ndarray:
         found = subwords(text, self.bits)
@@ -57,7 +73,7 @@ class LanguageModel:
             return UNKNOWN, 0.0, True
         p = softmax(self.logits(text)[None, :] / self.temperature)[0]
         best = int(p.argmax())
-        return self.languages[best], float(min(1.0, p[best])), bool(p[best] < self.least_score)
+        return self.languages[best], float(min(1.0, p[best])), bool(p[best] < self.least_score or self.familiarity(text) < self.least_familiar)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -65,9 +81,39 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def least(values: np.ndarray, lost: float) -> float:
+    """The value that a share ``lost`` of such values falls short of.  Where fewer than ten do, the lowest tenth gives it by
+    an exponential tail in log-odds, or the lowest value if that is less: a few values say little about a rare one."""
+    x = np.sort(np.clip(values, 1e-9, 1 - 1e-9))
+    if lost * len(x) >= 10:
+        return float(x[int(lost * len(x))])
+    odds = np.log(x / (1 - x))
+    n = max(1, len(x) // 10)
+    start = odds[min(n, len(x) - 1)]
+    cut = start - (start - odds[:n]).mean() * np.log(max(1.0, n / len(x) / lost))
+    return min(float(1 / (1 + np.exp(-cut))), float(x[0])) - 1e-9  # rounding rejects nothing
+
+
+def best_temperature(z: np.ndarray, y: np.ndarray) -> float:
+    """The temperature of least cross entropy.  As in Platt's scaling, of n + 2 rows one counts as wrong, so that there is a
+    minimum even where all are right; a minimum at an edge of the grid is an error."""
+    n, k = z.shape
+    if k == 1 or np.ptp(z, axis=1).max() == 0:
+        return 1.0
+    aim = np.full((n, k), 1 / (n + 2) / (k - 1))
+    aim[np.arange(n), y] = 1 - 1 / (n + 2)
+    grid = np.exp(np.linspace(-12, 12, 481))
+    loss = [-(aim * np.log(softmax(z / t) + 1e-300)).sum() for t in grid]
+    at = int(np.argmin(loss))
+    if at in (0, len(grid) - 1):
+        raise ValueError(f"no temperature within the grid: {grid[at]:.2g} is at its edge")
+    return float(grid[at])
+
+
 def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 15, epochs: int = 12, rate: float = 0.5, seed: int = 0, lost: float = 0.001) -> LanguageModel:
-    """Stochastic gradient descent over single documents; a fifth of them, held back, sets the temperature and the score
-    under which predictions are rejected: that which at most ``lost`` of the right predictions fall short of, halved."""
+    """Stochastic gradient descent over single documents; a fifth of them, held back, sets the temperature, and the score and
+    the share of familiar pieces under which predictions are rejected: those which ``lost`` of the right predictions fall
+    short of."""
     languages = sorted(set(langs))
     if not languages:
         return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), 1.0, 0.0, bits)
@@ -94,12 +140,16 @@ def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 15, epo
     model = LanguageModel(languages, (embed @ layer).astype(np.float32), bias, 1.0, 0.0, bits)
     check = held if len(held) else order
     z = np.array([(share @ model.table[ids]) + bias for ids, share in (rows[i] for i in check)], dtype=np.float64)
-    grid = np.exp(np.linspace(-3, 3, 61))
-    model.temperature = float(min(grid, key=lambda t: -np.log(softmax(z / t)[np.arange(len(z)), y[check]] + 1e-300).sum()))
+    model.temperature = best_temperature(z, y[check])
+    model.familiar = np.zeros(1 << FAMILIAR_BITS, bool)
+    for i in learn:
+        model.familiar[familiar_pieces(texts[i])] = True
     p = softmax(z / model.temperature)
-    right = np.sort(p.max(axis=1)[p.argmax(axis=1) == y[check]])
-    if len(right):
-        model.least_score = float(right[int(lost * len(right))]) / 2
+    right = p.argmax(axis=1) == y[check]
+    if right.any():
+        model.least_score = least(p.max(axis=1)[right], lost)
+        shares = [model.familiarity(texts[i]) for i in check[right] if has_letter(texts[i])]
+        model.least_familiar = least(np.array(shares), lost) if shares else 0.0
     return model
 
 
@@ -130,7 +180,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     """One row per input row: doc_id, held_out, lang_pred, score, rejected.
 
     The whole text is read.  A null text, or one without a letter, is ``und`` with score 0 and rejected; any other gets a
-    learned language, and is rejected if its score is under the calibrated least.  Ids may be null (not held out) or
+    learned language, and is rejected if its score or its share of pieces seen in training is under the calibrated least.  Ids may be null (not held out) or
     repeated; other columns are ignored; an empty table gives an empty result; without any labelled row all are ``und``.
     """
 

@@ -1,5 +1,7 @@
 import zlib
 
+import numpy as np
+
 from paperloom.llm import langid as L
 
 
@@ -38,3 +40,29 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "text", None)], "doc_id long, text string, lang string")
     (r,) = L.identify(df, L.fit(df)).collect()
     assert r.lang_pred == "und"
+
+
+def test_unlearned_languages_and_gibberish_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = L.fit(docs)
+    foreign = [
+        "Il gatto nero dorme sul tetto della casa vecchia mentre la pioggia cade piano.",
+        "De oude man loopt elke ochtend langzaam door het stille park naar de bakker.",
+        "Stary człowiek idzie powoli przez cichy park do piekarni każdego ranka.",
+        "今天天气很好，我们一起去公园散步吧。",
+        "今日はとても天気がいいので、公園を散歩しましょう。",
+        "Старый человек медленно идёт через тихий парк каждое утро.",
+        "xqzv kjwq pfgh zzxv wqkj bvnm qqtr plkj hgfd xcvb",
+    ]
+    for text in foreign:
+        assert model.predict(text)[2] and model.predict(f"{text} " * 20)[2], text
+    rows = docs.collect()
+    right = [r for r in rows if model.predict(r.text)[0] == r.lang]
+    assert sum(model.predict(r.text)[2] for r in right) <= 0.005 * len(right)
+
+
+def test_temperature_is_no_edge():
+    z = np.array([[0.02, 0.0], [0.0, 0.03]] * 50)  # all right, by little: sharper is better but for the one row that counts as wrong
+    assert 0.001 < L.best_temperature(z, np.array([0, 1] * 50)) < 0.02
+    assert L.best_temperature(np.zeros((5, 1)), np.zeros(5, int)) == 1
+    assert abs(L.least(np.linspace(0.5, 1, 100_000), 0.001) - 0.5005) < 1e-3 and L.least(np.full(9, 0.7), 0.001) < 0.7
