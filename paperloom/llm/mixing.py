@@ -2,67 +2,127 @@
 
 from __future__ import annotations
 
-from math import gcd
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from heapq import heappop, heappush
+from itertools import islice
+from math import ceil, floor
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from paperloom.llm.shared import BROADCAST_ROWS, ranked
+from paperloom.llm.shared import BROADCAST_ROWS, new_folder, ranked
 
 #: More sources than this are refused: their counts and windows are tables on the driver.
 MOST_SOURCES = 4096
-#: After so many sources have run out one by one, the others keep their pace to the end.
-MOST_PHASES = 64
+#: Slots of the schedule that the driver holds at a time; a longer one is written piece by piece.
+MOST_SLOTS = 1 << 20
+#: Window ends this near to a whole slot are that slot: they are sums of doubles.
+NEAR = 1e-6
 
 
 def target_weights(counts: dict, power: float = 0.5, grain: int = 1000) -> dict:
-    """Integer weights in proportion to a power of the source sizes, one at least, about ``grain`` together."""
-    raw = {k: float(n) ** power for k, n in counts.items()}
+    """Integer weights in proportion to a power of the source sizes, one at least, about ``grain`` together: for display,
+    as ``mix`` holds to the weights that they are rounded from."""
+    raw = exact_weights(counts, power)
     return {k: max(1, round(grain * v / sum(raw.values()))) for k, v in raw.items()}
 
 
+def exact_weights(counts: dict, power: float = 0.5, given: dict | None = None) -> dict:
+    """Each source's weight: a power of its size or, for those that ``given`` names, their part of its sum, the others
+    together being as much again as their powers' part of all powers."""
+    raw = {k: float(n) ** power for k, n in counts.items()}
+    whole = sum(raw.values())
+    share = {k: v / whole for k, v in raw.items()}
+    if given:
+        most = sum(given.values())
+        share |= {k: given[k] / most for k in counts if k in given}
+    return share
+
+
+class Fluid:
+    """The ideal mixture: sources flow at rates in proportion to their weights until they are empty, one slot's worth a
+    slot.  Source i has had ``weight * v`` at virtual time v, and all of its blocks from v = blocks / weight on."""
+
+    def __init__(self, blocks: list[int], weights: list[float]):
+        self.blocks, self.weights = blocks, weights
+        ends = sorted((n / w, w, i) for i, (n, w) in enumerate(zip(blocks, weights)) if n)
+        self.v, self.t, self.rate = [0.0], [0.0], []
+        # rates from the last end backwards, so that small weights are not lost in differences
+        for _, w, _ in reversed(ends):
+            self.rate.insert(0, w + (self.rate[0] if self.rate else 0.0))
+        for (v, _, _), rate in zip(ends, self.rate):
+            self.t.append(self.t[-1] + (v - self.v[-1]) * rate)
+            self.v.append(v)
+        self.phase = [0] * len(blocks)
+
+    def when(self, i: int, had: int) -> float:
+        """The slot at which source i has had so many blocks; asked for in rising order."""
+        if had == 0:
+            return 0.0
+        v, k = had / self.weights[i], self.phase[i]
+        while k + 1 < len(self.rate) and self.v[k + 1] < v:
+            k += 1
+        self.phase[i] = k
+        if k == 0:  # as a quotient, which is whole where the share is
+            return had * self.rate[0] / self.weights[i]
+        return self.t[k] + (v - self.v[k]) * self.rate[k]
+
+
+def slots(blocks: list[int], weights: list[float]) -> Iterator[int]:
+    """The source in each slot, for all blocks.
+
+    Block j of a source may start at the slot in which the ideal mixture has passed j of its blocks, and must end by that in
+    which it passes j + 1; of the blocks that may start, the earliest deadline goes first, ties to the first source.  The
+    ideal mixture fills every slot, so all deadlines are met: every source has, after any number of slots, less than one block
+    more or less than in the ideal mixture.  Memory is in proportion to the sources, time to the slots.
+    """
+    fluid = Fluid(blocks, weights)
+    waiting: list[tuple[int, int, int]] = []  # release, deadline, source
+    ready: list[tuple[int, int]] = []
+    done = [0] * len(blocks)
+    ends = [0.0] * len(blocks)
+
+    def next_block(i: int) -> None:
+        if done[i] < blocks[i]:
+            start, ends[i] = ends[i], fluid.when(i, done[i] + 1)
+            heappush(waiting, (floor(start + NEAR), ceil(ends[i] - NEAR), i))
+
+    for i in range(len(blocks)):
+        next_block(i)
+    for t in range(sum(blocks)):
+        while waiting and (waiting[0][0] <= t or not ready):
+            _, deadline, i = heappop(waiting)
+            heappush(ready, (deadline, i))
+        _, i = heappop(ready)
+        yield i
+        done[i] += 1
+        next_block(i)
+
+
 def period(spark: SparkSession, weights: list[int]) -> list[int]:
-    """The source in each slot of one period, whose length is the sum of the weights.
+    """The source in each slot of one period, whose length is the sum of the (integer) weights."""
+    return list(slots(weights, weights))
 
-    Block j of a source of weight w out of W may start at slot floor(j W / w) and must end by ceil((j + 1) W / w); of the
-    blocks that may start, the earliest deadline goes first, ties to the first source.  Then every source has, after any
-    number of slots, less than one block more or less than its share.  The schedule is one SQL expression: a fold over
-    the slots, whose state is how many blocks each source has had.
-    """
-    total, n = sum(weights), len(weights)
-    w = f"array({', '.join(map(str, weights))})"
-    pick = f"""array_min(transform(sequence(0, {n - 1}), i -> CASE WHEN s.had[i] * {total}L < (t + 1) * {w}[i]
-        THEN struct((s.had[i] * {total}L + {total} + {w}[i] - 1) DIV {w}[i] AS deadline, i AS source) END)).source"""
-    step = f"""transform(array({pick}), p -> struct(transform(s.had, (x, i) -> IF(i = p, x + 1, x)) AS had, concat(s.got, array(p)) AS got))[0]"""
-    query = f"""SELECT aggregate(sequence(0, {total - 1}), struct(array_repeat(0, {n}) AS had, CAST(array() AS array<int>) AS got),
-        (s, t) -> {step}, s -> s.got) AS got"""
-    return list(spark.sql(query).first()[0])
 
+def schedule(spark: SparkSession, blocks: list[int], weights: list[float]) -> Iterator[tuple]:
+    """(source number, first block, blocks, weight, period, first slot, places in the period) for every source and every
+    run of MOST_SLOTS slots; a run is one period, in which the source's weight is the number of its blocks there."""
+    found, at, done = slots(blocks, weights), 0, [0] * len(blocks)
+    while run := list(islice(found, MOST_SLOTS)):
+        got = np.array(run, np.int32)
+        order = np.argsort(got, kind="stable").astype(np.int32)
+        for i, places in zip(*_groups(got[order], order)):
+            yield i, done[i], len(places), len(places), len(run), at, places
+            done[i] += len(places)
+        at += len(run)
 
-def schedule(spark: SparkSession, blocks: list[int], weights: list[int]) -> list[tuple]:
-    """(source number, first block, blocks, weight, period, first slot, places in the period) for every source and phase.
 
-    A phase ends when a source has no block left; the next one starts with the weights of the others.  Its size is
-    bounded by MOST_PHASES periods, whatever the number of documents.
-    """
-    left, done, rows, at, phase = list(blocks), [0] * len(blocks), [], 0, 0
-    while any(left):
-        phase += 1
-        live = [i for i, r in enumerate(left) if r]
-        common = gcd(*[weights[i] for i in live])
-        ws = [weights[i] // common for i in live]
-        got, total = period(spark, ws), sum(ws)
-        places = [[t for t, s in enumerate(got) if s == k] for k in range(len(live))]
-        ends = [(left[i] - 1) // w * total + p[(left[i] - 1) % w] + 1 for i, w, p in zip(live, ws, places)]
-        end = max(ends) if phase >= MOST_PHASES else min(ends)
-        for i, w, p in zip(live, ws, places):
-            n = min(left[i], end // total * w + sum(x < end % total for x in p))
-            if n:
-                rows.append((i, done[i], n, w, total, at, p))
-            done[i] += n
-            left[i] -= n
-        at += end
-    return rows
+def _groups(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    found, starts = np.unique(keys, return_index=True)
+    return found.tolist(), np.split(values, starts[1:])
 
 
 def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
@@ -70,11 +130,10 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, power: fl
     mix_place (in the block).  Sorting by slot and place gives the mixture; no row is dropped or repeated.
 
     ``weights`` gives target weights (any positive numbers) by source; sources it does not name, and all if it is None, get
-    ``power`` of their size.  The order of documents within a source is by a hash of the id.  While all sources last, each
-    has less than one block more or less than its target share of the slots; when one runs out, the same holds of the
-    others' shares from there on (after MOST_PHASES such ends, slots of finished sources stay empty).  Null sources are one
-    source; null or repeated ids are rows like any other; columns that have those three names already are replaced; an
-    empty table gives an empty result.
+    ``power`` of their size.  The order of documents within a source is by a hash of the id.  At every slot each source has
+    had less than one block more or less than its target, which is its exact share, unrounded, of the slots; when a source
+    runs out, the others' shares are renewed from there on.  Null sources are one source; null or repeated ids are rows like
+    any other; columns that have those three names already are replaced; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     docs = docs.drop("mix_block", "mix_slot", "mix_place")
@@ -82,34 +141,40 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, power: fl
     if len(counts) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     names = sorted(counts, key=lambda x: (x is not None, x))
-    aims = target_weights(counts, power)
-    if weights:
-        most = sum(weights.values())
-        aims |= {k: max(1, round(1000 * weights[k] / most)) for k in names if k in weights}
-    rows = schedule(spark, [-(-counts[k] // block) for k in names], [aims[k] for k in names])
-    plan = _table(spark, names, rows, docs.schema[source_col].dataType)
+    aims = exact_weights(counts, power, weights)
+    blocks = [-(-counts[k] // block) for k in names]
+    plan = _table(spark, names, schedule(spark, blocks, [aims[k] for k in names]), docs.schema[source_col].dataType, sum(blocks))
     # about 20,000 documents of the largest source meet in one bucket, whatever its size
     buckets = max(1, min(256, BROADCAST_ROWS // max(1, len(names))), max(counts.values(), default=0) // 20_000)
     ordered = ranked(docs, [source_col], [id_col], [F.xxhash64(id_col, F.lit("mix")), F.col(id_col)], "__rank", buckets, len(names))
     placed = ordered.withColumn("mix_block", F.floor(F.col("__rank") / block).cast("long")).withColumn("mix_place", (F.col("__rank") % block).cast("int"))
-    inside = F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("mix_block") >= F.col("__first")) & (F.col("mix_block") < F.col("__first") + F.col("__n"))
-    joined = placed.join(F.broadcast(plan), inside)
-    q = F.col("mix_block") - F.col("__first")
-    slot = F.col("__at") + F.expr("(mix_block - __first) DIV __w") * F.col("__period") + F.element_at("__places", (q % F.col("__w") + 1).cast("int"))
-    return joined.withColumn("mix_slot", slot.cast("long")).select(*docs.columns, "mix_block", "mix_slot", "mix_place")
-
-
-def _table(spark: SparkSession, names: list, rows: list[tuple], kind) -> DataFrame:
-    """The schedule as a table: at most MOST_PHASES periods of numbers together, so it may be broadcast."""
-    columns = ("__source", "__first", "__n", "__w", "__period", "__at", "__places")
-
-    def struct(r: tuple) -> Column:
-        values = [F.lit(names[r[0]]).cast(kind), *[F.lit(x).cast("long") for x in r[1:6]], F.lit(r[6])]
-        return F.struct(*[v.alias(c) for c, v in zip(columns, values)])
-
-    empty = struct((0, 0, 0, 1, 1, 0, [0])) if names else F.struct(*[F.lit(None).cast(t).alias(c) for c, t in zip(columns, [kind, *["long"] * 5, "array<int>"])])
-    listed = F.array(*[struct(r) for r in rows]) if rows else F.array(empty)
-    return spark.range(1).select(F.explode(listed).alias("p")).select("p.*")
+    joined = placed.join(plan, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("mix_block") == F.col("__block")))
+    return joined.withColumn("mix_slot", F.col("__slot")).select(*docs.columns, "mix_block", "mix_slot", "mix_place")
+
+
+def _table(spark: SparkSession, names: list, rows: Iterator[tuple], kind, total: int) -> DataFrame:
+    """The schedule as a table of source, block and slot: broadcast if it is short, else joined by key.  The driver holds
+    MOST_SLOTS slots of it at a time."""
+    fields = {"__source": to_arrow_type(kind), "__first": pa.int64(), "__at": pa.int64(), "__places": pa.list_(pa.int32())}
+
+    def frame(part: list[tuple]) -> DataFrame:
+        columns = [[names[r[0]] for r in part], [r[1] for r in part], [r[5] for r in part], [r[6] for r in part]]
+        return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, fields.values())], names=list(fields)))
+
+    if total <= MOST_SLOTS:
+        runs = frame(list(rows))
+    else:
+        path, part = new_folder(spark, "mix-schedule"), []
+        for r in rows:
+            if part and part[-1][5] != r[5]:
+                frame(part).write.mode("append").parquet(path)
+                part = []
+            part.append(r)
+        frame(part).write.mode("append").parquet(path)
+        runs = spark.read.parquet(path)
+    each = runs.select(F.col("__source").cast(kind).alias("__source"), "__first", "__at", F.posexplode("__places").alias("__k", "__place"))
+    plan = each.select("__source", (F.col("__first") + F.col("__k")).alias("__block"), (F.col("__at") + F.col("__place")).alias("__slot"))
+    return F.broadcast(plan) if total <= BROADCAST_ROWS else plan
 
 
 def in_mixed_order(mixed: DataFrame, columns: list[str], per_file: int = 4096) -> DataFrame:

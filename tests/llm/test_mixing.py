@@ -1,4 +1,5 @@
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +53,54 @@ def test_odd_rows(spark):
     assert mixing.mix(df.limit(0)).count() == 0
     clash = mixing.mix(mixing.mix(df).withColumn("mix_slot", F.lit("clash")))
     assert clash.columns == mixing.mix(df).columns and clash.count() == 4
+
+
+def worst(blocks, weights):
+    """Greatest deviation from the unrounded shares until the first source ends, in exact arithmetic."""
+    whole, had, most = sum(map(Fraction, weights)), [0] * len(blocks), 0.0
+    shares = [Fraction(w) / whole for w in weights]
+    first_end = min(n / s for n, s in zip(blocks, shares))
+    for t, i in enumerate(mixing.slots(blocks, weights), 1):
+        had[i] += 1
+        if t <= first_end:
+            most = max(most, *(abs(float(h - t * s)) for h, s in zip(had, shares)))
+    assert had == blocks
+    return most
+
+
+def test_exact_weights_however_long():
+    sizes = [20_000, *[int(40_000 / 19 * (0.5 + i / 18)) for i in range(19)]]
+    aims = mixing.exact_weights(dict(enumerate(sizes)))
+    assert worst(sizes, list(aims.values())) < 1
+    thirds = mixing.exact_weights({"a": 10**9, "b": 10**9}, given={"a": 1, "b": 2})
+    assert worst([10_000, 30_000], list(thirds.values())) < 1
+    zipf = mixing.exact_weights({i: 10**6 // (i + 1) for i in range(3000)})
+    assert abs(zipf[0] / sum(zipf.values()) - 0.0093) < 0.0001  # 0.0029 with integer weights of at least one
+
+
+def test_shares_hold_when_many_sources_have_run_out():
+    blocks, weights = list(range(1, 120)), [1.0 + i % 5 for i in range(119)]
+    had = [0] * len(blocks)
+    v, at = 0.0, 0
+    for i in mixing.slots(blocks, weights):
+        had[i] += 1
+        at += 1
+        lo, hi = v, v + max(blocks)  # the virtual time at which the ideal mixture fills so many slots
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(min(n, w * mid) for n, w in zip(blocks, weights)) < at else (lo, mid)
+        v = lo
+        assert all(abs(h - min(n, w * v)) < 1 + 1e-6 for h, n, w in zip(had, blocks, weights))
+    assert had == blocks
+
+
+def test_long_schedules_are_written_in_runs(spark, monkeypatch):
+    df = spark.range(3000).selectExpr("id AS doc_id", "IF(id % 4 = 0, NULL, id % 3) AS source")
+    want = sorted(mixing.mix(df, block=2).collect(), key=str)
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 400)
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 100)
+    got = mixing.mix(df, block=2).collect()
+    assert len({(r.mix_slot, r.mix_place) for r in got}) == 3000
+    assert sorted({r.mix_slot for r in got}) == list(range(len({r.mix_slot for r in want})))
+    first = {r.mix_slot: r.source for r in got}
+    assert first == {r.mix_slot: r.source for r in want}
