@@ -31,8 +31,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in windows of at most 2048 tokens."""
-    return packing.pack(docs, *byte_bpe())
+    """Pieces of documents in windows of at most 2048 tokens, whose ids rise with the schedule of the mixture.  Readers deal
+    part files to tasks by length, so the schedule, which depends on the documents alone, is made again."""
+    columns = ["doc_id", "source", "text"]
+    return packing.pack(mixing.in_mixed_order(mixing.mix(docs.select(*columns)), columns), *byte_bpe())
 
 
 STAGES = [("language", known_language), ("quality", good_quality), ("near copies", no_near_copies), ("mixing", mixed), ("packing", packed)]

@@ -62,26 +62,29 @@ AWKWARD = ["", " ", "a  b\n\n c\t d ", "it's we'll I'D 12345 x², ½", "Straße
 
 class Packer:
     """Packs one task's documents.  Windows have ``tiers`` sizes (powers of two, ascending); a piece is
-    (doc_id, start, length, crc, doc_tokens) and is written into exactly one place of one window."""
+    (doc_id, start, length, crc, doc_tokens) and is written into exactly one place of one window.  Windows that are ready
+    together are numbered in the order in which the document of their first, longest piece came."""
 
     def __init__(self, tiers: tuple[int, ...], first_id: int, step_tokens: int):
         self.tiers, self.next_id, self.step_tokens = tiers, first_id, step_tokens
         self.first_id, self.dealt = first_id, dict.fromkeys(tiers, 0)
         self.rests: list[tuple[int, int, object, int, bytes]] = []
-        self.seen = 0
+        self.seen = self.carried = 0
+        self.windows: list[tuple[int, list[tuple], int]] = []
         self.rows: list[tuple] = []
 
     def add(self, doc_id: object, ids: bytes) -> None:
-        """Full windows of the largest tier leave at once; the rest waits."""
+        """Full windows of the largest tier are ready at once; the rest waits.  All get their numbers when the rests are
+        dealt, which is after WAITING rests or full windows."""
         total, top = len(ids) // 4, self.tiers[-1]
+        self.seen += 1
         for start in range(0, total - total % top, top):
-            self._emit([(doc_id, start, total, ids[4 * start : 4 * (start + top)])], top)
+            self._emit(self.seen, [(doc_id, start, total, ids[4 * start : 4 * (start + top)])], top)
         if total % top:
             start = total - total % top
-            self.seen += 1
             self.rests.append((total % top, self.seen, doc_id, start, ids[4 * start :], total))
-            if len(self.rests) >= WAITING:
-                self._fill(last=False)
+        if len(self.rests) >= WAITING or len(self.windows) >= WAITING:
+            self._fill(last=False)
 
     def finish(self) -> None:
         self._fill(last=True)
@@ -89,14 +92,15 @@ class Packer:
     def _fill(self, last: bool) -> None:
         """Route the waiting rests to their tiers, longest first: each opens a window of its tier, whose gap takes the
         longest shorter rests that fit; what is left of the gap takes the head of a rest that is cut there.  Only windows
-        that are full leave; a last one that is not is split into powers of two."""
-        waiting, self.rests = sorted(self.rests, key=lambda x: x[:2]), []
-        while waiting:
-            size = waiting[-1][0]
+        that are full leave; rests that do not fill one, which are less than one together, open the first window of the next
+        time, so that none waits on and on.  A last window that is not full is split into powers of two."""
+        carried, waiting = self.rests[: self.carried], sorted(self.rests[self.carried :], key=lambda x: x[:2])
+        while carried or waiting:
+            size = sum(x[0] for x in carried) or waiting[-1][0]
             tier = next(t for t in self.tiers if t >= size)
-            if not last and sum(x[0] for x in waiting[-tier:]) < tier:
+            if not last and sum(x[0] for x in carried + waiting[-tier:]) < tier:
                 break
-            window, gap = [waiting.pop()], tier - size
+            window, carried, gap = carried or [waiting.pop()], [], tier - size
             while gap and waiting:
                 k = bisect_right(waiting, gap, key=lambda x: x[0])
                 if k:
@@ -107,12 +111,14 @@ class Packer:
                     window.append((gap, order, doc_id, start, ids[: 4 * gap], total))
                     insort(waiting, (length - gap, order, doc_id, start + gap, ids[4 * gap :], total), key=lambda x: x[:2])
                     gap = 0
-            self._emit_window([(d, s, n, i) for _, _, d, s, i, n in window], tier, tier - gap)
-        self.rests = waiting
+            self._emit_window(window[0][1], [(d, s, n, i) for _, _, d, s, i, n in window], tier, tier - gap)
+        self.rests = sorted(carried + waiting, key=lambda x: x[1])
+        self.carried = len(self.rests)
+        self._number()
 
-    def _emit_window(self, parts: list[tuple], tier: int, used: int) -> None:
+    def _emit_window(self, came: int, parts: list[tuple], tier: int, used: int) -> None:
         if used == tier:
-            return self._emit(parts, tier)
+            return self._emit(came, parts, tier)
         while used:  # the end of a task: the windows get smaller, none is padded
             size = 1 << (used.bit_length() - 1)
             head, left = [], size
@@ -123,19 +129,28 @@ class Packer:
                 if take < len(ids) // 4:
                     parts.insert(0, (doc_id, start + take, total, ids[4 * take :]))
                 left -= take
-            self._emit(head, size)
+            self._emit(came, head, size)
             used -= size
         return None
 
-    def _emit(self, parts: list[tuple], size: int) -> None:
-        """Windows of one size fill step groups of equal token counts, one after the other."""
-        group = self.first_id + (self.dealt.setdefault(size, 0) // self.step_tokens) * 64 + size.bit_length()
-        self.dealt[size] += size
-        offset = 0
+    def _emit(self, came: int, parts: list[tuple], size: int) -> None:
+        """Pieces of a window that is ready; of their ids, only the checksum stays."""
+        pieces, offset = [], 0
         for doc_id, start, total, ids in parts:
-            self.rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), total, self.next_id, offset, size, group))
+            pieces.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), total, offset))
             offset += len(ids) // 4
-        self.next_id += 1
+        self.windows.append((came, pieces, size))
+
+    def _number(self) -> None:
+        """Windows of one size fill step groups of equal token counts, one after the other."""
+        for _, pieces, size in sorted(self.windows, key=lambda x: x[0]):
+            group = self.first_id + (self.dealt.setdefault(size, 0) // self.step_tokens) * 64 + size.bit_length()
+            self.dealt[size] += size
+            for doc_id, start, length, crc, total, offset in pieces:
+                self.rows.append((doc_id, start, length, crc, total, self.next_id, offset, size, group))
+            self.next_id += 1
+        self.windows = []
+
 
 
 def pack(docs: DataFrame, path: str, ranks: str | None = None, tiers: tuple[int, ...] = (256, 512, 1024, 2048), end_id: int = 1, step_tokens: int = 65536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,7 +160,9 @@ def pack(docs: DataFrame, path: str, ranks: str | None = None, tiers: tuple[int,
     only carried along: each row is a document of its own.  Every task packs the rows it reads, so nothing is shuffled and
     a lost task is packed anew by itself; sequence ids are unique, as their upper bits are the task's.  Windows are full:
     sizes are those of ``tiers``, but for at most eleven smaller powers of two at a task's end.  A step group holds
-    windows of one size, ``step_tokens`` together, but for the last of each size in a task.
+    windows of one size, ``step_tokens`` together, but for the last of each size in a task.  Sequence ids, and the groups of
+    one size, rise in the order of the rows that a task reads, but that about WAITING rows are packed together, and tasks
+    in the order of their partitions: ordered partitions, as ``mixing.in_mixed_order`` gives, are packed in order.
     """
     columns = [f.split()[0] for f in PIECES.split(", ")]
     types = [pa.int32() if c == "tier" else pa.int64() for c in columns]

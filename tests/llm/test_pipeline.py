@@ -1,7 +1,10 @@
+from collections import Counter
+
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
-from paperloom.llm import langid, packing, quality, simhash
+from paperloom.llm import langid, mixing, packing, quality, simhash
 from paperloom.llm.queries import byte_bpe, oracle_sql, queries
 
 D = "/root/testdata/sf0.001"
@@ -38,6 +41,41 @@ def test_run_gives_whole_documents(spark):
     assert all(tokens[r.doc_id] == r.doc_tokens for r in got)
 
 
+def test_sequences_follow_the_schedule(spark, tmp_path):
+    n = 24_000
+    text = F.concat(F.lit("word "), F.col("id").cast("string"), F.repeat(F.lit(" and more"), (F.col("id") % 90).cast("int")))
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), text.alias("text"), F.when(F.col("id") % 8 < 5, "big").when(F.col("id") % 8 < 7, "middle").otherwise("small").alias("source"))
+    # many files of unlike lengths, which the reader does not take by name
+    corpus_pipeline.mixed(spark, docs, D).repartitionByRange(12, "doc_id").write.parquet(str(tmp_path / "docs"))
+    now = spark.read.parquet(str(tmp_path / "docs"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several tasks, whatever the size
+    try:
+        got = corpus_pipeline.packed(spark, now, D).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len({r.sequence_id >> 36 for r in got}) > 1
+    slot = {r.doc_id: r.mix_slot for r in mixing.mix(docs.select("doc_id", "source")).collect()}
+    source = {r.doc_id: r.source for r in docs.select("doc_id", "source").collect()}
+    opener = {r.sequence_id: slot[r.doc_id] for r in got if r.offset == 0}
+    in_order = [opener[s] for s in sorted(opener)]
+    reach = 2 * packing.WAITING // 32 + 2  # slots of the rows that are packed together, and of those that wait from the time before
+    high = 0
+    for s in in_order:
+        assert s >= high - reach
+        high = max(high, s)
+    # shares of documents, by the first sequence that holds each, until the first source ends
+    counts = Counter(source.values())
+    aims = mixing.exact_weights(counts)
+    first = {}
+    for r in got:
+        first[r.doc_id] = min(first.get(r.doc_id, r.sequence_id), r.sequence_id)
+    had, end = Counter(), min(counts[k] / aims[k] for k in counts)
+    for t, d in enumerate(sorted(first, key=first.get), 1):
+        had[source[d]] += 1
+        if t <= end:
+            assert all(abs(had[k] - t * aims[k]) < 0.04 * end for k in aims), (t, had)
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_queries_against_sql(spark, name):
     import duckdb
