@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.plans.storage import keep
+
 
 def global_rank(df: DataFrame, order: str, out: str = "rank", within: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
     """Add ``out``: ranks from 1 in the order of one column, as ``row_number`` over the whole table would give.
@@ -32,6 +34,22 @@ def global_rank(df: DataFrame, order: str, out: str = "rank", within: Sequence[s
     return numbered.join(starts, same).select(*df.columns, (F.col("__r") + F.col("__before")).cast("long").alias(out))
 
 
+def sorted_rank(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
+    """Add ``out``: ranks from 1 over the whole table in any sort order, of several keys and directions.
+
+    Rows are range-partitioned by the order and sorted there; the sorted rows are kept with their partition and their place
+    in it, and the numbers of rows in the partitions before are added.  No task holds more than a range.
+    """
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    kept = keep(sorted_rows.withColumn("__at", F.monotonically_increasing_id()), "sorted")
+    part = F.shiftright("__at", 33)
+    sizes = kept.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
+    rank = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("__before") + 1
+    return kept.join(F.broadcast(starts), part == F.col("__part")).select(*df.columns, rank.cast("long").alias(out))
+
+
 def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in ``order``: picked by an aggregate that combines map-side, so a frequent key costs no
     more than a row per task.  The order must be total for the result to be the same on every run."""

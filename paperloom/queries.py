@@ -179,16 +179,39 @@ def list_agg_sorted(spark, d):
 
 @query("SELECT doc_id, y AS year FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE (1990 + doc_id % 30)::VARCHAR END AS y, lower(split_part(text, chr(10), 1)) AS t FROM documents) ORDER BY CASE WHEN regexp_full_match(y, '[0-9]{4}') THEN 0 ELSE 1 END, try_cast(y AS INTEGER) DESC NULLS LAST, t, doc_id LIMIT 50")
 def sort_year_desc(spark, d):
+    shaped, order = _by_year(spark, d)
+    return shaped.orderBy(*order).limit(50).select("doc_id", "year")
+
+
+def _by_year(spark, d):
     shaped = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 7 == 0, "unknown").otherwise((F.lit(1990) + F.col("doc_id") % 30).cast("string")).alias("year"), title().alias("title"))
-    order = dsl.search_sort("year_desc", F.col("title"), F.lit(""), F.col("year"))
-    return shaped.orderBy(*order, "doc_id").limit(50).select("doc_id", "year")
+    return shaped, [*dsl.search_sort("year_desc", F.col("title"), F.lit(""), F.col("year")), F.col("doc_id")]
+
+
+@query("""SELECT doc_id, y AS year, row_number() OVER (ORDER BY CASE WHEN regexp_full_match(y, '[0-9]{4}') THEN 0 ELSE 1 END, try_cast(y AS INTEGER) DESC NULLS LAST, t, doc_id) AS position
+  FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE (1990 + doc_id % 30)::VARCHAR END AS y, lower(split_part(text, chr(10), 1)) AS t FROM documents)""")
+def sort_year_desc_all(spark, d):
+    shaped, order = _by_year(spark, d)
+    return ranking.sorted_rank(shaped, order, "position").select("doc_id", "year", "position")
 
 
 @query("SELECT doc_id, v AS venue FROM (SELECT doc_id, coalesce(nullif(source, 'src3'), '') AS v FROM documents) ORDER BY v = '', v DESC, doc_id DESC LIMIT 400")
 def sort_missing_last(spark, d):
+    shaped, order = _by_venue(spark, d)
+    return shaped.orderBy(*order).limit(400)
+
+
+def _by_venue(spark, d):
     shaped = docs(spark, d).select("doc_id", F.coalesce(F.nullif("source", F.lit("src3")), F.lit("")).alias("venue"))
     lib = dsl.Library(F.lit(""), F.array(F.lit("")), F.array(F.lit("")), F.col("venue"), F.lit(""), F.lit(""))
-    return shaped.orderBy(*dsl.library_sort("venue", "desc", lib, F.col("doc_id"))).limit(400)
+    return shaped, dsl.library_sort("venue", "desc", lib, F.col("doc_id"))
+
+
+@query("""SELECT doc_id, v AS venue, row_number() OVER (ORDER BY v = '', v DESC, doc_id DESC) AS position
+  FROM (SELECT doc_id, coalesce(nullif(source, 'src3'), '') AS v FROM documents)""")
+def sort_missing_last_all(spark, d):
+    shaped, order = _by_venue(spark, d)
+    return ranking.sorted_rank(shaped, order, "position")
 
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(split_part(text, chr(10), 1)) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")

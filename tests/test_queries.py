@@ -62,3 +62,13 @@ def test_the_rest_stands_without_the_corpus_operators(tmp_path):
     for p in (root / "paperloom").rglob("*.py"):
         if "llm" not in p.parts:
             assert not re.search(r"paperloom\.llm|from paperloom import llm", p.read_text()), p
+
+
+@pytest.mark.parametrize("name", ["sort_year_desc_all", "sort_missing_last_all"])
+def test_sorts_return_every_document(spark, name):
+    sf = "/root/testdata/sf0.01"
+    df = QUERIES[name](spark, sf)
+    got = [tuple(r) for r in df.orderBy("position").collect()]
+    want = duckdb.connect().execute(SQL[name].replace("documents", f"'{sf}/documents.parquet'")).fetchall()
+    assert got == sorted(want, key=lambda r: r[-1]) and len(got) == spark.read.parquet(f"{sf}/documents.parquet").count()
+    assert got[-1][1] in ("unknown", "")  # what is missing comes last, and comes
