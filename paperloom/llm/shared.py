@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,10 +15,15 @@ from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, from ``spark.checkpoint.dir``; a new local one only where that is unset."""
+    """The cluster's shared folder, from ``spark.checkpoint.dir``.  Where that is unset, a local session gets a temporary one,
+    which goes with the process; on a cluster it is an error, as executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='paperloom-')}"
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="paperloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -32,6 +39,14 @@ def keep(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as make it differ from all of ``columns``, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -66,16 +81,17 @@ def ranked(df: DataFrame, part: list[str], spread: list[str], order: list[str],
     ``parts`` bounds the values of ``part``: the table of bucket sizes has at most ``buckets * parts`` rows, and only if
     that is under BROADCAST_ROWS is it broadcast.  Rows that are equal in ``order`` are interchangeable.
     """
-    b, n, before = f"__{out}_bucket", f"__{out}_n", f"__{out}_before"
+    b, n, before, at = (unused([*df.columns, out], f"__{out}_{x}") for x in ("bucket", "n", "before", "at"))
     keyed = df.withColumn(b, F.pmod(F.xxhash64(*spread), F.lit(buckets)))
     sizes = keyed.groupBy(*part, b).agg(F.count(F.lit(1)).alias(n))
     running = Window.partitionBy(*part).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn(before, F.coalesce(F.sum(n).over(running), F.lit(0))).drop(n)
     within = Window.partitionBy(*part, b).orderBy(*order)
-    numbered = keyed.withColumn(out, F.row_number().over(within) - F.lit(1))
-    renamed = starts.select(*[F.col(p).alias(f"__p_{p}") for p in part], F.col(b).alias("__b"), before)
-    same = F.col(b) == F.col("__b")
-    for p in part:
-        same = same & F.col(p).eqNullSafe(F.col(f"__p_{p}"))
+    numbered = keyed.withColumn(at, F.row_number().over(within) - F.lit(1))
+    theirs = {c: unused([*numbered.columns, before], f"__{out}_of_{c}") for c in [*part, b]}
+    renamed = starts.select(*[F.col(c).alias(t) for c, t in theirs.items()], before)
+    same = F.lit(True)
+    for c, t in theirs.items():
+        same = same & F.col(c).eqNullSafe(F.col(t))
     joined = numbered.join(F.broadcast(renamed) if buckets * parts <= BROADCAST_ROWS else renamed, same, "left")
-    return joined.withColumn(out, (F.col(out) + F.col(before)).cast("long")).select(*df.columns, out)
+    return joined.select(*df.columns, (F.col(at) + F.col(before)).cast("long").alias(out))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import base32_of_hex, new_folder
+from paperloom.llm.shared import base32_of_hex, keep, new_folder
 
 CRLF = "\r\n"
 #: When every record says it was written: archives of the same pages are equal byte for byte.
@@ -46,6 +46,9 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
     """One record per row.  Of the records whose equal payloads have ``least_bytes`` or more, the one of the largest id is
     the response and the others revisit it; all smaller ones are responses.  Repeated rows share their record type; a null
     id is a response only if no other record has its payload; a null payload is empty; a null url gives no target line.
+    Line ends within a url are escaped, any other character stays, so a url cannot add a header.  Other columns are ignored,
+    whatever their names; an empty table gives an empty archive.  A payload is one value of a row, so the longest that Spark
+    can read can be stored.
 
     Payloads are grouped by SHA-256; that a group's members also agree in length and in a second hash is checked, and a
     group that does not is an error, not a wrong archive.
@@ -61,9 +64,12 @@ def write_archive(pages: DataFrame, path: str | None = None, least_bytes: int =
     stored.select("strong", checked.alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
     light = rows.select("page_id", "url", "strong", "n_bytes", F.sha1("payload").alias("sha1"))
-    chosen = light.where(F.col("n_bytes") >= least_bytes).groupBy("strong").agg(F.max("page_id").alias("response_id"), F.max_by("url", "page_id").alias("response_url"))
-    named = light.join(chosen, "strong", "left")
-    own = (F.col("n_bytes") < least_bytes) | F.col("page_id").eqNullSafe(F.col("response_id"))
+    chosen = light.where(F.col("n_bytes") >= least_bytes).groupBy("strong").agg(F.max("page_id").alias("response_id"), F.max_by("url", "page_id").alias("response_url"), F.count(F.lit(1)).alias("n"))
+    # written first, and only where there are copies: the join reads two plain exchanges, so a payload of very many pages
+    # can be split, and most pages meet nothing
+    chosen = keep(chosen.where("n > 1").drop("n"), "copies")
+    named = light.join(chosen.withColumn("copied", F.lit(True)), "strong", "left")
+    own = F.col("copied").isNull() | F.col("page_id").eqNullSafe(F.col("response_id"))
     kind = F.when(own, "response").otherwise("revisit")
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("n_bytes").cast("string"), F.lit(CRLF * 2))
     named = named.select("*", kind.alias("record_type"), http.alias("http"))
@@ -109,7 +115,8 @@ def reconstruct(archive: Archive) -> DataFrame:
 
 
 def _line(name: str) -> Column:
-    return F.regexp_extract(F.col("header").cast("string"), rf"(?m)^{name}: ([^\r\n]*)", 1)
+    """A header's value.  Only CRLF ends a line here; a url may hold other characters that some readers take for line ends."""
+    return F.regexp_extract(F.col("header").cast("string"), rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
 
 
 def read_index(archive: Archive) -> DataFrame:
@@ -121,7 +128,8 @@ def read_index(archive: Archive) -> DataFrame:
     found = base32_of_hex(F.sha1("payload"), 40).alias("payload_digest")
     responses = _parts(archive).select("strong", page, F.octet_length("payload").cast("long").alias("payload_bytes"), found, said)
     revisits = archive.records.where("record_type = 'revisit'").select("strong", page, said, F.nullif(_line("WARC-X-Refers-To-Page"), F.lit("")).cast("long").alias("refers_to"))
-    by_payload = responses.groupBy("strong").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    # written first, so that the join can split a payload of very many revisits
+    by_payload = keep(responses.groupBy("strong").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest")), "payload-index")
     both = responses.select("page_id", "payload_bytes", "payload_digest", "said", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     both = both.unionByName(revisits.join(by_payload, "strong").select("page_id", "payload_bytes", "payload_digest", "said", F.lit("revisit").alias("record_type"), "refers_to"))
     same = F.when(F.col("said") == F.col("payload_digest"), F.col("said")).otherwise(F.raise_error(F.lit("a record's digest is not its payload's")))

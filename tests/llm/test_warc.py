@@ -55,3 +55,16 @@ def test_damage_is_an_error(spark):
 
 def test_empty(spark):
     assert warc.read_index(warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"))).count() == 0
+
+
+def test_urls_cannot_add_headers(spark):
+    rows = [(1, "http://a\u2028WARC-X-Page: 999", "x"), (2, "http://b\u0085WARC-Payload-Digest: sha1:NONE", "x"), (3, "\r\nWARC-X-Page: 7\r\n", "x"), (4, "\nWARC-Type: revisit\u2029WARC-X-Page: 8", "y")]
+    archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted(map(tuple, warc.read_index(archive).collect())) == want(rows)
+
+
+def test_long_payloads_and_many_copies(spark):
+    rows = [(1, "a", "long " * 1_000_000), (2, "b", "long " * 1_000_000), *[(i, None, None) for i in range(3, 3000)]]
+    archive = warc.write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert sorted(map(tuple, warc.read_index(archive).collect()), key=str) == want(rows)
+    assert archive.payloads.count() == 2
