@@ -39,24 +39,48 @@ def test_hadamard_keeps_lengths_and_is_its_own_inverse():
     assert np.allclose(np.linalg.norm(E.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
 
 
-@pytest.mark.parametrize("how", [E.HASHING, E.HASHING_MANY])
-def test_recall_at_the_threshold(how):
-    rng = np.random.default_rng(1)
-    a = rng.normal(size=(1500, 64))
+def at_cosine(rng, n, dims, cosine):
+    a = rng.normal(size=(n, dims))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     z = rng.normal(size=a.shape)
     z -= (z * a).sum(1, keepdims=True) * a
     z /= np.linalg.norm(z, axis=1, keepdims=True)
-    b = 0.9 * a + np.sqrt(1 - 0.81) * z
-    ka, kb = E.bucket_keys(a, how), E.bucket_keys(b, how)
-    assert (ka[:, :, None] == kb[:, None, :]).any((1, 2)).mean() > 0.995
+    return a, cosine * a + np.sqrt(1 - cosine**2) * z
+
+
+@pytest.mark.parametrize("rows", [1000, 60_000, 1 << 22, 1 << 32])
+@pytest.mark.parametrize("dims", [2, 3, 8, 64, 100, 384])
+def test_recall_at_the_threshold(rows, dims):
+    a, b = at_cosine(np.random.default_rng(1), 1500, dims, 0.9)
+    how = E.hashing_for(rows, dims)
+    hit = [(x[:, :, None] == y[:, None, :]).any((1, 2)) for at in range(0, 1500, 250) for x, y in [(E.bucket_keys(a[at : at + 250], how), E.bucket_keys(b[at : at + 250], how))]]
+    assert np.concatenate(hit).mean() > 0.995
+
+
+def test_more_vectors_get_finer_keys():
+    assert E.hashing_for(51_000, 64).hashes == 2 < E.hashing_for(1 << 30, 64).hashes
+
+
+@pytest.mark.parametrize("dims,hashes", [(2, 2), (16, 2), (64, 3), (300, 2)])
+def test_recall_end_to_end(spark, dims, hashes):
+    """Pairs at exactly the least cosine or a little over it, in several dimensions and with more hashes to a key."""
+    a, b = at_cosine(np.random.default_rng(5), 400, dims, 0.9005)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.float32(np.concatenate([a, b])))]
+    how = None
+    if hashes != 2:
+        how = next(h for n in (1 << 22, 1 << 26, 1 << 30) if (h := E.hashing_for(n, dims)).hashes == hashes)
+    got = {r.vec_id: r.n_links for r in E.near_embeddings(spark.createDataFrame([(i, v, "x", "") for i, v in rows], SCHEMA), how=how).collect()}
+    want = brute(rows)
+    assert all(got[i] <= want[i][0] for i in want)
+    assert sum(want[i][0] - got[i] for i in want) <= 0.002 * sum(v[0] for v in want.values())
 
 
 def test_against_brute_force_with_a_large_group(spark, monkeypatch):
     rng = np.random.default_rng(3)
     rows = clustered(rng, 60, 12)
     centre = rng.normal(size=64)
-    rows += [(1000 + i, [float(x) for x in np.float32(centre + rng.normal(size=64) * 0.03)]) for i in range(700)]  # over one block
+    rows += [(1000 + i, [float(x) for x in np.float32(centre + rng.normal(size=64) * 0.03)]) for i in range(700)]
+    monkeypatch.setattr(E, "BLOCK", 256)  # the group is over one block
     rows += [(5000 + i, rows[0][1]) for i in range(30)]
     df = spark.createDataFrame([(i, v, "x", "clash") for i, v in rows], SCHEMA)
     got = {r.vec_id: (r.n_links, r.component_id) for r in E.near_embeddings(df).collect()}
