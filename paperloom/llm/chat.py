@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import keep, map_texts
+from paperloom.llm.shared import keep, map_texts, new_folder
 
 #: Tools by name, each with the JSON schema of its arguments.
 REPLY_TOOLS = {
@@ -26,8 +27,33 @@ LINE = "conv_id long, turn long, kind string, call_id string, linked_turn long,
 
 
 def canonical(value: object) -> str:
-    """JSON with sorted keys, no spaces, characters as they are; numbers that are whole are written as integers."""
-    return json.dumps(_plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    """JSON with sorted keys, no spaces, characters as they are; numbers that are whole are written as integers.  Halves of
+    surrogate pairs, which UTF-8 cannot hold, stay escaped."""
+    text = json.dumps(_plain(value), ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return re.sub("[\ud800-\udfff]", lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def parsed(body: str) -> object:
+    """The value of a JSON text.  ValueError, with what is wrong, for what JSON does not allow and what cannot be kept exact:
+    numbers beyond doubles or over 4,300 digits, and nesting deeper than the interpreter's stack."""
+
+    def finite(digits: str) -> float:
+        value = float(digits)
+        if not math.isfinite(value):
+            raise OverflowError
+        return value
+
+    def constant(name: str) -> object:
+        raise json.JSONDecodeError(name, body, 0)
+
+    try:
+        return json.loads(body, parse_float=finite, parse_constant=constant)
+    except json.JSONDecodeError:
+        raise ValueError("not JSON") from None
+    except RecursionError:
+        raise ValueError("too deep") from None
+    except (OverflowError, ValueError):  # json gives up on very long integers with a plain ValueError
+        raise ValueError("number too large") from None
 
 
 def _plain(value: object) -> object:
@@ -77,7 +103,7 @@ def invalid(value: object, schema: dict, at: str = "") -> str | None:
 
 def _is(value: object, kind: str) -> bool:
     if kind in ("number", "integer"):
-        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+        return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or isinstance(value, int) or value.is_integer())
     return isinstance(value, KINDS[kind])
 
 
@@ -102,31 +128,45 @@ def ordered(messages: DataFrame, owners: DataFrame) -> DataFrame:
     """(conv_id, call_id, ready, hops) for the calls that must come later than their turn says, or that never can (hops
     null).  Sorting a conversation by ready, hops, turn is a topological order: every call after the results it needs.
 
-    A need that was met in an earlier turn asks for nothing.  The others push their calls back, round by round, for as
-    many rounds as the longest chain of them; only such chains take part, and a call pushed more often than its
-    conversation has calls is in a circle, or is pushed by one.
+    A need that was met in an earlier turn asks for nothing.  The others push their calls back, and those push the calls
+    that need them; each round follows only what the round before it pushed, so the rounds are as many as the longest such
+    chain.  Then the pushed calls are taken in layers, each when all calls that push it are taken: its layer is its hops.
+    What no layer takes is in a circle, or is pushed by one; so circles cost no rounds, however long their conversation.
     """
+    spark = messages.sparkSession
     met = owners.select("conv_id", F.col("call_id").alias("need"), F.coalesce("result_turn", "call_turn").alias("met"))
     edges = messages.where("kind = 'call'").select("conv_id", "call_id", "turn", F.explode("needs").alias("need")).distinct()
-    edges = edges.join(met, ["conv_id", "need"])
-    late = keep(edges, "needs")
-    state = keep(late.where("met >= turn").groupBy("conv_id", "call_id").agg(F.max("met").alias("ready"), F.lit(1).cast("long").alias("hops")), "order")
-    if state.isEmpty():
-        return state
-    most = owners.groupBy("conv_id").agg(F.count(F.lit(1)).alias("most"))
-    state = keep(state.join(most, "conv_id"), "order")
+    edges = keep(edges.join(met, ["conv_id", "need"]), "needs")
+    key = ["conv_id", "call_id"]
+    moves, step = new_folder(spark, "pushed"), 0
+    pushed = edges.where("met >= turn").groupBy(*key).agg(F.max("met").alias("ready"))
     while True:
-        pushed = state.select("conv_id", F.col("call_id").alias("need"), F.col("ready").alias("r"), F.col("hops").alias("h"), "most")
-        to = late.join(pushed, ["conv_id", "need"])
-        later = to.where("r >= turn").groupBy("conv_id", "call_id").agg(F.max(F.struct(F.greatest("r", "met").alias("ready"), F.least(F.col("h") + 1, F.col("most") + 1).alias("hops"))).alias("x"), F.first("most").alias("most"))
-        later = later.select("conv_id", "call_id", "x.ready", "x.hops", "most")
-        both = state.unionByName(later).groupBy("conv_id", "call_id").agg(F.max(F.struct("ready", "hops")).alias("x"), F.first("most").alias("most"))
-        new = keep(both.select("conv_id", "call_id", "x.ready", "x.hops", "most"), "order")
-        changed = not new.exceptAll(state).isEmpty()
-        state = new
-        if not changed:
+        pushed.withColumn("step", F.lit(step)).write.mode("append").parquet(moves)
+        moved = spark.read.schema("conv_id long, call_id string, ready long, step int").parquet(moves)
+        last = moved.where(F.col("step") == step)
+        if last.isEmpty():
             break
-    return state.select("conv_id", "call_id", "ready", F.when(F.col("hops") <= F.col("most"), F.col("hops")).alias("hops"))
+        so_far = moved.groupBy(*key).agg(F.max("ready").alias("before"))
+        to = edges.join(last.select("conv_id", F.col("call_id").alias("need"), F.col("ready").alias("r")), ["conv_id", "need"])
+        later = to.where("r >= turn").groupBy(*key).agg(F.max(F.greatest("r", "met")).alias("ready"))
+        pushed = later.join(so_far, key, "left").where("before IS NULL OR ready > before").select(*key, "ready")
+        step += 1
+    state = moved.groupBy(*key).agg(F.max("ready").alias("ready"))
+    if step == 0:
+        return state.withColumn("hops", F.lit(None).cast("long"))
+    state = keep(state, "ready")
+    pushing = state.select("conv_id", F.col("call_id").alias("need"), F.col("ready").alias("r"))
+    waits = keep(edges.join(pushing, ["conv_id", "need"]).where("r >= turn").select(*key, "need").distinct(), "waits")
+    left, layers, hops = state.select(*key), new_folder(spark, "layers"), 1
+    while True:
+        left.join(waits, key, "left_anti").withColumn("hops", F.lit(hops).cast("long")).write.mode("append").parquet(layers)
+        taken = spark.read.schema("conv_id long, call_id string, hops long").parquet(layers)
+        free = taken.where(F.col("hops") == hops)
+        if free.isEmpty():
+            return state.join(taken, key, "left").select(*key, "ready", "hops")
+        left = keep(left.join(free, key, "left_anti"), "left")
+        waits = keep(waits.join(free.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"), "waits")
+        hops += 1
 
 
 def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
@@ -135,11 +175,14 @@ def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
 
     The first call of an identifier owns it, and the first result answers it; linked_turn is the other's turn.  Problems:
     ``no id``, ``duplicate call``, ``duplicate result``, ``no call``, ``no result``, ``result before call``, ``unknown
-    tool``, ``not JSON``, ``circle``, or the path and keyword of the schema that the arguments break; null if none.
-    Repeated rows share their values; a null body is an empty text; null conversations or turns are linked with nothing;
-    other columns are ignored; an empty table gives an empty result.  Nothing is gathered by conversation, so long ones need no larger task.
+    tool``, ``not JSON``, ``number too large``, ``too deep`` (arguments that cannot be kept exact stand in the line as the
+    text that they were), ``circle``, or the path and keyword of the schema that the arguments break; null if none.  A need
+    that names no call of the conversation asks for nothing.  Repeated rows share their values; a null body is an empty text;
+    bodies of any length are read whole; null conversations or turns are linked with nothing; bytes that are not UTF-8 are
+    replaced in the line; other columns are ignored; an empty table gives an empty result.  Nothing is gathered by
+    conversation, so long ones need no larger task.
     """
-    messages = messages.select("conv_id", "turn", "kind", "call_id", "name", "body", "needs")
+    messages = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "kind", "call_id", "name", "body", "needs")
     calls = F.col("kind") == "call"
     usable = messages.where("call_id IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL")
     owners = keep(usable.groupBy("conv_id", "call_id").agg(F.min(F.when(calls, F.col("turn"))).alias("call_turn"), F.min(F.when(F.col("kind") == "result", F.col("turn"))).alias("result_turn")), "owners")
@@ -149,8 +192,8 @@ def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     link = F.when(calls, F.col("result_turn")).when(F.col("kind") == "result", F.col("call_turn"))
     result_after = F.greatest("turn", F.coalesce("ready", "turn"))
     rows = joined.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        F.col("turn").cast("long").alias("turn"),
+        "conv_id",
+        "turn",
         "kind",
         "call_id",
         link.cast("long").alias("linked_turn"),
@@ -164,7 +207,7 @@ def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
         .when(calls & F.col("pushed") & F.col("hops").isNull(), "circle")
         .when(calls & F.col("result_turn").isNull(), "no result")
         .alias("problem"),
-        "name",
+        F.col("name").cast("binary").alias("name"),
         F.coalesce("body", F.lit("")).cast("binary").alias("body"),
     )
 
@@ -172,8 +215,8 @@ def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
         names = [f.split()[0] for f in LINE.split(", ")]
         for batch in batches:
             lines, valid, problems = [], [], []
-            for kind, call_id, problem, name, body in zip(*(batch.column(c).to_pylist() for c in (2, 3, 7, 8, 9))):
-                line, wrong = _line(kind, call_id, name, body.decode("utf-8", "replace"), tools)
+            for *texts, problem in zip(*(batch.column(c).cast(pa.binary()).to_pylist() for c in (2, 3, 8, 9)), batch.column(7).to_pylist()):
+                line, wrong = _line(*(None if x is None else x.decode("utf-8", "replace") for x in texts), tools)
                 problem = wrong or problem
                 lines.append(line)
                 problems.append(problem)
@@ -187,17 +230,16 @@ def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
 def _line(kind: str, call_id: str | None, name: str | None, body: str, tools: dict[str, dict]) -> tuple[str, str | None]:
     if kind != "call":
         return canonical({"content": body, "role": name, "type": kind} | ({"id": call_id} if kind == "result" else {})), None
-    wrong, arguments = None, None
+    schema, wrong, arguments = tools.get(name or ""), None, body
     try:
-        arguments = json.loads(body)
-    except ValueError:
-        wrong = "not JSON"
-    schema = tools.get(name or "")
-    if schema is None:
-        wrong = wrong or "unknown tool"
-    elif wrong is None:
-        wrong = invalid(arguments, schema)
-    return canonical({"arguments": body if wrong == "not JSON" else arguments, "id": call_id, "name": name, "type": "call"}), wrong
+        arguments = parsed(body)
+        wrong = "unknown tool" if schema is None else invalid(arguments, schema)
+        return canonical({"arguments": arguments, "id": call_id, "name": name, "type": "call"}), wrong
+    except ValueError as unsound:
+        wrong = str(unsound)
+    except RecursionError:
+        wrong = "too deep"
+    return canonical({"arguments": body, "id": call_id, "name": name, "type": "call"}), wrong
 
 
 #: The same over ``turns_as_tools`` in SQL.  All needs there are met in an earlier turn, so nothing is pushed back.

@@ -85,3 +85,71 @@ def test_plain_conversations(spark):
     assert by[(1, 3)].problem == "/prompt minLength"
     assert by[(2, 0)].problem == "no call"
     assert chat.format_chats(chat.turns_as_tools(plain.limit(0)), chat.REPLY_TOOLS).count() == 0
+
+
+def test_arguments_that_cannot_be_kept(spark):
+    bodies = ["[" * 100_000 + "]" * 100_000, '{"a":' + "9" * 400 + "}", '{"a":' + "9" * 5000 + "}", '{"a":1e999}', '{"a":NaN}', '{"a":1,"b":["\\ud800"]}', '{"a":' + "[" * 900 + "]" * 900 + "}", '{"a":1e300}', "nul", ""]
+    got = run(spark, [(1, t, "call", f"c{t}", "add", body, []) for t, body in enumerate(bodies)])
+    problems = [got[(1, t, "call", f"c{t}")].problem for t in range(len(bodies))]
+    assert problems == ["too deep", "no result", "number too large", "number too large", "not JSON", "no result", "/a type", "no result", "not JSON", "not JSON"]
+    lines = [json.loads(got[(1, t, "call", f"c{t}")].line) for t in range(len(bodies))]
+    assert lines[1]["arguments"] == {"a": 10**400 - 1} and lines[5]["arguments"]["b"] == ["\ud800"] and lines[0]["arguments"] == bodies[0]
+
+
+def test_bytes_that_are_not_text(spark):
+    df = spark.sql("SELECT 1L conv_id, 2L turn, 'message' kind, CAST(NULL AS STRING) call_id, CAST(X'61FF' AS STRING) name, CAST(X'62FE' AS STRING) body, CAST(array() AS array<string>) needs")
+    assert json.loads(chat.format_chats(df, TOOLS).first().line) == {"content": "b\ufffd", "role": "a\ufffd", "type": "message"}
+
+
+def brute_order(calls):
+    """ready and hops by repeated relaxation over one conversation's calls (turn, needs); circles by the length of chains."""
+    state = {}
+    for _ in range(3 * len(calls) + 3):
+        for k, (turn, needs) in calls.items():
+            for n in needs:
+                if n not in calls:
+                    continue
+                r, h = state.get(n, (calls[n][0], 0))
+                r = max(r, calls[n][0])
+                if r >= turn:
+                    old = state.get(k, (-1, 0))
+                    ready = max(r, old[0])
+                    state[k] = (ready, old[1])
+    hops = {k: 1 for k in state}
+    for _ in range(len(calls) + 2):
+        for k in state:
+            turn, needs = calls[k]
+            up = [hops[n] for n in needs if n in state and state[n][0] >= turn]
+            hops[k] = min(len(calls) + 1, 1 + max(up, default=0))
+    return {k: (r, None if hops[k] > len(calls) else hops[k]) for k, (r, _) in state.items()}
+
+
+def test_order_against_brute_force(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows, want = [], {}
+    for conv in range(40):
+        names = [f"c{i}" for i in range(rnd.randint(1, 9))]
+        calls = {k: (t, rnd.sample([*names, "nobody"], rnd.randint(0, 2))) for t, k in enumerate(names)}
+        rows += [(conv, t, "call", k, "add", '{"a":1}', needs) for k, (t, needs) in calls.items()]
+        expected = brute_order(calls)
+        want |= {(conv, k): expected.get(k, (t, 0)) for k, (t, _) in calls.items()}
+    got = {(r.conv_id, r.call_id): (r.ready, r.hops) for r in run(spark, rows).values()}
+    assert got == want and any(h is None for _, h in want.values()) and any((h or 0) > 2 for _, h in want.values())
+
+
+def test_a_circle_in_a_long_conversation_takes_few_rounds(spark, monkeypatch):
+    written, plain = [], chat.keep
+    monkeypatch.setattr(chat, "keep", lambda df, label: written.append(label) or plain(df, label))
+    rows = [(1, t, "call", f"c{t}", "add", '{"a":1}', {3: ["c4"], 4: ["c3"]}.get(t, [f"c{t - 1}"])) for t in range(60)]
+    got = run(spark, rows)
+    assert [got[(1, t, "call", f"c{t}")].hops for t in (2, 3, 4, 5, 59)] == [0, None, None, 0, 0]
+    assert len(written) < 12
+
+
+def test_empty_and_repeated(spark):
+    assert chat.format_chats(spark.createDataFrame([], SCHEMA), TOOLS).count() == 0
+    rows = [(1, 1, "call", "x", "add", '{"a":1}', []), (1, 1, "call", "x", "add", '{"a":1}', []), (1, 2, "result", "x", None, "long " * 400_000, [])]
+    got = chat.format_chats(spark.createDataFrame(rows, SCHEMA), TOOLS).collect()
+    assert [r.problem for r in got] == [None] * 3 and max(len(r.line) for r in got) > 2_000_000
