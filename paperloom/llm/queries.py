@@ -60,8 +60,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-def byte_bpe() -> tuple[str, str]:
-    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+def byte_bpe() -> tuple[str]:
+    return (public_tokenizers.path("byte_bpe_50k.json"),)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
