@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import re
+import base64
 import zlib
 from array import array
 from bisect import bisect_right, insort
@@ -23,71 +22,46 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 WAITING = 2048
 
 
-#: Spaces between two characters that are no white space.  Byte-level pre-tokenizers begin a piece there: what follows a
-#: word is a piece of its own, and that takes one space with it.  So the parts have the ids that they have in the whole text.
-BETWEEN = re.compile(r"(?<![\s\u180e\u200b]) (?![\s\u180e\u200b])")
-BESIDE = re.compile(r" (?:[\s\u180e\u200b]|(?<=[\s\u180e\u200b] ))")
-#: Words that a Python worker remembers, in each of two generations, and how long they are at most: bounds its memory.
-REMEMBERED, LONGEST = 250_000, 24
+class Encoder:
+    """Ids of whole texts as little-endian unsigned 32-bit numbers, as the byte-level tokenizer file gives them, special
+    strings included.  With ``ranks``, the same vocabulary's rank file, the faster library that reads it does the work: the
+    merges and the splitting pattern are the same, and ``agrees`` says for some texts that both give the same ids.  A text
+    that it cannot split goes to the file's own library."""
 
+    def __init__(self, path: str, ranks: str | None):
+        self.slow, self.fast = load_tokenizer(path), None
+        if ranks:
+            import public_tokenizers
+            import tiktoken
 
-class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit numbers, as the tokenizer file gives them, special strings
-    included.  The library encodes each word once while it is remembered, if the file's parts allow to cut at spaces."""
-
-    def __init__(self, path: str):
-        self.library, self.known, self.older = load_tokenizer(path), {}, {}
-        self.cuts = cuts_at_spaces(path)
-
-    def by_library(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        if not self.cuts:
-            return self.by_library(texts)
-        if len(self.known) > REMEMBERED:  # words that come often are in the older generation, and come over
-            self.known, self.older = {}, self.known
-        heads, tails = zip(*map(words, texts)) if texts else ((), ())
-        ids = [list(map(self.known.get, ws)) for ws in tails]
-        missed = {w for ws, found in zip(tails, ids) if None in found for w, x in zip(ws, found) if x is None}
-        new = {w: x for w in missed if (x := self.older.get(w)) is not None}
-        fresh = [w for w in missed if w not in new]
-        for at in range(0, len(fresh), 2000):
-            some = fresh[at : at + 2000]
-            new.update(zip(some, self.by_library([f" {w}" for w in some])))
-        self.known.update(x for x in new.items() if len(x[0]) <= LONGEST)
-        whole = ([new[w] if x is None else x for w, x in zip(ws, found)] for ws, found in zip(tails, ids))
-        return [b"".join([head, *tail]) for head, tail in zip(self.by_library(list(heads)), whole)]
-
-
-def words(text: str) -> tuple[str, list[str]]:
-    """The first part of the text, and the others without the space before each; joined by spaces, they are the text."""
-    first, *others = BETWEEN.split(text) if BESIDE.search(text) else text.split(" ")
-    return first, others
-
-
-def cuts_at_spaces(path: str) -> bool:
-    """Whether the file is of a byte-level tokenizer that changes no text, takes no space at the beginning for granted, and
-    whose special strings hold no white space and take none with them."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre = spec.get("pre_tokenizer") or {}
-    return (
-        spec.get("normalizer") is None
-        and pre.get("type") == "ByteLevel"
-        and pre.get("add_prefix_space") is False
-        and pre.get("use_regex", True) is True
-        and not any(a["lstrip"] or a["rstrip"] or a["single_word"] or BLANK.search(a["content"]) for a in spec.get("added_tokens", []))
-    )
-
-
-BLANK = re.compile(r"\s")
+            with open(ranks, "rb") as f:
+                merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+            special = {t.content: i for i, t in self.slow.get_added_tokens_decoder().items()}
+            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens=special)
+
+    def by_file(self, text: str) -> bytes:
+        return array("I", self.slow.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __call__(self, text: str) -> bytes:
+        if self.fast is None:
+            return self.by_file(text)
+        try:
+            return self.fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+        except ValueError:  # its pattern engine gives up on very long runs of white space
+            return self.by_file(text)
+
+    def agrees(self, texts: list[str]) -> bool:
+        return all(self(t) == self.by_file(t) for t in texts)
 
 
 @cache
-def load_encoder(path: str) -> Encoder:
-    """One for each Python worker."""
-    return Encoder(path)
+def load_encoder(path: str, ranks: str | None) -> Encoder:
+    """One for each Python worker; without the rank file if the two libraries ever disagree on a few awkward texts."""
+    found = Encoder(path, ranks)
+    return found if found.agrees(AWKWARD) else Encoder(path, None)
+
+
+AWKWARD = ["", " ", "a  b\n\n c\t d ", "it's we'll I'D 12345 x², ½", "Straße çà ÉTÉ e\u0301", "<|endoftext|> <|endoftext|>x", "\u3000深度 学习\u200b🙂🏽", "\x00\x1c\x85\xa0z"]
 
 
 class Packer:
@@ -182,7 +156,7 @@ class Packer:
         self.windows = []
 
 
-def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = (256, 512, 1024, 2048), end_id: int = 1, step_tokens: int = 65536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, path: str, ranks: str | None = None, tiers: tuple[int, ...] = (256, 512, 1024, 2048), end_id: int = 1, step_tokens: int = 65536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier, step_group.
 
     A document is its ids and ``end_id``; a null text is empty, so its document is that one id; texts of any length are read
@@ -200,18 +174,15 @@ def pack(docs: DataFrame, path: str, tiers: tuple[int, ...] = (256, 512, 1024, 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(tiers, TaskContext.get().partitionId() << 36, step_tokens)
-        end, encode = end_id.to_bytes(4, "little"), load_encoder(path)
+        end, encode = end_id.to_bytes(4, "little"), load_encoder(path, ranks)
 
         def out() -> pa.RecordBatch:
             rows, packer.rows = packer.rows, []
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], columns)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                texts = [(t or b"").decode("utf-8", "replace") for t in part.column(1).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), encode(texts)):
-                    packer.add(doc_id, ids + end)
+            for doc_id, text in zip(batch.column(0), batch.column(1)):
+                packer.add(doc_id.as_py(), encode((text.as_py() or b"").decode("utf-8", "replace")) + end)
                 if len(packer.rows) > 20_000:
                     yield out()
         packer.finish()
