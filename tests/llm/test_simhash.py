@@ -48,7 +48,8 @@ def test_fingerprint(text):
     assert simhash.fingerprint(None if text is None else text.encode()) == brute_fingerprint(text)
 
 
-def test_links_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("block", [16, 70, 1024])
+def test_links_against_all_pairs(spark, monkeypatch, block):
     rng = np.random.default_rng(2)
     fps = set()
     for _ in range(120):
@@ -59,7 +60,8 @@ def test_links_against_all_pairs(spark, monkeypatch):
                 base ^= 1 << int(rng.integers(0, 64))
             fps.add(base)
     hot = int(rng.integers(0, 1 << 63))
-    fps |= {hot ^ (1 << i) ^ (1 << j) for i in range(0, 64, 3) for j in range(0, 64, 5)}  # larger than PAIRS_UP_TO in many buckets
+    fps |= {hot ^ (1 << i) ^ (1 << j) for i in range(0, 64, 3) for j in range(0, 64, 5)}
+    monkeypatch.setattr(simhash, "BLOCK", block)  # the hot fingerprints fill many buckets beyond one block
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     df = spark.createDataFrame([(f,) for f in signed], "fp long")
     got = {r.node: r.root for r in components(simhash.links(df)).collect()}
@@ -100,3 +102,41 @@ def test_components_of_chains_and_loops(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert {got.get(i, i) for i in range(41)} == {0} and {got.get(i, i) for i in (101, 102, 103)} == {101} and 100 not in got
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_one_id_with_several_texts(spark):
+    rows = [(1, "a b c d e f", "x"), (1, "totally other words stand here", "y"), (1, "a b c d e f", "x"), (2, "a b c d e f", "z"), (3, "totally other words stand here", "w")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_id string").selectExpr("*", "1 AS kept_text", "2 AS fp", "3 AS digest", "4 AS __kept")
+    got = simhash.drop_near_copies(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(1, "a b c d e f"), (1, "totally other words stand here")]
+
+
+def test_very_long_text_and_bytes_that_are_not_text(spark):
+    long = "some words that go on " * 300_000
+    df = spark.createDataFrame([(1, long), (2, long), (3, "x" * 3_000_000)], "doc_id long, text string").unionByName(spark.sql("SELECT 4L doc_id, CAST(X'61FF' AS STRING) text"))
+    got = {r.doc_id: r for r in simhash.simhash_classes(df).collect()}
+    assert got[1].fingerprint == f"{brute_fingerprint(long):016x}" and got[2].component_id == 1 and got[4].component_id == 4
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(df).select("doc_id").collect()) == [1, 3, 4]
+
+
+def test_a_hot_bucket_is_compared_in_blocks(spark, monkeypatch):
+    """A third of all fingerprints in one neighbourhood: no block pair is larger than two blocks."""
+    rng = np.random.default_rng(8)
+    hot = {int(x) for x in rng.integers(0, 1 << 12, 3000)}
+    fps = sorted(hot | {int(x) for x in rng.integers(1 << 40, 1 << 62, 2 * len(hot))})
+    want = brute_link_roots(fps)
+    monkeypatch.setattr(simhash, "BLOCK", 128)
+    got = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))).collect()}
+    assert {f: got.get(f, f) for f in fps} == want
+
+
+def brute_link_roots(fps):
+    x = np.array(fps, dtype=np.uint64)
+    root = np.array(fps)
+    near = [np.flatnonzero(np.bitwise_count(x ^ f) <= 2) for f in x]
+    while True:
+        new = np.array([root[n].min() for n in near])
+        if (new == root).all():
+            return dict(zip(fps, map(int, root)))
+        root = new
