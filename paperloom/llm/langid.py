@@ -7,23 +7,33 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm.shared import map_texts
+from paperloom.llm.shared import keep, map_texts
 
 #: Everything in ASCII but letters becomes a space, so that subwords are of letters and word ends.
 SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 UNKNOWN = "und"
-#: Languages that are learned at most, the most frequent ones: bounds what the driver gathers.
-MOST_LANGUAGES = 500
+#: Characters of a text that are taken at a time: bounds a task's memory.  A longer text is cut at spaces, or where it has none.
+AT_A_TIME = 1 << 20
 #: Pieces that the training has seen are marked in a table of this many bits' length: so many that foreign ones rarely meet them.
 FAMILIAR_BITS = 20
 
 
-def subwords(text: str, bits: int = 15) -> np.ndarray:
-    """Hashed buckets of all 2-, 3- and 4-byte pieces of the whole lower-cased text, word ends included."""
-    b = np.frombuffer(b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(SPACED).split()) + b" ", dtype=np.uint8).astype(np.uint32)
+def spelled(text: str) -> Iterator[np.ndarray]:
+    """The lower-cased text's letters in UTF-8, a space for what is between words and at both ends, part by part."""
+    at = 0
+    while at < max(1, len(text)):
+        end = at + AT_A_TIME
+        if end < len(text):
+            end = text.rfind(" ", at + 1, end) + 1 or end
+        part = text[at:end].lower().encode("utf-8", "replace").translate(SPACED)
+        yield np.frombuffer(b" " + b" ".join(part.split()) + b" ", dtype=np.uint8).astype(np.uint32)
+        at = end
+
+
+def _subwords(b: np.ndarray, bits: int) -> np.ndarray:
     pairs = b[:-1] | b[1:] << 8
     threes = pairs[:-1] | b[2:] << 16
     fours = threes[:-1] | b[3:] << 24
@@ -31,13 +41,21 @@ def subwords(text: str, bits: int = 15) -> np.ndarray:
     return np.concatenate([(pairs * np.uint32(0x9E3779B1)) >> shift, (threes * np.uint32(0x85EBCA77) + np.uint32(0x27D4EB2F)) >> shift, (fours * np.uint32(0xC2B2AE3D) + np.uint32(0x165667B1)) >> shift])
 
 
-def familiar_pieces(text: str) -> np.ndarray:
-    """Hashes, of FAMILIAR_BITS bits, of all 4-byte pieces of the text as ``subwords`` sees it."""
-    b = np.frombuffer(b" " + b" ".join(text.lower().encode("utf-8", "replace").translate(SPACED).split()) + b" ", dtype=np.uint8).astype(np.uint32)
+def _familiar(b: np.ndarray) -> np.ndarray:
     fours = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
     return (fours * np.uint32(0xC2B2AE3D) + np.uint32(0x165667B1)) >> np.uint32(32 - FAMILIAR_BITS)
 
 
+def subwords(text: str, bits: int = 15) -> np.ndarray:
+    """Hashed buckets of all 2-, 3- and 4-byte pieces of the whole lower-cased text, word ends included."""
+    return np.concatenate([_subwords(b, bits) for b in spelled(text)])
+
+
+def familiar_pieces(text: str) -> np.ndarray:
+    """Hashes, of FAMILIAR_BITS bits, of all 4-byte pieces of the text as ``subwords`` sees it."""
+    return np.concatenate([_familiar(b) for b in spelled(text)])
+
+
 def has_letter(text: str) -> bool:
     return any(map(str.isalpha, text))
 
@@ -45,7 +63,8 @@ def has_letter(text: str) -> bool:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    table: np.ndarray  # buckets x languages: each subword's embedding times the softmax layer
+    table: np.ndarray  # a row a bucket: each subword's embedding or, where that is shorter, times the softmax layer
+    layer: np.ndarray | None  # softmax layer that is still to be applied
     bias: np.ndarray
     temperature: float
     least_score: float  # predictions below it are rejected
@@ -55,20 +74,26 @@ class LanguageModel:
 
     def familiarity(self, text: str) -> float:
         """Share of the text's pieces that the training has seen: the softmax must choose a language, this need not."""
-        found = familiar_pieces(text)
-        return float(self.familiar[found].mean()) if self.familiar is not None and len(found) else 1.0
+        seen = whole = 0
+        for b in spelled(text):
+            found = _familiar(b)
+            whole += len(found)
+            seen += int(self.familiar[found].sum()) if self.familiar is not None else len(found)
+        return seen / whole if whole else 1.0
 
     def logits(self, text: str) -> np.ndarray:
-        found = subwords(text, self.bits)
-        if not len(found):
-            return self.bias.astype(np.float64)
-        total = np.zeros(len(self.languages))
-        for at in range(0, len(found), 1 << 16):  # bounded memory for very long texts
-            total += self.table[found[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
-        return total / len(found) + self.bias
+        total, n = np.zeros(self.table.shape[1]), 0
+        for b in spelled(text):
+            found = _subwords(b, self.bits)
+            n += len(found)
+            for at in range(0, len(found), 1 << 16):
+                total += self.table[found[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
+        mean = total / max(1, n)
+        return (mean if self.layer is None else mean @ self.layer) + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """(language, calibrated probability, rejected).  No text or no letter: ('und', 0, True)."""
+        """(language, calibrated probability, rejected).  Of equally probable languages, the first by name.  No text or no
+        letter: ('und', 0, True)."""
         if not text or not has_letter(text) or not self.languages:
             return UNKNOWN, 0.0, True
         p = softmax(self.logits(text)[None, :] / self.temperature)[0]
@@ -116,7 +141,7 @@ def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 15, epo
     short of."""
     languages = sorted(set(langs))
     if not languages:
-        return LanguageModel([], np.zeros((1 << bits, 0), np.float32), np.zeros(0), 1.0, 0.0, bits)
+        return LanguageModel([], np.zeros((1 << bits, 0), np.float32), None, np.zeros(0), 1.0, 0.0, bits)
     rng, n = np.random.default_rng(seed), len(languages)
     rows = [np.unique(subwords(t, bits), return_counts=True) for t in texts]
     rows = [(ids, (c / c.sum()).astype(np.float32)) for ids, c in rows]
@@ -137,9 +162,11 @@ def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 15, epo
             bias -= step * p
             # each subword's gradient is its share, which is tiny; scaled to the document's subwords as one step
             embed[ids] -= (step * 100) * np.outer(share, back)
-    model = LanguageModel(languages, (embed @ layer).astype(np.float32), bias, 1.0, 0.0, bits)
+    table, left = ((embed @ layer).astype(np.float32), None) if n <= dim else (embed, layer)
+    model = LanguageModel(languages, table, left, bias, 1.0, 0.0, bits)
     check = held if len(held) else order
-    z = np.array([(share @ model.table[ids]) + bias for ids, share in (rows[i] for i in check)], dtype=np.float64)
+    z = np.array([share @ table[ids] for ids, share in (rows[i] for i in check)], dtype=np.float64)
+    z = (z if left is None else z @ left) + bias
     model.temperature = best_temperature(z, y[check])
     model.familiar = np.zeros(1 << FAMILIAR_BITS, bool)
     for i in learn:
@@ -157,31 +184,38 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> tuple[list[str], list[str]]:
-    """About ``per_language`` labelled documents of each language outside the held-out fold, never over twice that many:
-    those whose id's hash falls under the language's share.  Only these reach the driver."""
-    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    sizes = {r[0]: r[1] for r in usable.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(MOST_LANGUAGES).collect()}
-    if not sizes:
-        return [], []
-    share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, per_language / v))])
-    place = F.pmod(F.xxhash64(F.col(id_col), F.lit("language sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    found = usable.where(place < share[F.col(lang_col)]).select(id_col, text_col, lang_col).limit(2 * per_language * len(sizes)).collect()
-    found.sort(key=lambda r: (r[0], r[1], r[2]))
-    return [r[1] for r in found], [r[2] for r in found]
+def sample(docs: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str, most_rows: int = 1_000_000) -> tuple[list[str], list[str]]:
+    """Of each language's labelled documents outside the held-out fold, the ``per_language`` of least hash, equal rows once;
+    fewer, but of every language, if that would be over ``most_rows`` together.  Only these reach the driver."""
+    usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    usable = usable.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
+    sizes = keep(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    n = sizes.count()
+    if n > most_rows:
+        raise ValueError(f"{n} languages: a row of each is over {most_rows} rows")
+    each = min(per_language, most_rows // max(1, n))
+    place = F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30))
+    few = usable.withColumn("h", F.xxhash64("id", "text", F.lit("language sample"))).join(sizes, "lang").where(place * F.col("n") < 2 * each)
+    once = few.groupBy("lang", "h").agg(F.min("text").alias("text"))
+    first = once.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(place, "h"))).where(F.col("at") <= each)
+    found = sorted((r[0], r[1], bytes(r[2])) for r in first.select("lang", "h", "text").collect())
+    return [r[2].decode("utf-8", "replace") for r in found], [r[0] for r in found]
 
 
-def fit(docs: DataFrame, per_language: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Train on a bounded sample of labelled rows; ``per_language`` is the bound."""
-    return train(*sample(docs, per_language, id_col, text_col, lang_col))
+def fit(docs: DataFrame, per_language: int = 1000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most_rows: int = 1_000_000) -> LanguageModel:
+    """Train on a bounded sample of labelled rows; ``per_language`` and ``most_rows`` are the bounds.  Any number of languages
+    up to ``most_rows`` can be learned and predicted."""
+    return train(*sample(docs, per_language, id_col, text_col, lang_col, most_rows))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, lang_pred, score, rejected.
 
-    The whole text is read.  A null text, or one without a letter, is ``und`` with score 0 and rejected; any other gets a
-    learned language, and is rejected if its score or its share of pieces seen in training is under the calibrated least.  Ids may be null (not held out) or
-    repeated; other columns are ignored; an empty table gives an empty result; without any labelled row all are ``und``.
+    The whole text is read, a very long one part by part; bytes that are not UTF-8 are replaced.  A null text, or one without
+    a letter, is ``und`` with score 0 and rejected; any other gets a learned language, and is rejected if its score or its
+    share of pieces seen in training is under the calibrated least.  Of equally probable languages, the first by name is
+    chosen.  Ids may be null (not held out) or repeated; other columns are ignored; an empty table gives an empty result;
+    without any labelled row all are ``und``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,16 +229,25 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
 
 def keep_known(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose language is known: all columns, in one narrow pass."""
+    """The rows of ``docs`` whose language is known: all columns, whatever their names, in one narrow pass.  Rows whose text
+    is null, or has no letter, go; repeated rows share their fate; an empty table gives an empty result."""
     return filter_texts(docs, lambda t: not model.predict(t)[2], text_col)
 
 
 def filter_texts(docs: DataFrame, wanted, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` for whose text (str or None) ``wanted`` holds."""
+    """The rows of ``docs`` for whose text (str or None) ``wanted`` holds.  Bytes that are not UTF-8 are replaced for
+    ``wanted``, and stay as they are in the rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            yield batch.filter(pa.array([bool(wanted(t.as_py())) for t in batch.column(at)], pa.bool_()))
+            found = [bool(wanted(t)) for t in decoded(batch.column(batch.schema.get_field_index(text_col)))]
+            yield batch.filter(pa.array(found, pa.bool_()))
 
     return map_texts(docs, run, docs.schema)
+
+
+def decoded(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of a string or binary column, one at a time."""
+    for t in texts.cast(pa.large_binary() if pa.types.is_large_string(texts.type) else pa.binary()):
+        raw = t.as_py()
+        yield None if raw is None else raw.decode("utf-8", "replace")
