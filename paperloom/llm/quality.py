@@ -11,8 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.llm.langid import filter_texts
-from paperloom.llm.shared import keep, map_texts
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
+
+from paperloom.llm.langid import decoded
+from paperloom.llm.shared import keep, map_texts, unused
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -54,7 +56,7 @@ def measure(text: str | None) -> tuple[tuple[int, ...], tuple[int, ...]]:
     return counts, votes(text, words, lines, counts)
 
 
-def _vote(value: float, good: bool, bad: bool) -> int:
+def _vote(good: bool, bad: bool) -> int:
     return GOOD if good else BAD if bad else ABSTAIN
 
 
@@ -72,16 +74,16 @@ def votes(text: str, words: list[str], lines: list[str], counts: tuple[int, ...]
     cells = text.count("|") / m
     letters = sum(map(str.isalpha, text)) / c
     return (
-        _vote(n, n >= 40, n < 20),
-        _vote(repeats, 100 * repeats <= 5 * n, 100 * repeats > 30 * n),
-        _vote(symbols, symbols <= 0.01 * c, symbols > 0.1 * c),
-        _vote(upper, upper <= 0.05, upper > 0.3),
-        _vote(shout, shout <= 0.02, shout > 0.15),
-        _vote(variety, variety >= 0.3 or n < 40, variety < 0.05 and n >= 40),
-        _vote(mean, 2.5 <= mean <= 9, mean < 2 or mean > 14),
-        _vote(dup, dup <= 0.1 * len(lines), dup > 0.3 * len(lines)),
-        _vote(cells, cells <= 0.02, cells > 0.25),
-        _vote(letters, letters >= 0.9, letters < 0.7),
+        _vote(n >= 40, n < 20),
+        _vote(100 * repeats <= 5 * n, 100 * repeats > 30 * n),
+        _vote(symbols <= 0.01 * c, symbols > 0.1 * c),
+        _vote(upper <= 0.05, upper > 0.3),
+        _vote(shout <= 0.02, shout > 0.15),
+        _vote(variety >= 0.3 or n < 40, variety < 0.05 and n >= 40),
+        _vote(2.5 <= mean <= 9, mean < 2 or mean > 14),
+        _vote(dup <= 0.1 * len(lines), dup > 0.3 * len(lines)),
+        _vote(cells <= 0.02, cells > 0.25),
+        _vote(letters >= 0.9, letters < 0.7),
     )
 
 
@@ -175,17 +177,27 @@ def score(marked: DataFrame, least: float = 0.5) -> DataFrame:
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    posterior.  A null text has no words, so it fails; ids may be null or repeated; other columns are ignored; an empty
-    table gives an empty result.  Statistics come from all rows; the marks are written to the shared folder once."""
+    posterior.  A null text has no words, so it fails; texts of any length are measured whole; bytes that are not UTF-8 are
+    replaced; ids may be null or repeated; other columns are ignored; an empty table gives an empty result.  Statistics come from all rows; the marks are written to the shared folder once."""
     return score(keep(measured(docs, id_col, text_col), "marks"), least)
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that ``quality`` keeps.  The second pass measures again rather than join texts by id."""
-    posterior = fit(measured(docs, id_col, text_col))
-
-    def wanted(text: str | None) -> bool:
-        counts, cast = measure(text)
-        return not base_failed(counts[0], counts[4]) and posterior.get(_pattern(cast), 0.0) >= least
+def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that ``quality`` keeps, with all columns, whatever their names.  One pass measures the texts and
+    writes each row with its votes and whether it fails the base rule; the posterior of each pattern of votes then filters
+    them.  Rows with a null text go, as they have no words; repeated rows share their fate; bytes that are not UTF-8 are
+    replaced for the rules and stay in the rows; an empty table gives an empty result."""
+    pattern, failed = unused(docs.columns, "pattern"), unused(docs.columns, "base_failed")
 
-    return filter_texts(docs, wanted, text_col)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [measure(t) for t in decoded(batch.column(batch.schema.get_field_index(text_col)))]
+            marks = [pa.array([_pattern(cast) for _, cast in rows], pa.int64()), pa.array([base_failed(c[0], c[4]) for c, _ in rows], pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *marks], [*batch.schema.names, pattern, failed])
+
+    marked = StructType([*docs.schema.fields, StructField(pattern, LongType()), StructField(failed, BooleanType())])
+    rows = keep(map_texts(docs, run, marked), "measured")
+    posterior = fit(rows.select(F.col(pattern).alias("pattern")))
+    good = [(p,) for p, value in posterior.items() if value >= least]
+    table = docs.sparkSession.createDataFrame(good or [(-1,)], f"`{pattern}` long")
+    return rows.where(~F.col(failed)).join(F.broadcast(table), pattern, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

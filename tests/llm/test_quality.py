@@ -65,3 +65,54 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and not any(r.kept for r in got if r.doc_id == 0)
     assert Q.quality(df.limit(0)).count() == 0
     assert Q.keep_good(df).count() == sum(r.kept for r in got) and Q.keep_good(df.limit(0)).columns == df.columns
+
+
+def brute_posteriors(rows):
+    """Expectation-maximisation over documents one by one, in plain Python."""
+    n, rules = len(rows), len(rows[0])
+    faith = max(1.0, 1e-5 * n)
+    good = [0.1 if Q.BAD in r else 0.98 for r in rows]
+    for _ in range(100):
+        prior = (sum(good) + 2 * faith) / (n + 3 * faith)
+        said = []
+        for k in range(rules):
+            row = []
+            for kind, pseudo in ((0, (0.5, 0.5)), (1, (0.01, 0.99))):
+                share = [g if kind else 1 - g for g in good]
+                cast = [sum(s for s, r in zip(share, rows) if r[k] == v) + faith * p for v, p in zip((Q.BAD, Q.GOOD), pseudo)]
+                row.append([x / sum(cast) for x in cast])
+            said.append(row)
+        new = []
+        for r in rows:
+            a, b = 1 - prior, prior
+            for k, v in enumerate(r):
+                if v != Q.ABSTAIN:
+                    a, b = a * said[k][0][v], b * said[k][1][v]
+            new.append(b / (a + b))
+        change = max(abs(x - y) for x, y in zip(new, good))
+        good = new
+        if change < 1e-9:
+            break
+    return good
+
+
+def test_posterior_and_kept_against_brute_force(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    rows = docs.collect()
+    measured = [Q.measure(r.text) for r in rows]
+    want = {r.doc_id: (p, p >= 0.5 and not Q.base_failed(c[0], c[4])) for r, p, (c, _) in zip(rows, brute_posteriors([v for _, v in measured]), measured)}
+    got = {r.doc_id: (r.posterior, r.kept) for r in Q.quality(docs).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[i][0] - want[i][0]) < 1e-6 and got[i][1] == want[i][1] for i in want)
+    assert {r.doc_id for r in Q.keep_good(docs).collect()} == {i for i, (_, kept) in want.items() if kept}
+
+
+def test_very_long_text_bytes_that_are_not_text_and_clashing_columns(spark):
+    long = " ".join(f"word{i}" for i in range(400_000))
+    assert Q.measure(long)[0] == (400_000, len(long) - 399_999, 0, 0, 0)
+    assert Q.measure(f"{long} {long}")[0][4] == 800_000
+    docs = spark.sql("SELECT 1L doc_id, CAST(concat(X'FF', cast(repeat('some fine words here ', 1) AS BINARY)) AS STRING) text, CAST(X'FE' AS STRING) AS pattern, 7 AS base_failed, 8 AS _pattern UNION ALL SELECT 2L, NULL, NULL, NULL, NULL")
+    good = docs.selectExpr("doc_id", "CAST(concat(X'FF20', CAST(array_join(transform(sequence(1, 60), x -> concat('words', chr(97 + x % 26), 'ly', chr(97 + x % 7))), ' ') AS BINARY)) AS STRING) AS text", "pattern", "base_failed", "_pattern").where("pattern IS NOT NULL")
+    kept = Q.keep_good(good.unionByName(docs))
+    assert kept.columns == docs.columns and [(r.doc_id, r.base_failed) for r in kept.selectExpr("doc_id", "base_failed").collect()] == [(1, 7)]
+    assert kept.selectExpr("hex(pattern)").first()[0] == "FE"
