@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import islice
+from itertools import accumulate, islice
 from math import ceil, floor
 
 import numpy as np
@@ -13,10 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from paperloom.llm.shared import BROADCAST_ROWS, new_folder, ranked
+from paperloom.llm.shared import BROADCAST_ROWS, new_folder, ranked, unused
 
-#: More sources than this are refused: their counts and windows are tables on the driver.
-MOST_SOURCES = 4096
 #: Slots of the schedule that the driver holds at a time; a longer one is written piece by piece.
 MOST_SLOTS = 1 << 20
 #: Window ends this near to a whole slot are that slot: they are sums of doubles.
@@ -49,10 +47,9 @@ class Fluid:
     def __init__(self, blocks: list[int], weights: list[float]):
         self.blocks, self.weights = blocks, weights
         ends = sorted((n / w, w, i) for i, (n, w) in enumerate(zip(blocks, weights)) if n)
-        self.v, self.t, self.rate = [0.0], [0.0], []
+        self.v, self.t = [0.0], [0.0]
         # rates from the last end backwards, so that small weights are not lost in differences
-        for _, w, _ in reversed(ends):
-            self.rate.insert(0, w + (self.rate[0] if self.rate else 0.0))
+        self.rate = list(accumulate(w for _, w, _ in reversed(ends)))[::-1]
         for (v, _, _), rate in zip(ends, self.rate):
             self.t.append(self.t[-1] + (v - self.v[-1]) * rate)
             self.v.append(v)
@@ -125,36 +122,41 @@ def _groups(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.nd
     return found.tolist(), np.split(values, starts[1:])
 
 
-def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source", most_sources: int = 1 << 20) -> DataFrame:
     """Every row of ``docs``, with all its columns, and mix_block (of its source), mix_slot (when that block comes),
     mix_place (in the block).  Sorting by slot and place gives the mixture; no row is dropped or repeated.
 
     ``weights`` gives target weights (any positive numbers) by source; sources it does not name, and all if it is None, get
     ``power`` of their size.  The order of documents within a source is by a hash of the id.  At every slot each source has
     had less than one block more or less than its target, which is its exact share, unrounded, of the slots; when a source
-    runs out, the others' shares are renewed from there on.  Null sources are one source; null or repeated ids are rows like
-    any other; columns that have those three names already are replaced; an empty table gives an empty result.
+    runs out, the others' shares are renewed from there on.  Blocks of equal deadlines come in the order of their sources'
+    names, documents of equal hashes in that of their ids.  Null sources are one source; null or repeated ids are rows like
+    any other; columns that have those three names already are replaced, any others are kept, whatever their names; an empty
+    table gives an empty result.  The driver holds a row a source, about half a kilobyte; over ``most_sources`` of them are
+    an error.
     """
     spark = docs.sparkSession
     docs = docs.drop("mix_block", "mix_slot", "mix_place")
-    counts = {r[0]: r[1] for r in docs.groupBy(source_col).count().limit(MOST_SOURCES + 1).collect()}
-    if len(counts) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
+    counts = {r[0]: r[1] for r in docs.groupBy(source_col).agg(F.count(F.lit(1))).limit(most_sources + 1).collect()}
+    if len(counts) > most_sources:
+        raise ValueError(f"more than {most_sources} sources")
     names = sorted(counts, key=lambda x: (x is not None, x))
     aims = exact_weights(counts, power, weights)
     blocks = [-(-counts[k] // block) for k in names]
     plan = _table(spark, names, schedule(spark, blocks, [aims[k] for k in names]), docs.schema[source_col].dataType, sum(blocks))
     # about 20,000 documents of the largest source meet in one bucket, whatever its size
     buckets = max(1, min(256, BROADCAST_ROWS // max(1, len(names))), max(counts.values(), default=0) // 20_000)
-    ordered = ranked(docs, [source_col], [id_col], [F.xxhash64(id_col, F.lit("mix")), F.col(id_col)], "__rank", buckets, len(names))
-    placed = ordered.withColumn("mix_block", F.floor(F.col("__rank") / block).cast("long")).withColumn("mix_place", (F.col("__rank") % block).cast("int"))
-    joined = placed.join(plan, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("mix_block") == F.col("__block")))
-    return joined.withColumn("mix_slot", F.col("__slot")).select(*docs.columns, "mix_block", "mix_slot", "mix_place")
+    rank, of, at, slot = (unused(docs.columns, f"__{x}") for x in ("rank", "source", "block", "slot"))
+    ordered = ranked(docs, [source_col], [id_col], [F.xxhash64(id_col, F.lit("mix")), F.col(id_col)], rank, buckets, len(names))
+    placed = ordered.withColumn("mix_block", F.floor(F.col(rank) / block).cast("long")).withColumn("mix_place", (F.col(rank) % block).cast("int"))
+    theirs = plan.select(F.col("source").alias(of), F.col("block").alias(at), F.col("slot").alias(slot))
+    theirs = F.broadcast(theirs) if sum(blocks) <= BROADCAST_ROWS else theirs
+    joined = placed.join(theirs, F.col(source_col).eqNullSafe(F.col(of)) & (F.col("mix_block") == F.col(at)))
+    return joined.withColumn("mix_slot", F.col(slot)).select(*[F.col(f"`{c}`") for c in docs.columns], "mix_block", "mix_slot", "mix_place")
 
 
 def _table(spark: SparkSession, names: list, rows: Iterator[tuple], kind, total: int) -> DataFrame:
-    """The schedule as a table of source, block and slot: broadcast if it is short, else joined by key.  The driver holds
-    MOST_SLOTS slots of it at a time."""
+    """The schedule as a table of source, block and slot.  The driver holds MOST_SLOTS slots of it at a time."""
     fields = {"__source": to_arrow_type(kind), "__first": pa.int64(), "__at": pa.int64(), "__places": pa.list_(pa.int32())}
 
     def frame(part: list[tuple]) -> DataFrame:
@@ -172,12 +174,12 @@ def _table(spark: SparkSession, names: list, rows: Iterator[tuple], kind, total:
             part.append(r)
         frame(part).write.mode("append").parquet(path)
         runs = spark.read.parquet(path)
-    each = runs.select(F.col("__source").cast(kind).alias("__source"), "__first", "__at", F.posexplode("__places").alias("__k", "__place"))
-    plan = each.select("__source", (F.col("__first") + F.col("__k")).alias("__block"), (F.col("__at") + F.col("__place")).alias("__slot"))
-    return F.broadcast(plan) if total <= BROADCAST_ROWS else plan
+    each = runs.select(F.col("__source").cast(kind).alias("source"), "__first", "__at", F.posexplode("__places").alias("__k", "__place"))
+    return each.select("source", (F.col("__first") + F.col("__k")).alias("block"), (F.col("__at") + F.col("__place")).alias("slot"))
 
 
-def in_mixed_order(mixed: DataFrame, columns: list[str], per_file: int = 4096) -> DataFrame:
-    """Rows of ``mix`` in order of slot and place, in as many ordered partitions as their number asks for."""
+def in_mixed_order(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns of ``mix``'s rows in order of slot and place, in as many ordered partitions as their number asks
+    for.  Slots and places are never null and no two rows share both, so the order is whole; an empty table stays empty."""
     ordered = mixed.repartitionByRange("mix_slot").sortWithinPartitions("mix_slot", "mix_place")
-    return ordered.select(*columns)
+    return ordered.select(*[F.col(f"`{c}`") for c in columns])

@@ -94,4 +94,4 @@ def ranked(df: DataFrame, part: list[str], spread: list[str], order: list[str],
     for c, t in theirs.items():
         same = same & F.col(c).eqNullSafe(F.col(t))
     joined = numbered.join(F.broadcast(renamed) if buckets * parts <= BROADCAST_ROWS else renamed, same, "left")
-    return joined.select(*df.columns, (F.col(at) + F.col(before)).cast("long").alias(out))
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(at) + F.col(before)).cast("long").alias(out))

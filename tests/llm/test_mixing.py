@@ -104,3 +104,67 @@ def test_long_schedules_are_written_in_runs(spark, monkeypatch):
     assert sorted({r.mix_slot for r in got}) == list(range(len({r.mix_slot for r in want})))
     first = {r.mix_slot: r.source for r in got}
     assert first == {r.mix_slot: r.source for r in want}
+
+
+def brute_slots(blocks, weights):
+    """Earliest deadline first over windows of the ideal mixture, all in exact fractions, looking at every source each slot."""
+    weights = [Fraction(w) for w in weights]
+    ends = sorted({n / w for n, w in zip(blocks, weights) if n})
+
+    def when(i, had):
+        v, t, last = Fraction(had) / weights[i], Fraction(0), Fraction(0)
+        for end in ends:
+            rate = sum(w for n, w in zip(blocks, weights) if n and n / w >= end)
+            t += (min(v, end) - last) * rate
+            last = min(v, end)
+            if last == v:
+                return t
+        return t
+
+    done, out = [0] * len(blocks), []
+    for t in range(sum(blocks)):
+        left = [i for i in range(len(blocks)) if done[i] < blocks[i]]
+        open_ = [i for i in left if when(i, done[i]).__floor__() <= t]
+        best = min(open_, key=lambda i: (when(i, done[i] + 1).__ceil__(), i))
+        out.append(best)
+        done[best] += 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_schedule_against_brute_force(seed):
+    import random
+
+    rnd = random.Random(seed)
+    n = rnd.randint(1, 7)
+    blocks, weights = [rnd.randint(0, 12) for _ in range(n)], [rnd.choice([1, 2, 3, 5, 0.5, 0.25]) for _ in range(n)]  # exact as doubles
+    assert list(mixing.slots(blocks, weights)) == brute_slots(blocks, weights)
+
+
+def test_order_against_brute_force(spark):
+    rows = [(i % 400, ["a", "b", None, "c"][i % 7 % 4], i) for i in range(450)]  # some ids twice
+    df = spark.createDataFrame(rows, "doc_id long, source string, n long")
+    # buckets by one hash of the id, order in a bucket by another
+    place = {r[0]: (r[1], r[2]) for r in df.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(256)), F.xxhash64("doc_id", F.lit("mix"))).distinct().collect()}
+    names = [None, "a", "b", "c"]
+    of = {s: sorted((place[i], i) for i, x, _ in rows if x == s) for s in names}
+    blocks = [-(-len(of[s]) // 8) for s in names]
+    weights = mixing.exact_weights({s: len(of[s]) for s in names})
+    want, done = [], Counter()
+    for slot, k in enumerate(brute_slots(blocks, [weights[s] for s in names])):
+        at = done[k] * 8
+        want += [(i, names[k], done[k], slot, p) for p, (_, i) in enumerate(of[names[k]][at : at + 8])]
+        done[k] += 1
+    got = mixing.mix(df, block=8).collect()
+    assert sorted(((r.doc_id, r.source, r.mix_block, r.mix_slot, r.mix_place) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_any_number_of_sources_and_clashing_columns(spark):
+    df = spark.range(9000).selectExpr("id AS doc_id", "concat('host', id % 6000) AS source", "id AS __rank", "id + 1 AS __source", "id + 2 AS __block", "id + 3 AS `__w`", "id + 4 AS __rank_bucket", "id + 5 AS `a.b`", "id + 6 AS count")
+    got = mixing.mix(df)
+    assert got.columns == [*df.columns, "mix_block", "mix_slot", "mix_place"]
+    rows = got.collect()
+    assert len(rows) == 9000 and all(r["__rank"] == r.doc_id and r["__source"] == r.doc_id + 1 and r["a.b"] == r.doc_id + 5 for r in rows)
+    assert sorted({r.mix_slot for r in rows}) == list(range(6000))
+    with pytest.raises(ValueError):
+        mixing.mix(df, most_sources=100)
