@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from paperloom.llm.shared import keep, ranked
 
 
+#: Rows of a large group that one task ranks together.
+CELL_PART = 100_000
+
+
 def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, size, text_crc32, gid): gid is the digest of the text, the hub that links equal texts; null for null."""
     text = F.col(text_col).cast("binary")
@@ -24,10 +28,12 @@ def propagate(cells: DataFrame, quota: float, shards: int, rounds: int) -> DataF
 
     What moves is a cell: the documents of one group that started in one shard, so the table has at most ``shards`` rows
     for a group of any size.  Each round, a group's leading shards are those where it has most documents, as many as it
-    needs at ``quota`` documents each; its cells ask to move there, into the first until that would be full, and so on.  A shard that is asked for more than it has free
-    accepts that share of the groups, by hash; the rest try again in the next round.
+    needs at ``quota`` documents each, equal ones in the order of a hash; its cells ask to move there, into the first until
+    that would be full, and so on.  A shard that is asked for more than it has free accepts that share of the groups, by
+    hash; the rest try again in the next round.  The rounds end when none asks to move, when two rounds have moved none, as
+    what is asked for is full, or after ``rounds``, of which a few suffice: the free room shrinks with each.
     """
-    cells = keep(cells.select("gid", "start", "n", F.col("start").alias("shard")), "cells")
+    cells, idle = keep(cells.select("gid", "start", "n", F.col("start").alias("shard"), F.lit(False).alias("moved")), "cells"), 0
     for k in range(rounds):
         load = {r[0]: r[1] for r in cells.groupBy("shard").agg(F.sum("n")).collect()}  # at most one row a shard
         held = cells.groupBy("gid", "shard").agg(F.sum("n").alias("here"))
@@ -46,17 +52,21 @@ def propagate(cells: DataFrame, quota: float, shards: int, rounds: int) -> DataF
         big = (F.col("total") > quota).cast("int")  # a large group moves cell by cell, others whole
         open_share = F.array(*[F.lit(min(1.0, max(0.0, quota - load.get(s, 0)) / demand[s]) if s in demand else 0.0) for s in range(shards)])
         accepted = _place(F.col("gid"), F.col("start") * big, F.lit(k)) < F.element_at(open_share, F.col("to") + 1)
-        cells = keep(asked.select("gid", "start", "n", F.when(accepted, F.col("to")).otherwise(F.col("shard")).alias("shard")), "cells")
+        cells = keep(asked.select("gid", "start", "n", F.when(accepted, F.col("to")).otherwise(F.col("shard")).alias("shard"), (accepted & (F.col("to") != F.col("shard"))).alias("moved")), "cells")
+        idle = idle + 1 if cells.where("moved").isEmpty() else 0
+        if idle == 2:
+            break
     return cells.select("gid", "start", "shard")
 
 
-def shard(docs: DataFrame, shards: int = 40, rounds: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 40, rounds: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law ('rows'), shard, slot, grown_shard (null).
 
     Law: the shards' row counts are at most one apart.  Documents with equal texts are linked, through their text's
     digest and not pair by pair, and share a shard as far as quotas allow; a group larger than a shard fills several.
-    Documents without links fill what is left.  A null text has no link, size 16 and the checksum of nothing.  Null or
-    repeated ids are rows like any other; other columns are ignored; an empty table gives an empty result; fewer rows than
+    Documents without links fill what is left.  A null text has no link, size 16 and the checksum of nothing; a text of any
+    length is one document, hashed whole.  Null or repeated ids are rows like any other, and rows that are equal in id and
+    text are interchangeable; other columns are ignored, whatever their names; an empty table gives an empty result; fewer rows than
     shards leave shards empty.  Everything stays in DataFrame operations; what reaches the driver is a row for each shard.
     """
     start = F.pmod(F.xxhash64("doc_id", "gid"), F.lit(shards)).cast("int")
@@ -68,10 +78,12 @@ def shard(docs: DataFrame, shards: int = 40, rounds: int = 5, id_col: str = "doc
     groups = cells.groupBy("gid").agg(F.sum("n").alias("members")).where("members > 1")
     linked = keep(cells.join(groups, "gid"), "linked")
     homes = propagate(linked, max(1.0, total / shards), shards, rounds)
-    # a group is ranked as one run, but a large one cell by cell
+    # a group is ranked as one run, but a large one cell by cell, and a large cell in parts, so that no task ranks very many rows
     large = F.col("members") > max(64, total // shards // 16)
-    homes = keep(homes.join(linked, ["gid", "start"]).select("gid", "start", "shard", F.xxhash64("gid", F.when(large, F.col("start")).otherwise(-1)).alias("run")), "homes")
-    settled = base.join(homes, ["gid", "start"]).select("doc_id", "size", "text_crc32", "gid", "start", "shard", "run")
+    parts = F.when(large, F.ceil(F.col("n") / CELL_PART)).otherwise(1).cast("int")
+    homes = keep(homes.join(linked, ["gid", "start"]).select("gid", "start", "shard", F.when(large, F.col("start")).otherwise(-1).alias("cell"), parts.alias("parts")), "homes")
+    run = F.xxhash64("gid", "cell", F.pmod(F.xxhash64("doc_id"), F.col("parts"))).alias("run")
+    settled = base.join(homes, ["gid", "start"]).select("doc_id", "size", "text_crc32", "gid", "start", "shard", run)
     settled = keep(ranked(settled, ["shard"], ["run"], ["run", "gid", "doc_id", "text_crc32"], "slot", max(256, total // shards // 1_000_000), shards), "settled")
     quota = F.array(*map(F.lit, most))
     fits = F.col("slot") < F.element_at(quota, F.col("shard") + 1)

@@ -46,3 +46,21 @@ def test_nulls_repeats_and_clashing_columns(spark):
     laws(got, rows, 3)
     assert sorted(r.size for r in got) == [16, 16, 16, 16, 18, 18]
     assert {r.grown_shard for r in got} == {None} and {r.law for r in got} == {"rows"}
+
+
+def test_a_hot_group_is_ranked_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_PART", 50)
+    rows = [(i, "hot") for i in range(9000)] + [(10_000 + i, f"single {i}") for i in range(1000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 5).collect()
+    laws(got, rows, 5)
+    assert all(n >= 1000 for n in Counter(r.shard for r in got if r.doc_id < 10_000).values())
+
+
+def test_groups_that_fit_are_whole_when_the_labels_have_settled(spark):
+    rows = [(10 * g + i, f"group {g}") for g in range(300) for i in range(2 + g % 7)] + [(100_000 + i, f"single {i}") for i in range(2000)] + [(9, "long " * 500_000)] * 2
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 10).collect()
+    laws(got, rows, 10)
+    texts, where = dict(rows), defaultdict(set)
+    for r in got:
+        where[texts[r.doc_id]].add(r.shard)
+    assert all(len(shards) == 1 for shards in where.values())
