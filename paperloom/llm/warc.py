@@ -126,9 +126,9 @@ def read_index(archive: Archive) -> DataFrame:
     page = F.nullif(_line("WARC-X-Page"), F.lit("")).cast("long").alias("page_id")
     said = F.regexp_replace(_line("WARC-Payload-Digest"), "^sha1:", "").alias("said")
     found = base32_of_hex(F.sha1("payload"), 40).alias("payload_digest")
-    responses = _parts(archive).select("strong", page, F.octet_length("payload").cast("long").alias("payload_bytes"), found, said)
+    # lengths and digests are written once; the join that gives them to the revisits can split a payload of very many
+    responses = keep(_parts(archive).select("strong", page, F.octet_length("payload").cast("long").alias("payload_bytes"), found, said), "responses")
     revisits = archive.records.where("record_type = 'revisit'").select("strong", page, said, F.nullif(_line("WARC-X-Refers-To-Page"), F.lit("")).cast("long").alias("refers_to"))
-    # written first, so that the join can split a payload of very many revisits
     by_payload = keep(responses.groupBy("strong").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest")), "payload-index")
     both = responses.select("page_id", "payload_bytes", "payload_digest", "said", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     both = both.unionByName(revisits.join(by_payload, "strong").select("page_id", "payload_bytes", "payload_digest", "said", F.lit("revisit").alias("record_type"), "refers_to"))
