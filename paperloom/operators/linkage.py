@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions.scalars import compact, paper_id, prefix_key, unnumbered
-from paperloom.functions.textudf import ratio, ratio_col
+from paperloom.functions.textudf import ratio_col
 from paperloom.operators.ranking import first_per
 from paperloom.plans.storage import keep
 
 #: Stages of the resolver in the order in which they are tried, and the kind of key that each looks up.
 STAGES = ((1, "title", "title"), (2, "title_compact", "compact"), (3, "title_stripped", "stripped"), (4, "title_compact", "stripped_compact"))
-START, STEP, STEPS = 0.95, 0.05, 10
 LEAST_BY_YEAR = 0.8
+#: A candidate stands out if a threshold parts it from the next best: thresholds are HIGHEST and so many LEVELS below it, a
+#: STEP apart, and where one lets in several at once, a grid of GRID parts between it and the one above.
+HIGHEST, STEP, LEVELS, GRID = 0.95, 0.05, 10, 1024
+#: What a score is rounded by, so that equal thresholds are equal.
+NEAR = 1e-9
 
 
 def targets(df: DataFrame, ident: str, ordinal: str, title_key: Column, year: Column | None = None, author: Column | None = None) -> DataFrame:
@@ -48,77 +51,71 @@ def exact_stages(asked: DataFrame, posts: DataFrame) -> DataFrame:
     return first_per(hits, ["ident"], [F.col("stage")]).select("ident", "target", "match_type", F.lit(1.0).alias("score"))
 
 
-def adaptive(title: str, candidates: list[tuple[object, str]]) -> tuple[object, float] | None:
-    """The candidate that stands out: the first that overlaps the title, else the only one above a threshold that falls
-    from 0.95 in steps of 0.05; where a step brings in several at once, the threshold is halved between the steps."""
-    scored = []
-    for target, other in candidates:
-        if _overlap(title, other):
-            return target, 1.0
-        if other:
-            scored.append((target, ratio(title, other)))
-
-    def above(least: float) -> list[tuple[object, float]]:
-        return [c for c in scored if c[1] >= least]
-
-    level, empty_at = START, None
-    for _ in range(STEPS):
-        found = above(level)
-        if len(found) == 1:
-            return found[0]
-        if found and empty_at is not None:
-            low, high = level, empty_at
-            for _ in range(STEPS):
-                middle = (low + high) / 2
-                found = above(middle)
-                if len(found) == 1:
-                    return found[0]
-                low, high = (middle, high) if found else (low, middle)
-            return None
-        empty_at = None if found else level
-        level -= STEP
-    return None
-
-
-def _overlap(a: str, b: str) -> bool:
-    short, long = sorted((a, b), key=len)
-    return bool(short) and (a == b or ((len(short) >= 24 or len(short.split()) >= 4) and short in long))
+def stands_out(best: Column, second: Column) -> Column:
+    """Whether a threshold lets in the best score alone.  The first level that the best reaches decides: the second falls short
+    of it, or is in a lower cell of the grid between it and the level above.  At the highest level there is none above."""
+    level = F.greatest(F.lit(0), F.ceil((F.lit(HIGHEST) - best) / STEP - NEAR))
+    floor_ = F.lit(HIGHEST) - level * STEP
+    cell = lambda s: F.floor((s - floor_) / STEP * GRID + NEAR)
+    apart = second.isNull() | (second < floor_ - NEAR) | ((level > 0) & (cell(best) > cell(second)))
+    return (level < LEVELS) & apart
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Equal titles, or one that holds the other, if that is long enough to say something: 24 characters or four words."""
+    short, long = F.when(F.length(b) < F.length(a), b).otherwise(a), F.when(F.length(b) < F.length(a), a).otherwise(b)
+    telling = (F.length(short) >= 24) | (F.size(F.split(F.trim(short), r"\s+")) >= 4)
+    return (short != "") & ((a == b) | (telling & long.contains(short)))
+
+
+def within_reach(a: Column, b: Column, least: float) -> Column:
+    """Whether the lengths allow a ratio of ``least``: 2 m / (|a| + |b|) with m at most the shorter length."""
+    return F.least(F.length(a), F.length(b)) * 2 >= (F.length(a) + F.length(b)) * F.lit(least) - NEAR
 
 
 def block_stage(asked: DataFrame, posts: DataFrame, kind: str, key: Column, match_type: str, least: float = 0.0) -> DataFrame:
-    """(ident, target, match_type, score): adaptive similarity of each query over the targets of its block, which come in
-    order of ordinal.  A query's candidates are one block of one key; blocks are small by construction of their keys, and a
-    query is the unit of work, so a frequent block is dealt out by its queries."""
+    """(ident, target, match_type, score): for each query the target of its block that overlaps it, the first in order, or else
+    the one whose similarity stands out among the block's, and is ``least`` at least.
+
+    Pairs are scored in Arrow batches, and only those whose lengths allow a score that could matter.  A query's two best are
+    picked by rank, which keeps two rows a query in every task before anything is shuffled; no block is gathered.
+    """
     mine = asked.select("ident", "title_key", key.alias("key")).where("key IS NOT NULL AND title_key != ''")
-    block = posts.where(F.col("kind") == kind).select("key", "target", "target_ord", "target_title")
+    block = posts.where((F.col("kind") == kind) & F.col("target_title").isNotNull()).select("key", "target", "target_ord", "target_title")
     paired = mine.join(block, "key").select("ident", "title_key", "target", "target_ord", "target_title")
-    kinds = dict(paired.dtypes)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("target_ord")
-        found = adaptive(rows["title_key"].iloc[0], list(zip(rows["target"], rows["target_title"])))
-        out = [(rows["ident"].iloc[0], found[0], match_type if found[1] >= 1.0 else "title_fuzzy", float(found[1]))] if found and found[1] >= least else []
-        return pd.DataFrame(out, columns=["ident", "target", "match_type", "score"])
-
-    return paired.groupBy("ident").applyInPandas(pick, f"ident {kinds['ident']}, target {kinds['target']}, match_type string, score double")
+    lowest = max(least, HIGHEST - STEP * (LEVELS - 1))
+    t, o = F.col("title_key"), F.col("target_title")
+    first = F.min(F.struct("target_ord", "target"))
+    same = keep(paired.where(overlap(t, o)).groupBy("ident").agg(first.alias("t")).select("ident", F.col("t.target").alias("target")), "overlaps")
+    # a second best below the lowest threshold never matters, a best below it never wins
+    others = paired.join(same, "ident", "left_anti").where((o != "") & within_reach(t, o, lowest - STEP))
+    scored = others.select("ident", "target", "target_ord", ratio_col(t, o).alias("score"))
+    at = F.row_number().over(Window.partitionBy("ident").orderBy(F.desc("score"), "target_ord"))
+    two = scored.withColumn("at", at).where("at <= 2").groupBy("ident")
+    two = two.agg(F.min_by("target", "at").alias("target"), F.max("score").alias("best"), F.max(F.when(F.col("at") == 2, F.col("score"))).alias("second"))
+    found = two.where((F.col("best") >= least) & stands_out(F.col("best"), F.col("second")))
+    named = F.when(F.col("best") >= 1.0, match_type).otherwise("title_fuzzy")
+    matches = found.select("ident", "target", named.alias("match_type"), F.col("best").alias("score"))
+    return matches.unionByName(same.select("ident", "target", F.lit(match_type).alias("match_type"), F.lit(1.0).alias("score")))
 
 
 def resolve(asked: DataFrame, posts: DataFrame) -> DataFrame:
     """(ident, target, match_type, score) by the whole cascade: exact title, compact, without leading numbers, then prefix
     block, author and year, year.  Every stage sees only what the stages before it left."""
-    exact = exact_stages(asked, posts)
+    # what a stage found is written, as the stages after it ask for what it left
+    exact = keep(exact_stages(asked, posts), "exact")
     left = asked.join(exact, "ident", "left_anti")
     t = F.col("title_key")
     has_block = posts.where("kind = 'prefix'").select("key").distinct()
     own, bare = prefix_key(t), prefix_key(unnumbered(t))
     tried = left.withColumn("own", own).withColumn("bare", bare)
     known = tried.join(has_block.select(F.col("key").alias("own"), F.lit(True).alias("hit")), "own", "left")
-    prefix = block_stage(known, posts, "prefix", F.when(F.col("hit"), F.col("own")).otherwise(F.col("bare")), "title_prefix")
+    prefix = keep(block_stage(known, posts, "prefix", F.when(F.col("hit"), F.col("own")).otherwise(F.col("bare")), "title_prefix"), "prefix")
     left = left.join(prefix, "ident", "left_anti").where(F.col("year").rlike(r"^\d+$"))
     both = F.when(F.coalesce(F.col("author"), F.lit("")) != "", F.concat_ws(":", "year", "author"))
     with_author = left.withColumn("ay", both)
     blocks = posts.where("kind = 'author_year'").select(F.col("key").alias("ay"), F.lit(True).alias("hit")).distinct()
-    split = with_author.join(blocks, "ay", "left")
+    split = keep(with_author.join(blocks, "ay", "left"), "split")
     by_author = block_stage(split.where("hit"), posts, "author_year", F.col("ay"), "title_fuzzy", LEAST_BY_YEAR)
     by_year = block_stage(split.where("hit IS NULL"), posts, "year", F.col("year"), "title_fuzzy", LEAST_BY_YEAR)
     untitled = split.where("title_key = ''").select("ident", F.when(F.col("hit"), "author_year").otherwise("year").alias("kind"), F.when(F.col("hit"), F.col("ay")).otherwise(F.col("year")).alias("key"))

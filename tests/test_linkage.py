@@ -7,14 +7,58 @@ from paperloom.operators import linkage as L
 from paperloom.operators import ranking as R
 
 
-def test_adaptive():
-    assert L.adaptive("deep learning for graphs and more", [("a", "deep learning for graphs")]) == ("a", 1.0)
-    one = L.adaptive("abcdefgh", [("a", "abcdefgx"), ("b", "zzzzzzzz")])
-    assert one == ("a", difflib.SequenceMatcher(None, "abcdefgh", "abcdefgx").ratio())
-    assert L.adaptive("abcdefgh", [("a", "abcdefgx"), ("b", "abcdefgy")]) is None
-    two = L.adaptive("abcdefghij", [("a", "abcdefghxx"), ("b", "abcdefghix")])
-    assert two[0] == "b"
-    assert L.adaptive("abc", []) is None and L.adaptive("abcd", [("a", "")]) is None
+def by_block(spark, rows, least=0.0):
+    """{ident: (target, score)} for rows (ident, title, [(target, title), ...]), each ident with a block of its own."""
+    asked = spark.createDataFrame([(i, t, str(i), None) for i, t, _ in rows], "ident long, title_key string, year string, author string")
+    posts = spark.createDataFrame([("block", str(i), c, o, x) for i, _, cs in rows for o, (c, x) in enumerate(cs)], "kind string, key string, target string, target_ord long, target_title string")
+    return {r.ident: (r.target, r.score) for r in L.block_stage(asked, posts, "block", F.col("year"), "m", least).collect()}
+
+
+def test_adaptive(spark):
+    got = by_block(spark, [(1, "deep learning for graphs and more", [("a", "deep learning for graphs")]), (2, "abcdefgh", [("a", "abcdefgx"), ("b", "zzzzzzzz")]), (3, "abcdefgh", [("a", "abcdefgx"), ("b", "abcdefgy")]), (4, "abcdefghij", [("a", "abcdefghxx"), ("b", "abcdefghix")]), (5, "abc", []), (6, "abcd", [("a", "")]), (7, "a b c d e", [("x", "a b c d"), ("y", "a b c d e")])])
+    assert got[1] == ("a", 1.0)
+    assert got[2] == ("a", difflib.SequenceMatcher(None, "abcdefgh", "abcdefgx").ratio())
+    assert 3 not in got and got[4][0] == "b" and 5 not in got and 6 not in got and got[7] == ("x", 1.0)
+
+
+def standing_out(title, candidates, least):
+    """By definition: going down the thresholds, the first that lets any in, or one on the grid above it, lets in one alone."""
+    scores = [(difflib.SequenceMatcher(None, title, x).ratio(), c) for c, x in candidates if x]
+    for k in range(10):
+        level = 0.95 - 0.05 * k
+        grid = [level + 0.05 * j / 1024 for j in range(1024 if k else 1)]
+        if any(s >= level - 1e-9 for s, _ in scores):
+            for t in grid:
+                over = [(c, s) for s, c in scores if s >= t - 1e-9]
+                if len(over) == 1:
+                    return over[0] if over[0][1] >= least else None
+            return None
+    return None
+
+
+def test_adaptive_against_the_definition(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows = []
+    for i in range(150):
+        title = "".join(rnd.choice("abcdef") for _ in range(rnd.randint(5, 14)))
+        near = lambda: "".join(c if rnd.random() < 0.75 else rnd.choice("abcdef") for c in title)
+        rows.append((i, title, [(f"c{k}", x) for k, x in enumerate(near() + rnd.choice(["", "x"]) for _ in range(rnd.randint(1, 6))) if x != title]))
+    for least in (0.0, 0.8):
+        got = by_block(spark, rows, least)
+        want = {i: w for i, t, cs in rows if (w := standing_out(t, cs, least))}
+        assert got == want and len(want) > 20
+
+
+def test_a_block_of_any_size(spark):
+    """One key for all queries and targets: rows are ranked per query, no block is gathered."""
+    rows = [(i, f"title number {i:04} of the series", "k", None) for i in range(300)]
+    asked = spark.createDataFrame(rows, "ident long, title_key string, year string, author string")
+    posts = spark.createDataFrame([("block", "k", i, i, t.replace("series", "seriez")) for i, t, *_ in rows], "kind string, key string, target long, target_ord long, target_title string")
+    stage = L.block_stage(asked, posts, "block", F.col("year"), "m")
+    assert {r.ident: r.target for r in stage.collect()} == {i: i for i in range(300)}
+    assert "WindowGroupLimit" in stage._jdf.queryExecution().toString()
 
 
 def test_cascade(spark):
