@@ -144,14 +144,14 @@ def fix_references(text: str) -> str:
     return re.sub(r"\[(\d+(?:,\s*\d+)*)\]", lambda m: " ".join(note(n.strip()) for n in m[1].split(",")), text)
 
 
-# What may stand before and after an address, and what an address ends before.
+# What may stand before an address that begins a word, and before what an address ends.
 OPENERS, ENDERS = "([{\"“", ")]}>.,!?;:，。！？；："
-SEPARATOR = r"[-.\s]?"
+SEPARATOR, END = r"[-.\s]?", rf"(?=[\s{re.escape(ENDERS)}]|$)"
 #: Addresses by what they get in front, what they look like, and whether they must stand at the beginning of a word.
 ADDRESSES = (
     ("", re.compile(r"https?://[^\s)\]}>]+"), True),
-    ("mailto:", re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"), False),
-    ("tel:", re.compile(SEPARATOR.join([r"\+?\d{1,3}", r"\(?\d{3}\)?", r"\d{3}", r"\d{4}"])), True),
+    ("mailto:", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}" + END), False),
+    ("tel:", re.compile(SEPARATOR.join([r"\+?\d{1,3}", r"\(?\d{3}\)?", r"\d{3}", r"\d{4}"]) + END), True),
 )
 
 
@@ -160,11 +160,10 @@ def fix_links(text: str) -> str:
     for scheme, pattern, first in ADDRESSES:
         parts, at = [], 0
         for m in pattern.finditer(text):
-            before, after = text[max(0, m.start() - 2) : m.start()], text[m.end() : m.end() + 1]
+            before, end = text[max(0, m.start() - 2) : m.start()], m.end()
             word = not before or before[-1].isspace() or before[-1] in OPENERS
-            if before.endswith(("<", "](")) or (first and not word) or not (not after or after.isspace() or after in ENDERS):
+            if before.endswith(("<", "](")) or (first and not word):
                 continue
-            end = m.end()
             if text[end - 1] in ENDERS and text[end - 2].isalnum():  # a mark that ends the sentence, not the address
                 end -= 1
             parts += [text[at : m.start()], f"<{scheme}{text[m.start() : end]}>"]

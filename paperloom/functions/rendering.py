@@ -7,6 +7,7 @@ import re
 from html.parser import HTMLParser
 
 from paperloom.functions.markdown import lines_of
+from paperloom.functions.templating import render
 
 # Fixed values.
 TABLE_TAGS = {"table", "thead", "tbody", "tfoot", "tr", "th", "td", "caption", "colgroup", "col", "br"}
@@ -126,7 +127,11 @@ def chosen_template(available: list[str], asked: str | None, default: str | None
 
 
 def rendered(record: dict, template: str) -> str:
-    """``{name}`` fields of a record in a template; missing ones are empty, lists are joined by commas."""
+    """A record in a template: see ``templating``.  A template without its marks may name fields as ``{name}``; lists are
+    joined by commas there."""
+    if "{{" in template or "{%" in template:
+        return render(template, record)
+
     def value(m: re.Match) -> str:
         found = record.get(m[1])
         return ", ".join(map(str, found)) if isinstance(found, list) else "" if found is None else str(found)

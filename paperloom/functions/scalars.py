@@ -250,6 +250,15 @@ def file_author(name: Column) -> Column:
     return strip(matched(file_base(name), r"^\s*(.+?)\s*-\s*(?:19|20)\d{2}\s*-\s*", 1))
 
 
+def embedded_title(c: Column, name: Column) -> Column:
+    """A title that a PDF carries, without what word processors put before it; null if it says nothing: under three
+    characters, or the file's own name."""
+    bare = F.regexp_replace(strip(F.replace(F.coalesce(c, F.lit("")), F.lit("\x00"), F.lit(""))), r"(?i)^(?:microsoft\s+word|pdf)\s*-\s*", "")
+    text = strip(F.regexp_replace(strip(F.regexp_replace(bare, r"(?i)^untitled\b", "")), r"(?i)\.pdf$", ""))
+    stem = strip(F.regexp_replace(name, r"\.[^.]*$", ""))
+    return F.when((F.length(text) >= 3) & (F.lower(text) != F.lower(stem)), text)
+
+
 def is_pdf_like(name: Column) -> Column:
     low = F.lower(name)
     return low.endswith(".pdf") | (low.contains(".pdf-") & ~low.endswith(".md"))
@@ -337,23 +346,6 @@ def image_counts(c: Column) -> Column:
     return F.struct(F.size(links).cast("long").alias("total"), n(data).alias("data"), n(http).alias("http"), n(lambda x: ~data(x) & ~http(x)).alias("local"))
 
 
-def references_marked(c: Column) -> Column:
-    """``[3]`` and ``[1, 2]`` in running text to ``[^3]`` and ``[^1] [^2]``; ranges need more than a pattern."""
-    singles = F.regexp_replace(c, r"\[(\d+)\]", "[^$1]")
-    lists = F.regexp_replace(singles, r"(?<=\[|, |,)(\d+)(?=(?:,\s*\d+)*\])", "\u0001$1\u0002")
-    lists = F.regexp_replace(lists, r"\[(?=\u0001)|(?<=\u0002)\]", "")
-    return F.regexp_replace(F.regexp_replace(lists, r"\u0002,\s*\u0001", "] [^"), r"\u0001(\d+(?:\] \[\^\d+)*)\u0002", "[^$1]")
-
-
-def links_bracketed(c: Column) -> Column:
-    """Bare URLs, mail addresses and phone numbers to ``<...>``, ``<mailto:...>`` and ``<tel:...>``."""
-    free, end = r"(?<!<)(?<!]\()", r"(?=[\s)\]}>.,!?;:，。！？；：]|$)"
-    opened = r"(?:(?<=^)|(?<=\s)|(?<=[(\[{\"“]))"
-    url = F.regexp_replace(c, free + opened + r"(https?://[^\s)\]}>]*[^\s)\]}>.,!?;:，。！？；：])" + r"(?=[.,!?;:，。！？；：]?(?:[\s)\]}>]|$))", "<$1>")
-    mail = F.regexp_replace(url, free + r"(?<![\w.%+-])([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})" + end, "<mailto:$1>")
-    return F.regexp_replace(mail, free + opened + r"(\+?\d{1,3}[-.\s]?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})" + end, "<tel:$1>")
-
-
 def data_url(c: Column) -> Column:
     """Struct (mime, content) of a base64 data URL; null if it is none."""
     p = r"^data:([^;,]+);base64,([A-Za-z0-9+/=\s]*)$"
@@ -366,6 +358,18 @@ def json_object_in(c: Column) -> Column:
     return F.when(F.try_parse_json(found).isNotNull(), found)
 
 
+def json_place(raw: Column, value: Column, start: Column | None = None) -> Column:
+    """Struct (line, offset) of a string value in a JSON text, looked for from ``start`` on: the line it begins in, from 1, and
+    the position behind it, from 0.  Where it is not found, line 1 and ``start``."""
+    start = F.lit(0) if start is None else start
+    quoted = F.to_json(F.array(value))
+    inner = F.substr(quoted, F.lit(3), F.length(quoted) - 4)  # without [" and "]
+    at = F.position(inner, raw, start + 1)
+    line = F.size(F.split(F.substr(raw, F.lit(1), at - 1), "\n"))
+    found = at > 0
+    return F.struct(F.when(found, line).otherwise(1).cast("int").alias("line"), F.when(found, at - 1 + F.length(inner)).otherwise(start).cast("int").alias("offset"))
+
+
 def asset_url(base: str, folder: str, name: Column, extension: str, build_id: str | None = None) -> Column:
     tail = f".{extension}" + (f"?v={build_id}" if build_id else "")
     return F.when(~blank(name), F.concat(F.lit(f"{base.rstrip('/')}/{folder}/"), name, F.lit(tail)))

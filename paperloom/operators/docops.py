@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import DoubleType, StringType
 
 from paperloom.functions import markdown as M
 from paperloom.functions import spans as S
 from paperloom.functions import translation as T
+from paperloom.functions.rendering import display_parts
 from paperloom.functions.textudf import per_text
 
 BLOCKS = "array<struct<kind:string,content:string>>"
@@ -28,10 +29,19 @@ formula_errors_col = per_text("array<string>")(S.formula_errors)
 diagram_errors_col = per_text("array<string>")(S.diagram_errors)
 references_col = per_text("string")(M.fix_references)
 links_col = per_text("string")(M.fix_links)
+paragraphs_col = per_text("string")(M.merge_paragraphs)
+pseudocode_col = per_text("string")(M.wrap_pseudocode)
+titles_col = per_text("string")(M.fix_titles)
+own_fences_col = per_text("string")(M.fences_on_own_lines)
+closed_fences_col = per_text("string")(M.without_open_fences)
+legends_col = per_text("string")(M.legends_out_of_diagrams)
+footnotes_col = per_text("string")(M.fix_footnotes)
 images_apart_col = per_text("string")(M.images_apart)
 math_apart_col = per_text("string")(M.math_apart)
 tables_unwrapped_col = per_text("string")(M.tables_unwrapped)
 placeholder_only_col = per_text("boolean")(lambda t: not T.has_letters(t))
+#: The text under the empty key, and what is held back from it under the names that stand in it.
+display_col = per_text("map<string,string>")(lambda t: {"": display_parts(t)[0], **display_parts(t)[1]})
 identifier_col = per_text("boolean")(T.is_identifier)
 person_col = per_text("boolean")(T.is_person)
 
@@ -106,6 +116,11 @@ def repaired(df: DataFrame, key: str, text: str, find: Column, errors: Callable[
     return spliced(df, key, text, moves), done.unionByName(report)
 
 
+@F.pandas_udf(DoubleType())
+def confidence_col(before: pd.Series, after: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else M.split_confidence(a, b) for a, b in zip(before, after)], index=before.index, dtype="float64")
+
+
 @F.pandas_udf(StringType())
 def failure_col(source: pd.Series, target: pd.Series, lang: pd.Series) -> pd.Series:
     return pd.Series([None if s is None else T.failure(s, t, g) for s, t, g in zip(source, target, lang)], index=source.index, dtype=object)

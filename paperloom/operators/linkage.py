@@ -181,6 +181,15 @@ def bibliography_match(papers: DataFrame, ident: str, title: Column, entries: Da
     return first_per(found.where(F.col("score") >= least), ["ident"], [-F.col("score"), F.col("ord")]).select("ident", "entry", "score")
 
 
+def bibliography_first(papers: DataFrame, ident: str, title: Column, entries: DataFrame, entry: str, entry_ord: str, entry_title: Column, least: float = 0.9) -> DataFrame:
+    """(ident, entry, score): each paper's first entry in order whose title is ``least`` alike, over the whole list; papers
+    without one are left out.  Only entries whose lengths allow that score are compared."""
+    mine = papers.select(F.col(ident).alias("ident"), title.alias("t")).where("t != ''")
+    theirs = entries.select(F.col(entry).alias("entry"), F.col(entry_ord).alias("ord"), entry_title.alias("e")).where("e != ''")
+    near = _against_all(mine, theirs, least).where(F.col("score") >= least)
+    return first_per(near, ["ident"], [F.col("ord")]).select("ident", "entry", "score")
+
+
 def _against_all(mine: DataFrame, theirs: DataFrame, least: float, buckets: int = 64) -> DataFrame:
     """Papers without a block, against every entry: texts whose lengths differ too much cannot reach ``least``, so both
     sides are bucketed by length and only buckets within reach meet.  ratio = 2 m / (|a| + |b|) >= least needs

@@ -10,36 +10,30 @@ from pyspark.sql import functions as F
 from paperloom.plans.storage import keep
 
 
-def global_rank(df: DataFrame, order: str, out: str = "rank", within: Sequence[str] = (), buckets: int = 1024) -> DataFrame:
-    """Add ``out``: ranks from 1 in the order of one column, as ``row_number`` over the whole table would give.
-
-    Rows go to buckets that follow the order: equal spans between the least and greatest number, or the first two
-    characters of a string.  A window numbers each bucket, and the sizes of the buckets before it are added.
-    """
-    if dict(df.dtypes)[order] == "string":
-        bucket = F.coalesce(F.substring(order, 1, 2), F.lit(""))
-        keyed = df.withColumn("__b", bucket)
-    else:
-        low, high = df.agg(F.min(order), F.max(order)).first()
-        span = ((high or 0) - (low or 0)) // buckets + 1
-        keyed = df.withColumn("__b", F.coalesce(F.floor((F.col(order) - F.lit(low or 0)) / F.lit(span)).cast("long"), F.lit(-1).cast("long")))
-    parts = list(within)
-    sizes = keyed.groupBy(*parts, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    earlier = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*[F.col(p).alias(f"__p{i}") for i, p in enumerate(parts)], F.col("__b").alias("__c"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
-    numbered = keyed.withColumn("__r", F.row_number().over(Window.partitionBy(*parts, "__b").orderBy(order)))
-    same = F.col("__b") == F.col("__c")
-    for i, p in enumerate(parts):
-        same = same & F.col(p).eqNullSafe(F.col(f"__p{i}"))
-    return numbered.join(starts, same).select(*df.columns, (F.col("__r") + F.col("__before")).cast("long").alias(out))
+def global_rank(df: DataFrame, order: str, out: str = "rank", within: Sequence[str] = ()) -> DataFrame:
+    """Add ``out``: ranks from 1 in the order of one column, as ``row_number`` would give over the whole table or, with
+    ``within``, over each group of equal values; null comes first.  Groups are runs of the table's order, so none needs a task
+    of its own, however large it is: a row's rank in its group is its rank less those of the groups before."""
+    ranked = sorted_rank(df, [F.col(c) for c in (*within, order)], out)
+    if not within:
+        return ranked
+    names = [f"__group{i}" for i in range(len(within))]
+    first = keep(ranked.groupBy(*within).agg(F.min(out).alias("__first")).toDF(*names, "__first"), "groups")
+    same = F.lit(True)
+    for c, n in zip(within, names):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    return ranked.join(first, same).select(*df.columns, (F.col(out) - F.col("__first") + 1).alias(out))
 
 
 def sorted_rank(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
     """Add ``out``: ranks from 1 over the whole table in any sort order, of several keys and directions.
 
     Rows are range-partitioned by the order and sorted there; the sorted rows are kept with their partition and their place
-    in it, and the numbers of rows in the partitions before are added.  No task holds more than a range.
+    in it, and the numbers of rows in the partitions before are added.  No task holds more than a range; equal rows in the
+    order are parted by a hash of the row, so a frequent value is no range of its own.
     """
+    simple = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant"))]
+    order = [*order, F.xxhash64(*simple)]
     sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
     kept = keep(sorted_rows.withColumn("__at", F.monotonically_increasing_id()), "sorted")
     part = F.shiftright("__at", 33)
@@ -60,15 +54,18 @@ def first_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Da
 
 
 def unique_names(df: DataFrame, base: str, order: str, out: str = "name", start: int = 0) -> DataFrame:
-    """base, base_1, base_2, ... in ``order`` within each base."""
-    at = F.row_number().over(Window.partitionBy(base).orderBy(order)) - 1 + start
-    return df.withColumn(out, F.when(at == 0, F.col(base)).otherwise(F.concat_ws("_", F.col(base), at.cast("string"))))
+    """base, base_1, base_2, ... in ``order`` within each base, however many rows have it."""
+    ranked = global_rank(df, order, "__at", [base])
+    at = F.col("__at") - 1 + start
+    return ranked.withColumn(out, F.when(at == 0, F.col(base)).otherwise(F.concat_ws("_", F.col(base), at.cast("string")))).drop("__at")
 
 
 def hashed_names(df: DataFrame, base: str, order: str, source: str, out: str = "name") -> DataFrame:
     """The first of a base keeps it; the others get eight digits of their source's hash."""
-    first = F.min(order).over(Window.partitionBy(base))
-    return df.withColumn(out, F.when(F.col(order) == first, F.col(base)).otherwise(F.concat_ws("_", F.col(base), F.substring(F.sha1(F.col(source).cast("binary")), 1, 8))))
+    first = keep(df.groupBy(F.col(base).alias("__base")).agg(F.min(order).alias("__first")), "firsts")
+    marked = df.join(first, F.col(base).eqNullSafe(F.col("__base"))).drop("__base")
+    named = F.when(F.col(order) == F.col("__first"), F.col(base)).otherwise(F.concat_ws("_", F.col(base), F.substring(F.sha1(F.col(source).cast("binary")), 1, 8)))
+    return marked.withColumn(out, named).drop("__first")
 
 
 def chunked(df: DataFrame, order: str, size: int, out: str = "chunk") -> DataFrame:

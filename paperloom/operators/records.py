@@ -123,3 +123,21 @@ def run_statistics(df: DataFrame, text: str, seconds: float) -> DataFrame:
     n = F.coalesce(F.length(text), F.lit(0)).cast("long")
     totals = df.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(n), F.lit(0)).alias("chars"), F.coalesce(F.sum(S.tokens_estimated(n)), F.lit(0)).alias("tokens"))
     return totals.select("*", F.round(F.col("documents") * 60 / F.lit(seconds), 2).alias("documents_per_minute"), F.round(F.col("tokens") / F.lit(seconds), 2).alias("tokens_per_second"))
+
+
+def with_provenance(df: DataFrame, path: Column, text: Column, provider: str, model: str, at: Column, template: Column, language: Column, most: int = 0, how: str = "head") -> DataFrame:
+    """Adds where a record comes from: source_path, source_hash, provider, model, prompt_template, output_language, extracted_at
+    (ISO 8601), and, if the text was cut for the model, source_truncated and how (truncation)."""
+    cut = S.truncated(F.coalesce(text, F.lit("")), most, how)
+    told = F.when(cut.strategy.isNotNull(), F.struct(cut.strategy.alias("strategy"), cut.original_chars.alias("original_chars"), cut.kept_chars.alias("kept_chars")))
+    return df.withColumns({
+        "source_path": path,
+        "source_hash": F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256),
+        "provider": F.lit(provider),
+        "model": F.lit(model),
+        "prompt_template": template,
+        "output_language": language,
+        "extracted_at": F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss'Z'"),
+        "source_truncated": cut.strategy.isNotNull(),
+        "truncation": told,
+    })

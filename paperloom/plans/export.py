@@ -74,3 +74,20 @@ def fields_fixed(df: DataFrame, fields: list[str], level: str = "moderate") -> t
     counts = marked.agg(*[F.count_if(~F.col(f).eqNullSafe(F.col(f"__{f}"))).alias(f) for f in fields])
     pairs = counts.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("changed")) for f in fields])).alias("x")).select("x.*")
     return marked.select(*[F.col(f"__{c}").alias(c) if c in fields else F.col(c) for c in df.columns]), pairs
+
+
+def records_fixed(df: DataFrame, template: Column, level: str = "moderate") -> tuple[DataFrame, DataFrame]:
+    """``fields_fixed`` for records of several templates: in each record the Markdown fields of its own template are repaired,
+    those of the default where it names none; other fields stay as they are.  Fields that are no columns are passed over."""
+    from paperloom.operators.docops import fixed_col
+    from paperloom.plans.generation import STAGES, markdown_fields
+
+    tag = F.coalesce(S.or_null(S.strip(template)), F.lit(""))
+    wanted = F.create_map(*[x for name in STAGES for x in (F.lit(name), F.array(*map(F.lit, markdown_fields(name))))])
+    mine = F.coalesce(F.try_element_at(wanted, tag), F.array(*map(F.lit, markdown_fields(""))))
+    fields = [c for c in df.columns if any(c in markdown_fields(name) for name in ("", *STAGES))]
+    done = {f: F.when(F.array_contains(mine, F.lit(f)), fixed_col(level)(F.col(f))).otherwise(F.col(f)) for f in fields}
+    whole = df.select("*", *[v.alias(f"__{f}") for f, v in done.items()])
+    counts = whole.agg(*[F.count_if(~F.col(f).eqNullSafe(F.col(f"__{f}"))).alias(f) for f in fields])
+    listed = counts.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("changed")) for f in fields])).alias("x")).select("x.*")
+    return whole.select(*[F.col(f"__{c}").alias(c) if c in fields else F.col(c) for c in df.columns]), listed

@@ -56,6 +56,11 @@ class Registry:
         return sorted(self.known)
 
 
+def markdown_fields(template: str) -> list[str]:
+    """The fields of a template's records that hold Markdown: those its stages fill, else the summary and the abstract."""
+    return [f for _, fields in STAGES.get(template, ()) for f in fields] or ["summary", "abstract"]
+
+
 def stage_schema(schema: dict, fields: tuple[str, ...]) -> dict:
     """The part of a schema that one stage must fill, beside the record's metadata."""
     props = schema.get("properties", {})
@@ -106,6 +111,25 @@ class Keys:
         self.until[key] = reset if reset is not None else self.clock() + self.rest
 
 
+@dataclass
+class Throttle:
+    """Rests for ``seconds`` after every ``every`` calls."""
+
+    every: int
+    seconds: float
+    sleep: Callable[[float], None] = time.sleep
+    calls: int = 0
+
+    def __post_init__(self) -> None:
+        if self.every <= 0 or self.seconds <= 0:
+            raise ValueError("every and seconds must be positive")
+
+    def tick(self) -> None:
+        self.calls += 1
+        if self.calls % self.every == 0:
+            self.sleep(self.seconds)
+
+
 def next_reset(base: datetime, seconds: float, now: datetime) -> float | None:
     """The first end of a quota window after ``now``; windows of equal length follow each other from ``base``."""
     if seconds <= 0:
@@ -119,7 +143,7 @@ def pause(attempt: int, base: float = 1.0, most: float = 30.0) -> float:
     return min(most, base * 2 ** max(0, attempt - 1))
 
 
-def checked_call(generate: Callable[[Messages, str | None], str], asked: Messages, check: Callable[[dict], str | None], keys: Keys | None = None, attempts: int = 3, sleep: Callable[[float], None] = time.sleep) -> tuple[dict | None, str | None]:
+def checked_call(generate: Callable[[Messages, str | None], str], asked: Messages, check: Callable[[dict], str | None], keys: Keys | None = None, attempts: int = 3, sleep: Callable[[float], None] = time.sleep, throttle: Throttle | None = None) -> tuple[dict | None, str | None]:
     """(object, error): asks until the reply is a JSON object that ``check`` accepts.  A key without quota costs no attempt."""
     error, tried = None, 0
     while tried < attempts:
@@ -127,6 +151,8 @@ def checked_call(generate: Callable[[Messages, str | None], str], asked: Message
         if keys and key is None:
             sleep(keys.wait())
             continue
+        if throttle:
+            throttle.tick()
         try:
             found = object_in(generate(asked, key))
         except Exhausted:

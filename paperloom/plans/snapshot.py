@@ -37,17 +37,18 @@ class Snapshot:
         return self.relations[name]
 
     def write(self, root: str, build_id: str) -> str:
-        """Every relation under a folder of its own build, the pointer last, so that readers see a whole build or the one
-        before it."""
+        """Every relation under a folder of its own build, and last a pointer beside the earlier ones, never over them: readers
+        take the newest, so they see a whole build or the one before it."""
         for name, df in self.relations.items():
             df.write.mode("overwrite").parquet(f"{root}/{build_id}/{name}")
         spark = next(iter(self.relations.values())).sparkSession
-        spark.createDataFrame([(build_id,)], "build_id string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+        pointer = spark.range(1).select(F.lit(build_id).alias("build_id"), F.unix_micros(F.current_timestamp()).alias("at"))
+        pointer.coalesce(1).write.mode("append").json(f"{root}/builds")
         return f"{root}/{build_id}"
 
 
 def read(spark: SparkSession, root: str) -> Snapshot:
-    build_id = spark.read.text(f"{root}/current").first()[0]
+    build_id = spark.read.schema("build_id string, at long").json(f"{root}/builds").agg(F.max_by("build_id", "at")).first()[0]
     names = ["paper", "paper_summary", "paper_translation", "paper_bibtex", "paper_key_alias", "paper_facet", "facet_node", "facet_edge", "year_count", "month_count", "snapshot_meta", *[f"paper_{d}" for d in DIMENSIONS], *DIMENSIONS]
     return Snapshot({n: spark.read.parquet(f"{root}/{build_id}/{n}") for n in names if exists(spark, f"{root}/{build_id}/{n}")})
 
@@ -209,3 +210,29 @@ def unpack_summaries(paper: DataFrame, summaries: DataFrame, template: str, stri
     other = summaries.select("paper_id", F.col("template_tag").alias("preferred_summary_template"), F.col("text").alias("x2"))
     both = paper.select("paper_id", "preferred_summary_template").join(asked, "paper_id", "left").join(other, ["paper_id", "preferred_summary_template"], "left")
     return both.select("paper_id", F.coalesce("t1", F.when(F.col("x2").isNotNull(), F.col("preferred_summary_template"))).alias("template_tag"), F.coalesce("x1", "x2").alias("text")).where("text IS NOT NULL")
+
+
+def doi_mismatches(papers: DataFrame, ident: str, doi: Column, raw_bibtex: Column, samples: int = 10) -> DataFrame:
+    """One row: how many papers have a DOI other than that of their BibTeX entry, and the first ``samples`` of them."""
+    own, other = S.canonical_doi(doi), S.doi_in_bibtex(raw_bibtex)
+    unlike = keep(papers.where(own != other).select(F.col(ident).alias("ident")), "mismatches")
+    first = unlike.orderBy("ident").limit(samples)
+    counted = unlike.agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(None).cast(unlike.schema["ident"].dataType).alias("ident"))
+    both = counted.unionByName(first.select(F.lit(0).cast("long").alias("n"), "ident"))
+    return both.agg(F.max("n").alias("mismatches"), F.sort_array(F.collect_list("ident")).alias("samples"))
+
+
+def unpack_outcomes(paper: DataFrame, texts: DataFrame, translations: DataFrame) -> DataFrame:
+    """(outcome, n): what unpacking comes to.  ``paper``: paper_id, source_md_content_hash, pdf_content_hash; ``translations``:
+    paper_id, lang, md_content_hash; ``texts``: the hashes that there are.  Outcomes that occur in no paper are not listed."""
+    known = texts.select(F.col("hash").alias("h"), F.lit(True).alias("there")).distinct()
+
+    def outcomes(df: DataFrame, hashed: str, none: Column, kind: str) -> DataFrame:
+        found = df.join(known, F.col(hashed) == F.col("h"), "left")
+        lost = F.when(none, f"{kind}_no_hash").when(F.col("there").isNull(), f"{kind}_file_missing")
+        return found.select(F.explode(F.array_compact(F.array(F.coalesce(lost, F.lit(f"{kind}_succeeded")), F.when(lost.isNotNull(), f"{kind}_failed")))).alias("outcome"))
+
+    own = outcomes(paper, "source_md_content_hash", S.blank(F.col("source_md_content_hash")), "text")
+    other = outcomes(translations, "md_content_hash", S.blank(F.col("md_content_hash")) | S.blank(F.col("lang")), "translation")
+    lacking = paper.where(S.blank(F.col("pdf_content_hash"))).select(F.lit("missing_pdf").alias("outcome"))
+    return own.unionByName(other).unionByName(lacking).unionByName(paper.select(F.lit("total").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))

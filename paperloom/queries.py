@@ -177,12 +177,6 @@ def list_agg_sorted(spark, d):
     return read_table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.sort_array(F.collect_set("role")), ",").alias("roles"))
 
 
-@query("SELECT doc_id, y AS year FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'unknown' ELSE (1990 + doc_id % 30)::VARCHAR END AS y, lower(split_part(text, chr(10), 1)) AS t FROM documents) ORDER BY CASE WHEN regexp_full_match(y, '[0-9]{4}') THEN 0 ELSE 1 END, try_cast(y AS INTEGER) DESC NULLS LAST, t, doc_id LIMIT 50")
-def sort_year_desc(spark, d):
-    shaped, order = _by_year(spark, d)
-    return shaped.orderBy(*order).limit(50).select("doc_id", "year")
-
-
 def _by_year(spark, d):
     shaped = docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 7 == 0, "unknown").otherwise((F.lit(1990) + F.col("doc_id") % 30).cast("string")).alias("year"), title().alias("title"))
     return shaped, [*dsl.search_sort("year_desc", F.col("title"), F.lit(""), F.col("year")), F.col("doc_id")]
@@ -195,12 +189,6 @@ def sort_year_desc_all(spark, d):
     return ranking.sorted_rank(shaped, order, "position").select("doc_id", "year", "position")
 
 
-@query("SELECT doc_id, v AS venue FROM (SELECT doc_id, coalesce(nullif(source, 'src3'), '') AS v FROM documents) ORDER BY v = '', v DESC, doc_id DESC LIMIT 400")
-def sort_missing_last(spark, d):
-    shaped, order = _by_venue(spark, d)
-    return shaped.orderBy(*order).limit(400)
-
-
 def _by_venue(spark, d):
     shaped = docs(spark, d).select("doc_id", F.coalesce(F.nullif("source", F.lit("src3")), F.lit("")).alias("venue"))
     lib = dsl.Library(F.lit(""), F.array(F.lit("")), F.array(F.lit("")), F.col("venue"), F.lit(""), F.lit(""))
@@ -607,18 +595,6 @@ def md_images_count(spark, d):
     return docs(spark, d).select("doc_id", S.image_counts(raw).alias("c")).select("doc_id", "c.*")
 
 
-@query("""SELECT doc_id, 'see [^' || (doc_id % 9 + 1) || '] and [^1] [^2] ' || lang AS text FROM documents""")
-def refs_rewrite(spark, d):
-    raw = F.concat(F.lit("see ["), (F.col("doc_id") % 9 + 1).cast("string"), F.lit("] and [1, 2] "), "lang")
-    return docs(spark, d).select("doc_id", S.references_marked(raw).alias("text"))
-
-
-@query("""SELECT doc_id, 'at <https://x.org/' || doc_id || '>, mail <mailto:a' || doc_id || '@x.org> or <tel:+1 555-123-4567>.' AS text FROM documents""")
-def links_bracket(spark, d):
-    raw = F.concat(F.lit("at https://x.org/"), F.col("doc_id").cast("string"), F.lit(", mail a"), F.col("doc_id").cast("string"), F.lit("@x.org or +1 555-123-4567."))
-    return docs(spark, d).select("doc_id", S.links_bracketed(raw).alias("text"))
-
-
 @query("""SELECT doc_id, '/s/pdf/' || source || '.pdf?v=b1' AS pdf_url, NULL::VARCHAR AS md_url FROM documents WHERE source <> 'src3' UNION ALL SELECT doc_id, NULL, NULL FROM documents WHERE source = 'src3'""")
 def asset_urls(spark, d):
     return docs(spark, d).select("doc_id", S.asset_url("/s/", "pdf", F.nullif("source", F.lit("src3")), "pdf", "b1").alias("pdf_url"), S.asset_url("/s", "md", F.lit(""), "md").alias("md_url"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,3 +94,25 @@ def rendered(df: DataFrame, template: str, columns: list[str]) -> Column:
         elif name:
             raise ValueError(f"no column {name}")
     return F.concat(*parts)
+
+
+def rendered_records(df: DataFrame, record: str, template: str, out: str = "markdown") -> DataFrame:
+    """Adds each record (a JSON object in the column ``record``) as a text in a template with conditions and loops."""
+    from paperloom.functions.rendering import rendered as write
+
+    @F.pandas_udf("string")
+    def texts(found: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else write(json.loads(x), template) for x in found], index=found.index, dtype=object)
+
+    return df.withColumn(out, texts(F.col(record)))
+
+
+def copied(listed: DataFrame, roots: list[str], target: str, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(copies: path, to, content; counts: outcome, n) of a list of paths: each under ``target`` at its place relative to the
+    deepest root that holds it; ``known`` (path, content) is what there is.  Paths that it lacks are counted as missing."""
+    from paperloom.operators.records import relative_path
+
+    found = listed.select("path").distinct().join(known.select("path", "content"), "path", "left")
+    to = F.concat(F.lit(target.rstrip("/") + "/"), relative_path(F.col("path"), roots))
+    counts = found.groupBy(F.when(F.col("content").isNull(), "missing").otherwise("copied").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    return found.where("content IS NOT NULL").select("path", to.alias("to"), "content"), counts

@@ -76,6 +76,70 @@ def test_formulas_and_diagrams():
     assert S.diagram_spans("```mermaid\ngraph TD\n```")[0].content == "graph TD\n"
 
 
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        (r"\5 + \ alpha", r"5 + \alpha"),
+        (r"\nabla \nx \nu \neq", r"\nabla x \nu \neq"),
+        (r"x^'' + y^' + z^_", r"x^{''} + y^{\prime} + z^{*}"),
+        (r"\operatorname_{a r g} \Max_{x} a _\times b", r"\operatorname{arg} \max_{x} a \times b"),
+        (r"\arg \max _ {x} a_{b}_c x^{}", r"\arg\max_{x} a_{b} c x"),
+        (r"\left ceil x \right ceil \Big{\lfloor}", r"\left\lceil x \right\rceil \Big\lfloor"),
+        (r"\text{if x_1 > 2} \text{a \frac{1}{2}}", r"\text{if x} _1 > 2 \text{a} \frac{1}{2}"),
+        ("\text{a} + \tfrac{1}{2} \tx", r"\text{a} + \tfrac{1}{2} x"),
+        (r"\frac{a}{b}^2 + x^{2}_{i} \{x\} a\\ b {open", r"\frac{a}{b}^2 + x^{2}_{i} \{x\} a\\ b {open"),
+        ("  a \u00a0 b \r\n c ", "a   b\nc"),
+    ],
+)
+def test_formula_damage(raw, want):
+    assert S.cleaned_formula(raw) == want
+
+
+@pytest.mark.parametrize(
+    "raw, want",
+    [
+        ("graph TDa[x]-->b[y]", "graph TD\na[x] --> b[y]"),
+        ("a[(db)] --> b[one\\ntwo]", 'a["(db)"] --> b["one<br/>two"]'),
+        ("a[one\ntwo] --> b", 'a["one<br/>two"] --> b'),
+        ("a -->[yes] b\na -- no| c\na -. may be .-> d", "a -->|yes| b\na -->|no| c\na -.->|may be| d"),
+        ("subgraph one [Title (x)]\na --> b\nend", 'subgraph subgraph_1 ["Title (x)"]\na --> b\nend'),
+        ("subgraph subgraph_1\nx\nend", 'subgraph subgraph_2 ["subgraph_1"]\nx\nend'),
+        ("a --> b[open\nc --> d", "a --> b[open]\nc --> d"),
+        ("a(\"hi -->\") --> b; %% note\n\nc", 'a("hi -->") --> b\n%% note\n\nc'),
+        ("\ufeffa[\u201cx\u201d] ==> b{q?}\r\nc", 'a["x"] ==> b{q?}\nc'),
+        ("sequenceDiagram\nA->>B: hi\nB-->>A: yo", "sequenceDiagram\nA->>B: hi\nB-->>A: yo"),
+    ],
+)
+def test_diagram_damage(raw, want):
+    assert S.cleaned_diagram(raw) == want
+
+
+def test_freezing_takes_what_begins_first():
+    text = "`a [b](c)` $x `y` z$ [l $m$](u) \\[ q \\] <b>x</b> <https://a.b> https://c.d/e [r][s] [^1]\n[d]: http://x\n"
+    frozen, store = M.protect(text)
+    assert store.kinds == {"CODE": 1, "MATH": 1, "LINK": 1, "MATHBLOCK": 1, "HTMLINLINE": 1, "AUTOLINK": 1, "URL": 1, "REFLINK": 1, "FOOTREF": 1, "LINKDEF": 1}
+    assert store.restore(frozen) == text
+    block = "<div>\n<div>\nx\n</div>\n</div>\nafter\n<!-- a\n$b$ -->\n<pre>\n<div>\n</pre>\n<hr>\nend"
+    assert M.protect(block)[1].kinds == {"HTMLBLOCK": 4} and "after" in M.protect(block)[0]
+
+
+def test_marks_without_end_cost_no_more():
+    import time
+
+    start = time.time()
+    for text in ("[" * 100_000, "<a " * 100_000, "$ " * 100_000, "`" * 100_000 + "a", "![" * 50_000):
+        frozen, store = M.protect(text)
+        assert store.restore(frozen) == text
+    assert time.time() - start < 20
+
+
+def test_plain_texts_of_translations():
+    assert T.plain("a $x$ `c` \\(y\\) <b>d</b> https://e.f g ```h\ni``` __PH_A_000001__ $5 `").split() == ["a", "d", "g", "$5", "`"]
+    assert T.is_identifier("ABC DEF GHI JKL MNO PQR") and not T.is_identifier("ABC DEF GHI JKL MNO PQR STU")
+    assert T.is_identifier("see paper.pdf now") and T.is_identifier("123 - 456") and not T.is_identifier("") and not T.is_identifier("Some words that are longer")
+    assert T.is_person("Ann Berg1, Bo Lee2") and T.is_person("Mary-Jane Watson III") and not T.is_person("John") and not T.is_person("A b c d e f g")
+
+
 def test_translation_gate():
     assert T.failure("Hello world, this is text.", "Hello world, this is text.", "zh").startswith("missing_target_script")
     assert T.failure("Hello world, this is text.", "你好", "zh") is None

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import scalars as S
+from paperloom.operators import docops as D
 from paperloom.functions import textudf as U
 
 
@@ -55,8 +56,8 @@ def test_text(spark):
     assert of(spark, lambda c: S.cjk_unspaced(S.cjk_spaced(c)), "深度学习 x ア") == ["深度学习 x ア"]
     assert of(spark, S.cjk_runs, "ab深度c") == [["ab", "深度", "c"]]
     assert of(spark, S.markers_merged, "[[[深]]][[[度]]]") == ["[[[深度]]]"]
-    assert of(spark, S.references_marked, "see [1], [2, 3] and [x]") == ["see [^1], [^2] [^3] and [x]"]
-    assert of(spark, S.links_bracketed, "go https://a.b/c. <https://x.y> me@x.org") == ["go <https://a.b/c>. <https://x.y> <mailto:me@x.org>"]
+    assert of(spark, D.references_col, "see [1], [2, 3] and [x]") == ["see [^1], [^2] [^3] and [x]"]
+    assert of(spark, D.links_col, "go https://a.b/c. <https://x.y> me@x.org") == ["go <https://a.b/c>. <https://x.y> <mailto:me@x.org>"]
     assert of(spark, S.unnumbered, "12 deep nets", "123 a", "1 2 a") == ["deep nets", "123 a", "a"]
     assert of(spark, S.prefix_key, "one two three four five", "one two") == ["onetwothreefourf", None]
     assert of(spark, S.json_object_in, '```json\n{"a": {"b": 1}}\n```', "none") == ['{"a": {"b": 1}}', None]
