@@ -7,14 +7,17 @@ from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm.shared import keep, map_texts, new_folder
 
+#: Longer words are not remembered.
+LONGEST = 64
 CACHE_SCHEMA = "tokenizer_digest string, content_digest binary, n_tokens long"
-#: Words that one Python worker remembers before it starts afresh: bounds its memory.
-REMEMBERED = 400_000
+#: Words that one Python worker remembers, in each of two generations: bounds its memory.
+REMEMBERED = 300_000
 
 
 @cache
@@ -58,7 +61,8 @@ def splits_at_spaces(path: str) -> bool:
     )
 
 
-_words: dict[str, dict[bytes, int]] = {}
+#: By tokenizer file: counts of words, the newer generation and the older one.
+_words: dict[str, tuple[dict[bytes, int], dict[bytes, int]]] = {}
 
 
 def count_tokens(texts: list[bytes], path: str, by_word: bool) -> list[int]:
@@ -69,18 +73,20 @@ def count_tokens(texts: list[bytes], path: str, by_word: bool) -> list[int]:
         return [len(x) for x in tokenizer.encode([t.decode("utf-8", "replace") for t in texts], num_threads=1)]
     if not by_word:
         return [len(x) for x in tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
-    known = _words.setdefault(path, {})
+    known, older = _words.get(path, ({}, {}))
+    if len(known) > REMEMBERED:  # words that come often are in the older generation, and come over
+        known, older = {}, known
+    _words[path] = known, older
     split = [t.split() for t in texts]
-    fresh = list({w for words in split for w in words if w not in known})
-    if fresh:
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = list({w for words in split for w in words})
-        for at in range(0, len(fresh), 5000):
-            some = fresh[at : at + 5000]
-            known.update(zip(some, (len(x) for x in tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False))))
-    get = known.__getitem__
-    return [sum(map(get, words)) for words in split]
+    counts = [list(map(known.get, words)) for words in split]
+    missed = {w for words, found in zip(split, counts) if None in found for w, n in zip(words, found) if n is None}
+    new = {w: n for w in missed if (n := older.get(w)) is not None}
+    fresh = [w for w in missed if w not in new]
+    for at in range(0, len(fresh), 5000):
+        some = fresh[at : at + 5000]
+        new.update(zip(some, map(len, tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False))))
+    known.update(x for x in new.items() if len(x[0]) <= LONGEST)
+    return [sum(found) if None not in found else sum(new[w] if n is None else n for w, n in zip(words, found)) for words, found in zip(split, counts)]
 
 
 def content_digest(text: Column, path: str) -> Column:
@@ -90,7 +96,11 @@ def content_digest(text: Column, path: str) -> Column:
     if not splits_at_spaces(path):
         return F.unhex(F.sha2(text.cast("binary"), 256))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    folded = F.trim(F.translate(text, upper + "\t\n\x0b\f\r", lower + "     "))
+    # of ASCII texts the plain lower-casing is the same, and much cheaper
+    cased = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
+    for blank in "\t\n\x0b\f\r":
+        cased = F.replace(cased, F.lit(blank), F.lit(" "))
+    folded = F.trim(cased)
     exact = F.concat(F.lit("\x01"), text)
     return F.unhex(F.sha2(F.when(text.contains("<|"), exact).otherwise(folded).cast("binary"), 256))
 
@@ -100,8 +110,9 @@ def token_counts(docs: DataFrame, path: str, cache_dir: str | None = None, limit
 
     ``cache_dir`` holds Parquet rows of CACHE_SCHEMA from earlier runs; None starts an empty cache in the shared folder.
     Each content that the cache lacks is encoded once, however many rows have it, and appended.  A null text counts as
-    empty; ids may be null or repeated; other columns are ignored; an empty table gives an empty result.  A cache that
-    holds a content twice (two jobs appended at once) serves either row.
+    empty; texts of any length are counted whole; bytes that are not UTF-8 are replaced; ids may be null or repeated; other
+    columns are ignored, whatever their names; an empty table gives an empty result.  A cache that holds a content twice
+    (two jobs appended at once) serves either row.
     """
     spark = docs.sparkSession
     version, by_word = tokenizer_digest(path), splits_at_spaces(path)
@@ -128,8 +139,11 @@ def token_counts(docs: DataFrame, path: str, cache_dir: str | None = None, limit
     return digested.drop("text").join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
-def _stored(spark, cache_dir: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(cache_dir)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+def _stored(spark: SparkSession, cache_dir: str) -> DataFrame:
+    """The cache's rows; none where nothing has been written yet."""
+    try:
+        return spark.read.schema(CACHE_SCHEMA).parquet(cache_dir)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.sql("SELECT '' AS tokenizer_digest, X'' AS content_digest, 0L AS n_tokens WHERE false")
-    return spark.read.schema(CACHE_SCHEMA).parquet(cache_dir)

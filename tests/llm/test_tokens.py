@@ -44,3 +44,30 @@ def test_against_the_library_over_documents(spark, small):
     t = tokens.load_tokenizer(WORDS)
     want = {r.doc_id: len(t.encode(r.text, add_special_tokens=False)) for r in docs.collect()}
     assert {r.doc_id: r.n_tokens for r in tokens.token_counts(docs, WORDS).collect()} == want
+
+
+def test_memo_of_any_size_gives_the_same(spark, small, monkeypatch):
+    texts = [r.text.encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    want = tokens.count_tokens(texts, WORDS, False)
+    monkeypatch.setattr(tokens, "REMEMBERED", 40)
+    monkeypatch.setattr(tokens, "_words", {})
+    assert [n for at in range(0, len(texts), 9) for n in tokens.count_tokens(texts[at : at + 9], WORDS, True)] == want
+
+
+def test_a_cache_that_another_job_appended_to(spark, tmp_path):
+    cache = f"file://{tmp_path}/cache"
+    df = spark.createDataFrame([(1, "hello world"), (2, "HELLO\tworld ")], "doc_id long, text string").selectExpr("*", "1 AS n_bytes", "2 AS content_digest", "3 AS n_tokens", "4 AS `rows`")
+    first = sorted(map(tuple, tokens.token_counts(df, WORDS, cache).collect()))
+    rows = spark.read.parquet(cache).collect()
+    spark.createDataFrame(rows, tokens.CACHE_SCHEMA).write.mode("append").parquet(cache)  # the same content once more
+    spark.createDataFrame([("another tokenizer", rows[0].content_digest, 99)], tokens.CACHE_SCHEMA).write.mode("append").parquet(cache)
+    assert sorted(map(tuple, tokens.token_counts(df, WORDS, cache).collect())) == first == [(1, 11, 2, False), (2, 12, 2, False)]
+
+
+def test_long_texts_and_bytes_that_are_not_text(spark):
+    long = "many words in a row " * 400_000
+    df = spark.createDataFrame([(1, long), (2, "x" * 400_000)], "doc_id long, text string").unionByName(spark.sql("SELECT 3L doc_id, CAST(X'61FF62' AS STRING) text"))
+    got = {r.doc_id: r for r in tokens.token_counts(df, WORDS).collect()}
+    t = tokens.load_tokenizer(WORDS)
+    assert got[1].n_tokens == 2_000_000 and got[1].over_limit and got[1].n_bytes == len(long)
+    assert got[2].n_tokens == len(t.encode("x" * 400_000, add_special_tokens=False)) and got[3].n_tokens == len(t.encode("a�b", add_special_tokens=False))
