@@ -33,17 +33,20 @@ def spelled(text: str) -> Iterator[np.ndarray]:
         at = end
 
 
-def _subwords(b: np.ndarray, bits: int) -> np.ndarray:
+def _hashed(b: np.ndarray) -> list[np.ndarray]:
+    """32-bit hashes of all 2-, 3- and 4-byte pieces."""
     pairs = b[:-1] | b[1:] << 8
     threes = pairs[:-1] | b[2:] << 16
     fours = threes[:-1] | b[3:] << 24
-    shift = np.uint32(32 - bits)
-    return np.concatenate([(pairs * np.uint32(0x9E3779B1)) >> shift, (threes * np.uint32(0x85EBCA77) + np.uint32(0x27D4EB2F)) >> shift, (fours * np.uint32(0xC2B2AE3D) + np.uint32(0x165667B1)) >> shift])
+    return [pairs * np.uint32(0x9E3779B1), threes * np.uint32(0x85EBCA77) + np.uint32(0x27D4EB2F), fours * np.uint32(0xC2B2AE3D) + np.uint32(0x165667B1)]
+
+
+def _subwords(b: np.ndarray, bits: int) -> np.ndarray:
+    return np.concatenate(_hashed(b)) >> np.uint32(32 - bits)
 
 
 def _familiar(b: np.ndarray) -> np.ndarray:
-    fours = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
-    return (fours * np.uint32(0xC2B2AE3D) + np.uint32(0x165667B1)) >> np.uint32(32 - FAMILIAR_BITS)
+    return _hashed(b)[2] >> np.uint32(32 - FAMILIAR_BITS)
 
 
 def subwords(text: str, bits: int = 15) -> np.ndarray:
@@ -74,31 +77,38 @@ class LanguageModel:
 
     def familiarity(self, text: str) -> float:
         """Share of the text's pieces that the training has seen: the softmax must choose a language, this need not."""
-        seen = whole = 0
-        for b in spelled(text):
-            found = _familiar(b)
-            whole += len(found)
-            seen += int(self.familiar[found].sum()) if self.familiar is not None else len(found)
-        return seen / whole if whole else 1.0
+        return self.read(text)[1]
 
     def logits(self, text: str) -> np.ndarray:
-        total, n = np.zeros(self.table.shape[1]), 0
+        return self.read(text)[0]
+
+    def read(self, text: str) -> tuple[np.ndarray, float]:
+        """Both, in one walk over the text."""
+        total, n, seen, fours = np.zeros(self.table.shape[1]), 0, 0, 0
         for b in spelled(text):
-            found = _subwords(b, self.bits)
+            hashes = _hashed(b)
+            if self.familiar is not None:
+                seen += int(np.count_nonzero(self.familiar[hashes[2] >> np.uint32(32 - FAMILIAR_BITS)]))
+                fours += len(hashes[2])
+            found = np.concatenate(hashes) >> np.uint32(32 - self.bits)
             n += len(found)
-            for at in range(0, len(found), 1 << 16):
-                total += self.table[found[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
+            # each row as often as it occurs: cheaper than a row for each piece
+            if len(found) > len(self.table):
+                total += np.bincount(found, minlength=len(self.table)) @ self.table.astype(np.float64)
+            else:
+                total += self.table[found].sum(axis=0, dtype=np.float64)
         mean = total / max(1, n)
-        return (mean if self.layer is None else mean @ self.layer) + self.bias
+        return (mean if self.layer is None else mean @ self.layer) + self.bias, seen / fours if fours else 1.0
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """(language, calibrated probability, rejected).  Of equally probable languages, the first by name.  No text or no
         letter: ('und', 0, True)."""
         if not text or not has_letter(text) or not self.languages:
             return UNKNOWN, 0.0, True
-        p = softmax(self.logits(text)[None, :] / self.temperature)[0]
+        logits, familiarity = self.read(text)
+        p = softmax(logits[None, :] / self.temperature)[0]
         best = int(p.argmax())
-        return self.languages[best], float(min(1.0, p[best])), bool(p[best] < self.least_score or self.familiarity(text) < self.least_familiar)
+        return self.languages[best], float(min(1.0, p[best])), bool(p[best] < self.least_score or familiarity < self.least_familiar)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
