@@ -215,13 +215,14 @@ def merge_groups(records: DataFrame, ident: str, ordinal: str, source_hash: Colu
     stars = None
     for c in ("h", "bt", "pt"):
         keyed = base.where(F.coalesce(F.col(c), F.lit("")) != "").select(F.col(c).alias("k"), "o")
-        hub = keyed.groupBy("k").agg(F.min("o").alias("v"))
+        hub = keep(keyed.groupBy("k").agg(F.min("o").alias("v")), "hubs")
         part = keyed.join(hub, "k").select(F.col("o").alias("u"), "v").where("u != v")
         stars = part if stars is None else stars.unionByName(part)
     links = stars
     for c in ("bt", "pt"):
-        once = base.where(F.coalesce(F.col(c), F.lit("")) != "").groupBy(F.col(c).alias("t")).agg(F.min("o").alias("o"), F.min(F.col("bt").isNull()).alias("unbibbed"))
-        keyed = once.withColumn("p", F.substring("t", 1, prefix))
+        once = base.where(F.coalesce(F.col(c), F.lit("")) != "").groupBy(F.col(c).alias("t")).agg(F.min("o").alias("o"))
+        # written first: the join reads plain exchanges, so a frequent beginning can be split
+        keyed = keep(once.withColumn("p", F.substring("t", 1, prefix)), "titles")
         x, y = keyed.alias("x"), keyed.alias("y")
         reach = least / (2 - least)
         close = (F.col("x.o") < F.col("y.o")) & (F.least(F.length("x.t"), F.length("y.t")) >= reach * F.greatest(F.length("x.t"), F.length("y.t")))

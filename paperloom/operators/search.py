@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -68,13 +69,27 @@ def parse(text: str) -> TextQuery:
     return TextQuery(tuple(phrases), tuple(tuple(g) for g in groups if g))
 
 
-def postings(df: DataFrame, key: str, columns: dict[str, Column], native: bool = False) -> DataFrame:
-    """(key, col, pos, term): one row per token.  ``native`` splits with built-in functions, for text whose letters carry
-    no combining marks to fold; otherwise diacritics are folded in an Arrow function."""
+def tokenised(df: DataFrame, key: str, columns: dict[str, Column], native: bool = False) -> DataFrame:
+    """(key, fields: array of col and tokens): a row per document, the texts read once.  ``native`` splits with built-in
+    functions, for text whose letters carry no combining marks to fold; otherwise an Arrow function folds diacritics."""
     tokens = (lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")) if native else search_tokens_col
     cols = [F.struct(F.lit(name).alias("col"), tokens(cjk_spaced(F.coalesce(c, F.lit("")))).alias("tokens")) for name, c in columns.items()]
-    each = df.select(F.col(key), F.explode(F.array(*cols)).alias("x"))
-    return each.select(key, "x.col", F.posexplode("x.tokens").alias("pos", "term"))
+    return df.select(F.col(key), F.array(*cols).alias("fields"))
+
+
+def listed(found: DataFrame, key: str, terms: Sequence[str] | None = None) -> DataFrame:
+    """(key, col, pos, term) of tokenised documents: one row per token or, with ``terms``, per token that is one of them; the
+    others are dropped within their array, before there are rows of them."""
+    each = found.select(F.col(key), F.explode("fields").alias("x"))
+    placed = F.transform("x.tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
+    if terms is not None:
+        placed = F.filter(placed, lambda p: p.term.isin(*terms))
+    return each.select(key, "x.col", F.explode(placed).alias("p")).select(key, "col", "p.pos", "p.term")
+
+
+def postings(df: DataFrame, key: str, columns: dict[str, Column], native: bool = False, terms: Sequence[str] | None = None) -> DataFrame:
+    """(key, col, pos, term) of documents; see ``tokenised`` and ``listed``."""
+    return listed(tokenised(df, key, columns, native), key, terms)
 
 
 def by_term(posts: DataFrame, key: str) -> DataFrame:
@@ -88,6 +103,12 @@ def lengths(posts: DataFrame, key: str) -> DataFrame:
     return posts.groupBy(key).agg(F.count(F.lit(1)).alias("tokens"))
 
 
+def lengths_of(found: DataFrame, key: str) -> DataFrame:
+    """The same of tokenised documents, of which each is one row: nothing is shuffled.  Documents without tokens are left out."""
+    n = F.aggregate("fields", F.lit(0).cast("long"), lambda a, x: a + F.size(x.tokens))
+    return found.select(key, n.alias("tokens")).where("tokens > 0")
+
+
 def phrase_hits(posts: DataFrame, key: str, query: TextQuery) -> DataFrame:
     """(key, phrase, col, tf).  Only the query's terms leave the postings; a phrase of n words is where its n terms claim
     the same start position, so it takes one aggregate and no self join."""
@@ -148,7 +169,8 @@ def best_column(posts: DataFrame, key: str, query: TextQuery) -> DataFrame:
 
 
 def trigrams(df: DataFrame, key: str, c: Column) -> DataFrame:
-    """(key, gram): distinct three-character pieces of a lower-cased text."""
-    low = F.lower(F.coalesce(c, F.lit("")))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 2, F.lit(1))), lambda i: F.substr(low, i, F.lit(3)))
-    return df.select(key, F.explode(F.array_distinct(F.filter(grams, lambda g: F.length(g) == 3))).alias("gram"))
+    """(key, gram): distinct three-character pieces of a lower-cased text, in one walk over its characters."""
+    chars = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("(?s)."), F.lit(0))
+    each = df.select(key, chars.alias("x")).where("size(x) >= 3")
+    grams = F.transform(F.sequence(F.lit(0), F.size("x") - 3), lambda i: F.concat(F.get("x", i), F.get("x", i + 1), F.get("x", i + 2)))
+    return each.select(key, F.explode(F.array_distinct(grams)).alias("gram"))

@@ -6,7 +6,9 @@ string arrays; ``ordinal`` says which record came first.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,17 +33,22 @@ SINGLE_FACETS = ("year", "month", "venue", "output_language", "provider", "model
 
 @dataclass
 class Snapshot:
-    relations: dict[str, DataFrame] = field(default_factory=dict)
+    """Relations by name; one may be given as what makes it, which is called when the relation is first asked for."""
+
+    relations: dict[str, DataFrame | Callable[[], DataFrame]] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.relations[name]
+        found = self.relations[name]
+        if not isinstance(found, DataFrame):
+            found = self.relations[name] = found()
+        return found
 
     def write(self, root: str, build_id: str) -> str:
         """Every relation under a folder of its own build, and last a pointer beside the earlier ones, never over them: readers
         take the newest, so they see a whole build or the one before it."""
-        for name, df in self.relations.items():
-            df.write.mode("overwrite").parquet(f"{root}/{build_id}/{name}")
-        spark = next(iter(self.relations.values())).sparkSession
+        for name in self.relations:
+            self[name].write.mode("overwrite").parquet(f"{root}/{build_id}/{name}")
+        spark = self[next(iter(self.relations))].sparkSession
         pointer = spark.range(1).select(F.lit(build_id).alias("build_id"), F.unix_micros(F.current_timestamp()).alias("at"))
         pointer.coalesce(1).write.mode("append").json(f"{root}/builds")
         return f"{root}/{build_id}"
@@ -85,7 +92,7 @@ def build(papers: DataFrame, build_id: str, built_at: str, old_aliases: DataFram
     return Snapshot(relations(base, whole, build_id, built_at))
 
 
-def relations(base: DataFrame, whole: DataFrame, build_id: str, built_at: str) -> dict[str, DataFrame]:
+def relations(base: DataFrame, whole: DataFrame, build_id: str, built_at: str) -> dict[str, DataFrame | Callable[[], DataFrame]]:
     spark = base.sparkSession
     some = lambda c, other="unknown": F.coalesce(S.or_null(S.strip(F.col(c))), F.lit(other))
     date = F.coalesce("publication_date", F.lit(""))
@@ -104,23 +111,49 @@ def relations(base: DataFrame, whole: DataFrame, build_id: str, built_at: str) -
     out["paper_translation"] = base.select("paper_id", F.explode("translations").alias("lang", "md_content_hash"))
     out["paper_bibtex"] = base.where("bibtex_raw IS NOT NULL").select("paper_id", "bibtex_raw", "bibtex_key", F.lower("entry_type").alias("entry_type"))
     out["paper_key_alias"] = first_per(whole.select("paper_id", F.col("ordinal"), F.explode("candidates").alias("c")).select("c.paper_key", "paper_id", F.col("c.key_type").alias("paper_key_type"), F.col("c.fingerprint").alias("meta_fingerprint"), "ordinal"), ["paper_key"], [-F.col("ordinal")]).drop("ordinal")
-    pairs = keep(facets.incidence(base.select("paper_id", *DIMENSIONS.values(), F.map_keys(summaries).alias("templates"), F.map_keys("translations").alias("langs")).join(paper.select("paper_id", *SINGLE_FACETS), "paper_id"), "paper_id", {d: F.col(c) for d, c in DIMENSIONS.items()} | {f: F.col(f) for f in SINGLE_FACETS} | {"summary_template": F.col("templates"), "translation_lang": F.col("langs")}), "pairs")
-    nodes = keep(facets.nodes(pairs, "paper_id"), "nodes")
-    out["facet_node"] = nodes
-    out["paper_facet"] = pairs.join(nodes.select("node_id", "facet_type", "value"), ["facet_type", "value"]).select("paper_id", "node_id")
-    links = facets.edges(pairs, "paper_id")
-    a, b = (nodes.select(F.col("node_id").alias(f"node_id_{s}"), F.col("facet_type").alias(f"type_{s}"), F.col("value").alias(f"value_{s}")) for s in "ab")
-    out["facet_edge"] = links.join(a, ["type_a", "value_a"]).join(b, ["type_b", "value_b"]).select("node_id_a", "node_id_b", "paper_count")
-    for d in DIMENSIONS:
-        own = nodes.where(F.col("facet_type") == d)
-        out[d] = own.select(F.col("node_id").alias(f"{d}_id"), "value", "paper_count")
-        out[f"paper_{d}"] = pairs.where(F.col("facet_type") == d).join(own.select("node_id", "value"), "value").select("paper_id", F.col("node_id").alias(f"{d}_id"))
+
+    @cache
+    def pairs() -> DataFrame:
+        lists = base.select("paper_id", *DIMENSIONS.values(), F.map_keys(summaries).alias("templates"), F.map_keys("translations").alias("langs"))
+        values = {d: F.col(c) for d, c in DIMENSIONS.items()} | {f: F.col(f) for f in SINGLE_FACETS} | {"summary_template": F.col("templates"), "translation_lang": F.col("langs")}
+        return keep(facets.incidence(lists.join(paper.select("paper_id", *SINGLE_FACETS), "paper_id"), "paper_id", values), "pairs")
+
+    out |= facet_relations(pairs)
     for c in ("year", "month"):
         out[f"{c}_count"] = paper.groupBy(c).agg(F.count(F.lit(1)).alias("paper_count"))
     out["snapshot_meta"] = spark.createDataFrame([("snapshot_build_id", build_id), ("built_at", built_at)], "key string, value string")
     return out
 
 
+def facet_relations(pairs: Callable[[], DataFrame]) -> dict[str, Callable[[], DataFrame]]:
+    """Nodes, edges and bridges that hang on the (paper_id, facet_type, value) pairs.  Each is made when it is asked for; the
+    pairs and nodes they share are made once."""
+
+    @cache
+    def nodes() -> DataFrame:
+        return keep(facets.nodes(pairs(), "paper_id"), "nodes")
+
+    def papers_of_nodes() -> DataFrame:
+        return pairs().join(nodes().select("node_id", "facet_type", "value"), ["facet_type", "value"]).select("paper_id", "node_id")
+
+    def edges() -> DataFrame:
+        a, b = (nodes().select(F.col("node_id").alias(f"node_id_{s}"), F.col("facet_type").alias(f"type_{s}"), F.col("value").alias(f"value_{s}")) for s in "ab")
+        links = facets.edges(pairs(), "paper_id").join(a, ["type_a", "value_a"]).join(b, ["type_b", "value_b"])
+        return links.select("node_id_a", "node_id_b", "paper_count")
+
+    def own(d: str) -> DataFrame:
+        return nodes().where(F.col("facet_type") == d)
+
+    def values(d: str) -> Callable[[], DataFrame]:
+        return lambda: own(d).select(F.col("node_id").alias(f"{d}_id"), "value", "paper_count")
+
+    def bridge(d: str) -> Callable[[], DataFrame]:
+        return lambda: pairs().where(F.col("facet_type") == d).join(own(d).select("node_id", "value"), "value").select("paper_id", F.col("node_id").alias(f"{d}_id"))
+
+    out: dict[str, Callable[[], DataFrame]] = {"facet_node": nodes, "paper_facet": papers_of_nodes, "facet_edge": edges}
+    return out | {d: values(d) for d in DIMENSIONS} | {f"paper_{d}": bridge(d) for d in DIMENSIONS}
+
+
 def update(old: Snapshot, papers: DataFrame, build_id: str, built_at: str) -> Snapshot:
     """Appends the papers whose identity is new; those already there stay as they are; derived relations are derived again
     from the long tables, without reading the old records."""
@@ -136,11 +169,8 @@ def update(old: Snapshot, papers: DataFrame, build_id: str, built_at: str) -> Sn
     def values(s: Snapshot) -> DataFrame:
         return s["paper_facet"].join(s["facet_node"].select("node_id", "facet_type", "value"), "node_id").select("paper_id", "facet_type", "value")
 
-    pairs = keep(values(old).unionByName(values(fresh).join(new_ids, "paper_id", "left_semi")).distinct(), "pairs")
-    nodes = keep(facets.nodes(pairs, "paper_id"), "nodes")
-    out |= {"facet_node": nodes, "paper_facet": pairs.join(nodes.select("node_id", "facet_type", "value"), ["facet_type", "value"]).select("paper_id", "node_id")}
-    a, b = (nodes.select(F.col("node_id").alias(f"node_id_{s}"), F.col("facet_type").alias(f"type_{s}"), F.col("value").alias(f"value_{s}")) for s in "ab")
-    out["facet_edge"] = facets.edges(pairs, "paper_id").join(a, ["type_a", "value_a"]).join(b, ["type_b", "value_b"]).select("node_id_a", "node_id_b", "paper_count")
+    pairs = cache(lambda: keep(values(old).unionByName(values(fresh).join(new_ids, "paper_id", "left_semi")).distinct(), "pairs"))
+    out |= facet_relations(pairs)
     for c in ("year", "month"):
         out[f"{c}_count"] = out["paper"].groupBy(c).agg(F.count(F.lit(1)).alias("paper_count"))
     out["snapshot_meta"] = fresh["snapshot_meta"]

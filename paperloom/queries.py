@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import scalars as S
 from paperloom.functions import textudf as U
 from paperloom.operators import docops, dsl, facets, linkage, ranking, search
-from paperloom.plans import snapshot, workflow
+from paperloom.plans import snapshot, storage, workflow
 from paperloom.session import read_table
 from paperloom.sources import readers, sinks
 
@@ -305,10 +305,24 @@ def names_hashed(spark, d):
 # Search
 
 
-def posts(spark: SparkSession, d: str) -> DataFrame:
-    """Title and the rest of each document; ASCII words, as the queries below ask for no others."""
+def searched(spark: SparkSession, d: str) -> DataFrame:
+    """Title and the rest of each document as tokens; ASCII words, as the queries below ask for no others."""
     body = F.expr("substring(text, length(split_part(text, '\n', 1)) + 2)")
-    return search.postings(docs(spark, d).select("doc_id", title().alias("title"), body.alias("source")), "doc_id", {"title": F.col("title"), "source": F.col("source")}, native=True)
+    return search.tokenised(docs(spark, d).select("doc_id", title().alias("title"), body.alias("source")), "doc_id", {"title": F.col("title"), "source": F.col("source")}, native=True)
+
+
+def posts(spark: SparkSession, d: str, asked: search.TextQuery) -> DataFrame:
+    return search.listed(searched(spark, d), "doc_id", asked.terms)
+
+
+def matching(spark: SparkSession, d: str, asked: search.TextQuery) -> DataFrame:
+    return search.matching(posts(spark, d, asked), "doc_id", asked)
+
+
+def ranked(spark: SparkSession, d: str, asked: search.TextQuery) -> DataFrame:
+    """The texts are cut into tokens once; what is kept of them are a length for each document and the query's own postings."""
+    found = searched(spark, d)
+    return search.ranked(search.listed(found, "doc_id", asked.terms), "doc_id", asked, sizes=storage.keep(search.lengths_of(found, "doc_id"), "lengths"))
 
 
 TOKENS = r"""tok AS (SELECT doc_id, col, pos, term FROM (
@@ -319,17 +333,17 @@ TOKENS = r"""tok AS (SELECT doc_id, col, pos, term FROM (
 
 @query(f"WITH {TOKENS} SELECT doc_id FROM tok WHERE term = 'with' INTERSECT SELECT doc_id FROM tok WHERE term = 'from'")
 def search_and(spark, d):
-    return search.matching(posts(spark, d), "doc_id", search.parse("with AND From"))
+    return matching(spark, d, search.parse("with AND From"))
 
 
 @query(f"WITH {TOKENS} SELECT DISTINCT doc_id FROM tok WHERE term IN ('avec', 'nicht')")
 def search_or(spark, d):
-    return search.matching(posts(spark, d), "doc_id", search.parse("avec OR nicht"))
+    return matching(spark, d, search.parse("avec OR nicht"))
 
 
 @query(f"WITH {TOKENS} SELECT DISTINCT a.doc_id FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND a.col = b.col AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the'")
 def search_phrase(spark, d):
-    return search.matching(posts(spark, d), "doc_id", search.TextQuery((("of", "the"),), ((0,),)))
+    return matching(spark, d, search.TextQuery((("of", "the"),), ((0,),)))
 
 
 BM25 = """, size AS (SELECT doc_id, count(*) AS tokens FROM tok GROUP BY 1), whole AS (SELECT count(*) AS n_docs, avg(tokens) AS mean FROM size),
@@ -341,19 +355,19 @@ BM25 = """, size AS (SELECT doc_id, count(*) AS tokens FROM tok GROUP BY 1), who
 
 @query(f"WITH {TOKENS} {BM25} SELECT doc_id, round(score, 6) AS score FROM s ORDER BY s.score, doc_id LIMIT 20")
 def search_bm25_topk(spark, d):
-    ranked = search.ranked(posts(spark, d), "doc_id", search.parse("from OR thing"))
-    return ranked.orderBy("score", "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
+    found = ranked(spark, d, search.parse("from OR thing"))
+    return found.orderBy("score", "doc_id").limit(20).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {TOKENS} {BM25} SELECT count(*) AS total, round(sum(score), 3) AS score FROM s WHERE k = 2")
 def search_total(spark, d):
-    ranked = search.ranked(posts(spark, d), "doc_id", search.parse("from thing"))
-    return ranked.agg(F.count(F.lit(1)).alias("total"), F.round(F.sum("score"), 3).alias("score"))
+    found = ranked(spark, d, search.parse("from thing"))
+    return found.agg(F.count(F.lit(1)).alias("total"), F.round(F.sum("score"), 3).alias("score"))
 
 
-@query("""SELECT doc_id, unnest(list_distinct(list_filter(list_transform(range(1, greatest(2, length(t)::BIGINT - 1)), lambda i: substr(t, i, 3)), lambda g: length(g) = 3))) AS gram FROM (SELECT doc_id, lower(source || ' ' || lang) AS t FROM documents)""")
+@query("""SELECT doc_id, unnest(list_distinct(list_filter(list_transform(range(1, greatest(2, length(t)::BIGINT - 1)), lambda i: substr(t, i, 3)), lambda g: length(g) = 3))) AS gram FROM (SELECT doc_id, lower(text) AS t FROM documents)""")
 def search_trigrams(spark, d):
-    return search.trigrams(docs(spark, d), "doc_id", F.concat_ws(" ", "source", "lang"))
+    return search.trigrams(docs(spark, d), "doc_id", F.col("text"))
 
 
 def library(spark: SparkSession, d: str) -> tuple[DataFrame, dsl.Library]:
@@ -573,9 +587,9 @@ def venue_clean(spark, d):
     return docs(spark, d).select("doc_id", S.clean_journal(j).alias("journal"), F.lower(S.clean_conference(c)).alias("conference"), S.venue_class(j).alias("kind"))
 
 
-@query("""SELECT doc_id, lang || ' 深 度 学 习 x' AS spaced, lang || ' 深度学习 x' AS joined FROM documents""")
+@query("""SELECT doc_id, text || ' 深 度 学 习 x' AS spaced, text || ' 深度学习 x' AS joined FROM documents""")
 def cjk_spacing(spark, d):
-    raw = F.concat("lang", F.lit(" 深度学习 x"))
+    raw = F.concat("text", F.lit(" 深度学习 x"))
     return docs(spark, d).select("doc_id", S.cjk_spaced(raw).alias("spaced"), S.cjk_unspaced(S.cjk_spaced(raw)).alias("joined"))
 
 
@@ -591,7 +605,7 @@ def summary_excerpt(spark, d):
 
 @query("""SELECT doc_id, 3::BIGINT AS total, 1::BIGINT AS data, 1::BIGINT AS http, 1::BIGINT AS local FROM documents""")
 def md_images_count(spark, d):
-    raw = F.concat(F.lit("![a](data:image/png;base64,AA==) x ![b](https://x.org/"), "source", F.lit('.png "t") ![c](img/'), "lang", F.lit(".png)"))
+    raw = F.concat(F.lit("![a](data:image/png;base64,AA==) x ![b](https://x.org/"), "source", F.lit('.png "t") ![c](img/'), "lang", F.lit(".png) "), "text")
     return docs(spark, d).select("doc_id", S.image_counts(raw).alias("c")).select("doc_id", "c.*")
 
 
@@ -625,7 +639,7 @@ def list_coercion(spark, d):
 
 @query("""SELECT doc_id, '{"a":' || doc_id || '}' AS found FROM documents""")
 def json_in_text(spark, d):
-    raw = F.concat(F.lit("```json\nHere: {\"a\":"), F.col("doc_id").cast("string"), F.lit("}\n```"))
+    raw = F.concat("text", F.lit("\n```json\nHere: {\"a\":"), F.col("doc_id").cast("string"), F.lit("}\n```"))
     return docs(spark, d).select("doc_id", S.json_object_in(raw).alias("found"))
 
 
@@ -647,22 +661,22 @@ def keep_preferred_status(spark, d):
 
 @query("""SELECT doc_id, 0 AS ord, '$' AS delimiter, 'x_' || doc_id AS content, 1 AS line FROM documents UNION ALL SELECT doc_id, 1, '$$', 'y' || chr(10) || lang, 3 FROM documents""")
 def math_spans(spark, d):
-    raw = F.concat(F.lit("a $x_"), F.col("doc_id").cast("string"), F.lit("$ b `$c$`\n\n$$y\n"), "lang", F.lit("$$ end"))
+    raw = F.concat(F.lit("a $x_"), F.col("doc_id").cast("string"), F.lit("$ b `$c$`\n\n$$y\n"), "lang", F.lit("$$ end\n"), F.replace("text", F.lit("$"), F.lit("")))
     found = docops.exploded(docs(spark, d).select("doc_id", raw.alias("t")), "doc_id", docops.math_spans_col("t"))
     return found.select("doc_id", "ord", "delimiter", "content", "line")
 
 
 @query("""SELECT doc_id, 'text' AS kind, 1::BIGINT AS n FROM documents UNION ALL SELECT doc_id, 'code', 1 FROM documents UNION ALL SELECT doc_id, 'sep', 2 FROM documents UNION ALL SELECT doc_id, 'table', 1 FROM documents""")
 def code_fences(spark, d):
-    raw = F.concat("lang", F.lit(" text\n\n```py\nx = 1\n\n```\n\n| a | b |\n|---|---|\n| "), "source", F.lit(" | 2 |\n"))
+    raw = F.concat("text", F.lit("\n\n```py\nx = 1\n\n```\n\n| a | b |\n|---|---|\n| "), "source", F.lit(" | 2 |\n"))
     found = docops.exploded(docs(spark, d).select("doc_id", raw.alias("t")), "doc_id", docops.blocks_col("t"))
     return found.groupBy("doc_id", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, generate_subscripts(ls, 1)::INTEGER - 1 AS ord, unnest(ls) AS content FROM (SELECT doc_id, ['# ' || lang || chr(10), chr(10), '- ' || source || chr(10) || '  more' || chr(10), 'Tail.' ] AS ls FROM documents)""")
+@query("""SELECT doc_id, generate_subscripts(ls, 1)::INTEGER - 1 AS ord, unnest(ls) AS content FROM (SELECT doc_id, ['# ' || lang || chr(10), chr(10), '- ' || source || chr(10) || '  more' || chr(10), text ] AS ls FROM documents WHERE true)""")
 def segments_explode(spark, d):
-    raw = F.concat(F.lit("# "), "lang", F.lit("\n\n- "), "source", F.lit("\n  more\nTail."))
-    return docops.exploded(docs(spark, d).select("doc_id", raw.alias("t")), "doc_id", docops.segments_col("t")).select("doc_id", "ord", "content")
+    raw = F.concat(F.lit("# "), "lang", F.lit("\n\n- "), "source", F.lit("\n  more\n"), "text")
+    return docops.exploded(docs(spark, d).select("doc_id", raw.alias("t")), "doc_id", docops.segments_of(10_000_000)("t")).select("doc_id", "ord", "content")
 
 
 @query("SELECT doc_id, text FROM documents")

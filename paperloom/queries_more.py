@@ -95,16 +95,16 @@ def image_inventory(spark, d):
     return docops.image_inventory(docs(spark, d).select("doc_id", raw.alias("t")), "doc_id", "t", known)
 
 
-@query("""SELECT doc_id, CASE WHEN lang IN ('de', 'fr') THEN '![x](data:image/png;base64,' || base64(encode(lang)) || ') end' ELSE '![x](' || lang || '.png) end' END AS text FROM documents""")
+@query("""SELECT doc_id, CASE WHEN lang IN ('de', 'fr') THEN '![x](data:image/png;base64,' || base64(encode(lang)) || ') ' || text ELSE '![x](' || lang || '.png) ' || text END AS text FROM documents""")
 def images_embedded(spark, d):
-    base = docs(spark, d).select("doc_id", F.concat(F.lit("![x]("), "lang", F.lit(".png) end")).alias("text"))
+    base = docs(spark, d).select("doc_id", F.concat(F.lit("![x]("), "lang", F.lit(".png) "), "text").alias("text"))
     images = spark.sql("SELECT 'de.png' AS path, 'image/png' AS mime, CAST('de' AS BINARY) AS content UNION ALL SELECT 'fr.png', 'image/png', CAST('fr' AS BINARY)")
     return docops.embedded(base, "doc_id", "text", images).select("doc_id", "text")
 
 
-@query("""SELECT doc_id, '![x](images/' || substr(sha256(lang), 1, 12) || '.jpg) end' AS text FROM documents""")
+@query("""SELECT doc_id, '![x](images/' || substr(sha256(lang), 1, 12) || '.jpg) ' || text AS text FROM documents""")
 def images_unpacked(spark, d):
-    raw = F.concat(F.lit("![x](data:image/jpeg;base64,"), F.base64(F.col("lang").cast("binary")), F.lit(") end"))
+    raw = F.concat(F.lit("![x](data:image/jpeg;base64,"), F.base64(F.col("lang").cast("binary")), F.lit(") "), "text")
     return docops.unpacked(docs(spark, d).select("doc_id", raw.alias("text")), "doc_id", "text")[0].select("doc_id", "text")
 
 
@@ -127,7 +127,7 @@ def search_snippet(spark, d):
 
 @query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'placeholders_mismatch' WHEN 1 THEN 'empty_output' WHEN 2 THEN 'missing_target_script ratio=1.00' END AS why FROM documents""")
 def translation_gate(spark, d):
-    source = F.concat(F.lit("These are some words of "), "source", F.lit(" to translate __PH_CODE_000001__"))
+    source = F.concat("text", F.lit(" These are some words of "), "source", F.lit(" to translate __PH_CODE_000001__"))
     target = F.when(F.col("doc_id") % 4 == 0, "x").when(F.col("doc_id") % 4 == 2, source).when(F.col("doc_id") % 4 == 3, "一些文字 __PH_CODE_000001__")
     plain = F.when(F.col("doc_id") % 4 == 1, F.lit("Only a few words here")).otherwise(source)
     return docs(spark, d).select("doc_id", docops.failure_col(plain, target, F.lit("zh")).alias("why"))

@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from paperloom import queries_docs, queries_io, queries_more, queries_values  # noqa: F401
+from paperloom import queries_docs, queries_io, queries_more, queries_snapshot, queries_values  # noqa: F401
 from paperloom.queries import QUERIES, SQL
 
 D = "/root/testdata/sf0.001"
