@@ -97,10 +97,10 @@ def content_digest(text: Column, path: str) -> Column:
         return F.unhex(F.sha2(text.cast("binary"), 256))
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     # of ASCII texts the plain lower-casing is the same, and much cheaper
-    cased = F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, upper, lower))
-    for blank in "\t\n\x0b\f\r":
-        cased = F.replace(cased, F.lit(blank), F.lit(" "))
-    folded = F.trim(cased)
+    plain = F.regexp_replace(F.lower(text), "[\\t\\n\\x0b\\f\\r]", " ")
+    blanks = "\t\n\x0b\f\r"
+    folded = F.when(F.octet_length(text) == F.char_length(text), plain).otherwise(F.translate(text, upper + blanks, lower + " " * len(blanks)))
+    folded = F.trim(folded)
     exact = F.concat(F.lit("\x01"), text)
     return F.unhex(F.sha2(F.when(text.contains("<|"), exact).otherwise(folded).cast("binary"), 256))
 

@@ -71,3 +71,10 @@ def test_long_texts_and_bytes_that_are_not_text(spark):
     t = tokens.load_tokenizer(WORDS)
     assert got[1].n_tokens == 2_000_000 and got[1].over_limit and got[1].n_bytes == len(long)
     assert got[2].n_tokens == len(t.encode("x" * 400_000, add_special_tokens=False)) and got[3].n_tokens == len(t.encode("a�b", add_special_tokens=False))
+
+
+def test_digests_fold_case_and_blanks_alike_in_every_script(spark):
+    texts = ["A\tb\nC", "a b c", " a\x0bB\fc\r", "É A\tb", "É a b ", "é a b", "a <|x", "A <|x", "İ", "i̇"]
+    found = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tokens.content_digest(tokens.F.col("t"), WORDS).alias("d")).orderBy("i").collect()
+    d = [bytes(r.d) for r in found]
+    assert d[0] == d[1] == d[2] and d[3] == d[4] != d[5] and d[6] != d[7] and d[8] != d[9]
