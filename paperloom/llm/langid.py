@@ -145,7 +145,7 @@ def best_temperature(z: np.ndarray, y: np.ndarray) -> float:
     return float(grid[at])
 
 
-def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 15, epochs: int = 12, rate: float = 0.5, seed: int = 0, lost: float = 0.001) -> LanguageModel:
+def train(texts: list[str], langs: list[str], dim: int = 16, bits: int = 15, epochs: int = 6, rate: float = 0.5, seed: int = 0, lost: float = 0.001) -> LanguageModel:
     """Stochastic gradient descent over single documents; a fifth of them, held back, sets the temperature, and the score and
     the share of familiar pieces under which predictions are rejected: those which ``lost`` of the right predictions fall
     short of."""
