@@ -94,6 +94,15 @@ def test_bibliography(spark):
     assert got.get(3, best) == best
 
 
+def test_bibliography_first(spark):
+    """The first entry in order that is alike enough, not the best, and over the whole list."""
+    papers = spark.createDataFrame([(1, "a long title about networks"), (2, "b short"), (3, "xa long title about networks"), (4, "")], "id int, t string")
+    entries = spark.createDataFrame([("k0", 0, "something else entirely"), ("k1", 1, "a long title about networkz"), ("k2", 2, "a long title about networks"), ("k3", 3, "a long title about networks and so much more of it")], "k string, o int, t string")
+    got = {r.ident: (r.entry, round(r.score, 6)) for r in L.bibliography_first(papers, "id", F.col("t"), entries, "k", "o", F.col("t")).collect()}
+    ratio = lambda a, b: round(difflib.SequenceMatcher(None, a, b).ratio(), 6)
+    assert got == {1: ("k1", ratio("a long title about networks", "a long title about networkz")), 3: ("k1", ratio("xa long title about networks", "a long title about networkz"))}
+
+
 def test_merge_is_by_hash_and_similar_title(spark):
     rows = [(0, "h1", None, "a fairly long paper title"), (1, "h1", None, "other"), (2, None, None, "a fairly long paper titla"), (3, None, "bib one title which is here", "zzz"), (4, None, "bib one title which is hera", "yyy"), (5, None, None, ""), (6, "", None, None)]
     df = spark.createDataFrame(rows, "o long, h string, bt string, pt string")

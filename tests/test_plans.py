@@ -3,8 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.operators import facets
-from paperloom.plans import snapshot, workflow
+from paperloom.operators import docops, facets
+from paperloom.plans import snapshot, storage, workflow
 from paperloom.queries import papers
 from paperloom.sources import readers, sinks
 from paperloom.streaming import incremental
@@ -149,3 +149,86 @@ def test_stream_appends_once(spark, tmp_path):
     spark.createDataFrame([(2, "2024-01-01 02:00:00"), (3, "2024-01-01 02:00:00")], "event_id long, ts string").write.mode("append").parquet(f"{tmp_path}/in")
     incremental.maintain(incremental.new_rows(spark, f"{tmp_path}/in", "event_id long, ts string", "event_id", "ts"), f"{tmp_path}/out", f"{tmp_path}/cp", "event_id").awaitTermination()
     assert sorted(r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+
+
+def test_layouts(spark, tmp_path):
+    for name in ("one", "two"):
+        (tmp_path / name / "images").mkdir(parents=True)
+        (tmp_path / name / "full.md").write_text(f"# {name}\n\n![x](data:image/png;base64,AAEC)\n")
+        (tmp_path / name / "images" / "a.png").write_bytes(b"\0")
+    found = readers.layouts(spark, str(tmp_path))
+    assert sorted(r.folder.rsplit("/", 1)[1] for r in found.collect()) == ["one", "two"]
+    texts, files = docops.unpacked(found, "folder", "text")
+    assert files.count() == 1 and all(files.first()["name"] in r.text for r in texts.collect())
+
+
+def test_cached_scans_follow_their_files(spark, tmp_path):
+    import os
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.md").write_text("a")
+    runs = []
+
+    def scan():
+        def build():
+            runs.append(1)
+            return readers.markdown(spark, str(tmp_path / "in"))
+
+        return storage.cached(readers.files(spark, str(tmp_path / "in")), build, f"file://{tmp_path}/cache").collect()
+
+    assert [r.text for r in scan()] == [r.text for r in scan()] == ["a"] and len(runs) == 1
+    (tmp_path / "in" / "b.md").write_text("b")
+    assert [r.text for r in scan()] == ["a", "b"] and len(runs) == 2
+    os.utime(tmp_path / "in" / "a.md", (1, 1))
+    scan()
+    assert len(runs) == 3
+
+
+def test_readers_see_a_whole_build(spark, tmp_path):
+    root = f"file://{tmp_path}/s"
+    made = []
+
+    def lazily():
+        made.append(1)
+        return spark.range(3)
+
+    first = snapshot.Snapshot({"paper": spark.range(1), "author": lazily})
+    assert not made and first["author"].count() == 3 and first["author"].count() == 3 and made == [1]
+    first.write(root, "b1")
+    spark.range(9).write.parquet(f"{root}/b2/paper")  # a build that is not ready
+    assert snapshot.read(spark, root)["paper"].count() == 1
+    snapshot.Snapshot({"paper": spark.range(2)}).write(root, "b2")
+    assert snapshot.read(spark, root)["paper"].count() == 2
+
+
+def test_a_shared_folder_is_asked_for_on_a_cluster():
+    class Conf(dict):
+        def get(self, key, other=None):
+            return dict.get(self, key, other)
+
+        def set(self, key, value):
+            self[key] = value
+
+    class Session:
+        conf = Conf({"spark.master": "spark://somewhere:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_dir(Session)
+    Session.conf["spark.checkpoint.dir"] = "hdfs://x/y/"
+    assert storage.shared_dir(Session) == "hdfs://x/y"
+
+
+def test_ranks_do_not_need_a_task_for_a_frequent_beginning(spark):
+    from paperloom.operators import ranking
+
+    df = spark.range(4000).selectExpr("id", "IF(id % 10 < 9, concat('https://', lpad(id, 5, '0')), NULL) AS t", "IF(id % 4 = 0, 'b', NULL) AS g")
+    want = {r.id: (i,) for i, r in enumerate(sorted(df.collect(), key=lambda r: (r.t is not None, r.t or "")), 1)}
+    got = {r.id: r["rank"] for r in ranking.global_rank(df, "t").collect()}
+    assert sorted(got.values()) == list(range(1, 4001)) and all(got[i] == want[i][0] for i in got if i % 10 < 9)
+    within = {}
+    for r in ranking.global_rank(df, "id", "rank", ["g"]).collect():
+        within.setdefault(r.g, []).append((r["rank"], r.id))
+    assert all([k for k, _ in sorted(v)] == list(range(1, len(v) + 1)) and [i for _, i in sorted(v)] == sorted(i for _, i in v) for v in within.values())
+    hot = spark.range(3000).selectExpr("id", "IF(id % 10 < 9, 'same', concat('own', id)) AS base")
+    names = [r["name"] for r in ranking.unique_names(hot, "base", "id").collect()]
+    assert len(set(names)) == 3000 and "same" in names and "same_2699" in names
