@@ -5,8 +5,11 @@ from __future__ import annotations
 import json
 import math
 import re
+from collections import Counter, deque
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,11 +111,14 @@ def _is(value: object, kind: str) -> bool:
 
 
 def turns_as_tools(conversations: DataFrame) -> DataFrame:
-    """Messages of plain conversations as tool traffic: a user's turn calls ``reply`` under the identifier conv:turn and
-    needs the call of two turns before; an assistant's turn is the result of the turn before it; others are messages."""
+    """Messages of plain conversations as tool traffic: a user's turn calls ``reply`` under the identifier conv:turn, an
+    assistant's turn is the result of the turn before it, others are messages.  A call needs the call of two turns before
+    or, in conversations of odd numbers, as in logs that were written backwards, of two turns after; there, calls must be put
+    in order."""
     name = lambda turn: F.concat_ws(":", F.col("conv_id").cast("string"), turn.cast("string"))
     user, assistant, t = F.col("role") == "user", F.col("role") == "assistant", F.col("turn")
     arguments = F.to_json(F.struct(t.alias("turn"), F.col("text").alias("prompt")))
+    other = F.when(F.col("conv_id") % 2 != 0, name(t + 2)).when(t >= 2, name(t - 2))
     return conversations.select(
         "conv_id",
         "turn",
@@ -120,24 +126,78 @@ def turns_as_tools(conversations: DataFrame) -> DataFrame:
         F.when(user, name(t)).when(assistant, name(t - 1)).alias("call_id"),
         F.when(user, F.lit("reply")).otherwise(F.col("role")).alias("name"),
         F.when(user, arguments).otherwise(F.col("text")).alias("body"),
-        F.when(user & (t >= 2), F.array(name(t - 2))).otherwise(F.array().cast("array<string>")).alias("needs"),
+        F.when(user, F.array_compact(F.array(other))).otherwise(F.array().cast("array<string>")).alias("needs"),
     )
 
 
+#: Needs of a conversation that are ordered in one go; a conversation of more is ordered round by round, in many tasks.
+AT_ONCE = 100_000
+
+
 def ordered(messages: DataFrame, owners: DataFrame) -> DataFrame:
     """(conv_id, call_id, ready, hops) for the calls that must come later than their turn says, or that never can (hops
     null).  Sorting a conversation by ready, hops, turn is a topological order: every call after the results it needs.
 
-    A need that was met in an earlier turn asks for nothing.  The others push their calls back, and those push the calls
-    that need them; each round follows only what the round before it pushed, so the rounds are as many as the longest such
-    chain.  Then the pushed calls are taken in layers, each when all calls that push it are taken: its layer is its hops.
-    What no layer takes is in a circle, or is pushed by one; so circles cost no rounds, however long their conversation.
+    A need that was met in an earlier turn asks for nothing.  The others push their calls back, and those push the calls that
+    need them; ``ready`` is the last turn that any of them waits for.  Then the pushed calls are taken in layers, each when
+    all calls that push it are taken: its layer is its hops.  What no layer takes is in a circle, or is pushed by one.
+
+    Only conversations with a need that is met too late take part.  Those of up to AT_ONCE needs are ordered one by one, by
+    their identifiers and turns alone; larger ones together, by joins, in as many rounds as their longest chain.
     """
-    spark = messages.sparkSession
     met = owners.select("conv_id", F.col("call_id").alias("need"), F.coalesce("result_turn", "call_turn").alias("met"))
     edges = messages.where("kind = 'call'").select("conv_id", "call_id", "turn", F.explode("needs").alias("need")).distinct()
-    edges = keep(edges.join(met, ["conv_id", "need"]), "needs")
-    key = ["conv_id", "call_id"]
+    edges = keep(edges.join(met, ["conv_id", "need"]).select("conv_id", "call_id", "turn", "need", "met"), "needs")
+    sizes = edges.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("met") >= F.col("turn")).alias("late"))
+    late = keep(sizes.where("late").select("conv_id", "n"), "late")
+    if late.isEmpty():
+        return edges.select("conv_id", "call_id", F.col("met").alias("ready"), F.lit(None).cast("long").alias("hops")).where("false")
+    taking_part = edges.join(late, "conv_id")
+    large = taking_part.where(F.col("n") > AT_ONCE).drop("n")
+    found = taking_part.where(F.col("n") <= AT_ONCE).drop("n").groupBy("conv_id").applyInPandas(_in_order, "conv_id long, call_id string, ready long, hops long")
+    return found if late.where(F.col("n") > AT_ONCE).isEmpty() else found.unionByName(_by_rounds(keep(large, "large")))
+
+
+def _in_order(needs: pd.DataFrame) -> pd.DataFrame:
+    """One conversation's needs (call_id, turn, need, met) -> its pushed calls."""
+    by_need: dict[str, list[tuple[str, int]]] = {}
+    ready: dict[str, int] = {}
+    for call, turn, need, met in needs[["call_id", "turn", "need", "met"]].itertuples(index=False):
+        by_need.setdefault(need, []).append((call, turn))
+        if met >= turn:
+            ready[call] = max(met, ready.get(call, met))
+    # the latest first: what it pushes waits for it, and for nothing later
+    latest, settled = [(-r, c) for c, r in ready.items()], set()
+    heapify(latest)
+    while latest:
+        r, now = heappop(latest)
+        if now in settled:
+            continue
+        settled.add(now)
+        for call, turn in by_need.get(now, ()):
+            if -r >= turn and -r > ready.get(call, -1):
+                ready[call] = -r
+                heappush(latest, (r, call))
+    pushes = {c: [x for x, turn in by_need.get(c, ()) if ready[c] >= turn] for c in ready}
+    waits = Counter(x for xs in pushes.values() for x in xs)
+    hops = {c: 1 for c in ready if not waits[c]}
+    queue = deque(hops)
+    while queue:
+        now = queue.popleft()
+        for call in pushes[now]:
+            waits[call] -= 1
+            if not waits[call]:
+                hops[call] = hops[now] + 1  # the last that it waited for is of the highest layer
+                queue.append(call)
+    rows = [(needs["conv_id"].iloc[0], c, r, hops.get(c)) for c, r in ready.items()]
+    found = pd.DataFrame(rows, columns=["conv_id", "call_id", "ready", "hops"])
+    return found.astype({"hops": "Int64"})
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """The same of all conversations together: each round follows only what the round before it pushed, and the layers are
+    taken one by one; circles cost no rounds, however long their conversation."""
+    spark, key = edges.sparkSession, ["conv_id", "call_id"]
     moves, step = new_folder(spark, "pushed"), 0
     pushed = edges.where("met >= turn").groupBy(*key).agg(F.max("met").alias("ready"))
     while True:
@@ -151,10 +211,7 @@ def ordered(messages: DataFrame, owners: DataFrame) -> DataFrame:
         later = to.where("r >= turn").groupBy(*key).agg(F.max(F.greatest("r", "met")).alias("ready"))
         pushed = later.join(so_far, key, "left").where("before IS NULL OR ready > before").select(*key, "ready")
         step += 1
-    state = moved.groupBy(*key).agg(F.max("ready").alias("ready"))
-    if step == 0:
-        return state.withColumn("hops", F.lit(None).cast("long"))
-    state = keep(state, "ready")
+    state = keep(moved.groupBy(*key).agg(F.max("ready").alias("ready")), "ready")
     pushing = state.select("conv_id", F.col("call_id").alias("need"), F.col("ready").alias("r"))
     waits = keep(edges.join(pushing, ["conv_id", "need"]).where("r >= turn").select(*key, "need").distinct(), "waits")
     left, layers, hops = state.select(*key), new_folder(spark, "layers"), 1
@@ -179,8 +236,8 @@ def format_chats(messages: DataFrame, tools: dict[str, dict]) -> DataFrame:
     text that they were), ``circle``, or the path and keyword of the schema that the arguments break; null if none.  A need
     that names no call of the conversation asks for nothing.  Repeated rows share their values; a null body is an empty text;
     bodies of any length are read whole; null conversations or turns are linked with nothing; bytes that are not UTF-8 are
-    replaced in the line; other columns are ignored; an empty table gives an empty result.  Nothing is gathered by
-    conversation, so long ones need no larger task.
+    replaced in the line; other columns are ignored; an empty table gives an empty result.  No texts are gathered by
+    conversation, and at most AT_ONCE needs, so long ones need no larger task.
     """
     messages = messages.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "kind", "call_id", "name", "body", "needs")
     calls = F.col("kind") == "call"
@@ -242,7 +299,8 @@ def _line(kind: str, call_id: str | None, name: str | None, body: str, tools: di
     return canonical({"arguments": body, "id": call_id, "name": name, "type": "call"}), wrong
 
 
-#: The same over ``turns_as_tools`` in SQL.  All needs there are met in an earlier turn, so nothing is pushed back.
+#: The same over ``turns_as_tools`` in SQL.  In conversations of odd numbers, a run of user's turns two apart is a chain that
+#: waits for its last call; all other needs are met in an earlier turn, and push nothing back.
 ORACLE = """
 WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
     CASE role WHEN 'user' THEN 'call' WHEN 'assistant' THEN 'result' ELSE 'message' END AS kind,
@@ -250,7 +308,12 @@ WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text,
   FROM conversations),
 o AS (SELECT conv_id, call_id, min(turn) FILTER (kind = 'call') AS call_turn, min(turn) FILTER (kind = 'result') AS result_turn
   FROM m WHERE call_id IS NOT NULL GROUP BY ALL),
-j AS (SELECT m.*, call_turn, result_turn FROM m LEFT JOIN o USING (conv_id, call_id)),
+c AS (SELECT conv_id, call_id, call_turn, coalesce(result_turn, call_turn) AS met, call_turn - 2 * row_number() OVER (PARTITION BY conv_id, call_turn % 2 ORDER BY call_turn) AS run
+  FROM o WHERE call_turn IS NOT NULL AND conv_id % 2 <> 0),
+r AS (SELECT conv_id, call_id, last_value(met) OVER w AS ready, row_number() OVER (PARTITION BY conv_id, call_turn % 2, run ORDER BY call_turn DESC) - 1 AS hops
+  FROM c WINDOW w AS (PARTITION BY conv_id, call_turn % 2, run ORDER BY call_turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+j AS (SELECT m.*, call_turn, result_turn, CASE WHEN hops > 0 THEN ready END AS ready, coalesce(hops, 0)::BIGINT AS hops
+  FROM m LEFT JOIN o USING (conv_id, call_id) LEFT JOIN r USING (conv_id, call_id)),
 p AS (SELECT *, CASE
     WHEN kind = 'call' AND length(text) < 1 THEN '/prompt minLength'
     WHEN kind = 'call' AND length(text) > 1000 THEN '/prompt maxLength'
@@ -259,7 +322,7 @@ p AS (SELECT *, CASE
     WHEN kind = 'result' AND turn <> result_turn THEN 'duplicate result'
     WHEN kind = 'call' AND result_turn IS NULL THEN 'no result' END AS problem FROM j)
 SELECT conv_id, turn, kind, call_id, CASE kind WHEN 'call' THEN result_turn WHEN 'result' THEN call_turn END AS linked_turn,
-  turn AS ready, 0::BIGINT AS hops, problem IS NULL AS valid, problem,
+  greatest(turn, coalesce(ready, turn)) AS ready, hops, problem IS NULL AS valid, problem,
   CASE kind WHEN 'call' THEN '{"arguments":{"prompt":' || to_json(text)::VARCHAR || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply","type":"call"}'
     WHEN 'result' THEN '{"content":' || to_json(text)::VARCHAR || ',"id":"' || call_id || '","role":"assistant","type":"result"}'
     ELSE '{"content":' || to_json(text)::VARCHAR || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || ',"type":"message"}' END AS line

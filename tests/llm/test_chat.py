@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from paperloom.llm import chat
 
 SCHEMA = "conv_id long, turn long, kind string, call_id string, name string, body string, needs array<string>"
@@ -124,9 +126,12 @@ def brute_order(calls):
     return {k: (r, None if hops[k] > len(calls) else hops[k]) for k, (r, _) in state.items()}
 
 
-def test_order_against_brute_force(spark):
+@pytest.mark.parametrize("at_once", [100_000, 4, 0])
+def test_order_against_brute_force(spark, monkeypatch, at_once):
     import random
 
+    monkeypatch.setattr(chat, "AT_ONCE", at_once)  # conversations of more needs are ordered round by round
+
     rnd = random.Random(4)
     rows, want = [], {}
     for conv in range(40):
@@ -140,6 +145,7 @@ def test_order_against_brute_force(spark):
 
 
 def test_a_circle_in_a_long_conversation_takes_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(chat, "AT_ONCE", 0)
     written, plain = [], chat.keep
     monkeypatch.setattr(chat, "keep", lambda df, label: written.append(label) or plain(df, label))
     rows = [(1, t, "call", f"c{t}", "add", '{"a":1}', {3: ["c4"], 4: ["c3"]}.get(t, [f"c{t - 1}"])) for t in range(60)]
@@ -153,3 +159,19 @@ def test_empty_and_repeated(spark):
     rows = [(1, 1, "call", "x", "add", '{"a":1}', []), (1, 1, "call", "x", "add", '{"a":1}', []), (1, 2, "result", "x", None, "long " * 400_000, [])]
     got = chat.format_chats(spark.createDataFrame(rows, SCHEMA), TOOLS).collect()
     assert [r.problem for r in got] == [None] * 3 and max(len(r.line) for r in got) > 2_000_000
+
+
+def test_a_long_chain_takes_one_job(spark, monkeypatch):
+    written, plain = [], chat.keep
+    monkeypatch.setattr(chat, "keep", lambda df, label: written.append(label) or plain(df, label))
+    n = 20_000
+    rows = [(1, t, "call", f"c{t}", "add", '{"a":1}', [f"c{t + 1}"]) for t in range(n)]
+    got = run(spark, rows)
+    assert [got[(1, t, "call", f"c{t}")].hops for t in (0, 1, n - 2, n - 1)] == [n - 1, n - 2, 1, 0]
+    assert all(got[(1, t, "call", f"c{t}")].ready == n - 1 for t in range(0, n - 1, 97)) and len(written) < 5
+
+
+def test_odd_conversations_are_put_in_order(spark):
+    plain = spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(6)] + [(2, t, "user", "x") for t in (0, 2)], "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.ready, r.hops) for r in chat.format_chats(chat.turns_as_tools(plain), chat.REPLY_TOOLS).collect()}
+    assert got == {(1, 0): (5, 2), (1, 1): (5, 2), (1, 2): (5, 1), (1, 3): (5, 1), (1, 4): (4, 0), (1, 5): (5, 0), (2, 0): (0, 0), (2, 2): (2, 0)}
