@@ -182,7 +182,7 @@ def stream_append_once(spark, d):
     schema = read_table(spark, d, "events").schema.simpleString()[len("struct<") : -1].replace(":", " ")
     for _ in range(2):
         rows = incremental.new_rows(spark, f"{d}/events.parquet*", schema, "event_id", "ts", "60 days")
-        incremental.maintain(rows, f"{base}/table", f"{base}/checkpoint", "event_id").awaitTermination()
+        incremental.maintain(rows, f"{base}/table", f"{base}/checkpoint", "event_id", event_time="ts", late="60 days").awaitTermination()
     return spark.read.parquet(f"{base}/table").select("event_id", "event_type", "user_id")
 
 

@@ -20,15 +20,20 @@ def new_rows(spark: SparkSession, path: str, schema: str, key: str, event_time:
     return timed.dropDuplicatesWithinWatermark([key]).drop("__t")
 
 
-def append_once(target: str, key: str, after: Callable[[DataFrame], None] | None = None) -> Callable[[DataFrame, int], None]:
+def append_once(target: str, key: str, after: Callable[[DataFrame], None] | None = None, event_time: str | None = None, late: str = "1 day") -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: a batch goes to a folder of its own number, so a batch that is run again overwrites itself; keys
-    that earlier batches hold are left out."""
+    that earlier batches hold are left out.  With ``event_time``, a column of the rows, only what those hold from ``late``
+    before the batch's first event on is read: nothing older can come again, as the watermark that drops repeats is as long."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fresh = batch
         if exists(spark, target):
             before = spark.read.parquet(target).where(F.col("batch") < number)
+            if event_time is not None:
+                first = batch.agg((F.min(F.col(event_time).cast("timestamp")) - F.expr(f"INTERVAL {late}")).alias("t")).first().t
+                if first is not None:
+                    before = before.where(F.col(event_time) >= F.lit(first).cast(batch.schema[event_time].dataType))
             fresh = batch.join(before.select(key), key, "left_anti")
         fresh.write.mode("overwrite").parquet(f"{target}/batch={number}")
         if after is not None:
@@ -37,9 +42,10 @@ def append_once(target: str, key: str, after: Callable[[DataFrame], None] | None
     return write
 
 
-def maintain(rows: DataFrame, target: str, checkpoint: str, key: str, after: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
+def maintain(rows: DataFrame, target: str, checkpoint: str, key: str, after: Callable[[DataFrame], None] | None = None, event_time: str | None = None, late: str = "1 day") -> StreamingQuery:
     """Runs to the end of what is there and stops."""
-    return rows.writeStream.foreachBatch(append_once(target, key, after)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    write = append_once(target, key, after, event_time, late)
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(rows: DataFrame, event_time: str, kind: str, width: str = "1 day", late: str = "2 days") -> DataFrame:
