@@ -7,11 +7,9 @@ from heapq import heappop, heappush
 from itertools import accumulate, islice
 from math import ceil, floor
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from paperloom.llm.shared import BROADCAST_ROWS, new_folder, ranked, unused
 
@@ -109,19 +107,15 @@ def schedule(spark: SparkSession, blocks: list[int], weights: list[float]) -> It
     run of MOST_SLOTS slots; a run is one period, in which the source's weight is the number of its blocks there."""
     found, at, done = slots(blocks, weights), 0, [0] * len(blocks)
     while run := list(islice(found, MOST_SLOTS)):
-        got = np.array(run, np.int32)
-        order = np.argsort(got, kind="stable").astype(np.int32)
-        for i, places in zip(*_groups(got[order], order)):
-            yield i, done[i], len(places), len(places), len(run), at, places
-            done[i] += len(places)
+        places: dict[int, list[int]] = {}
+        for place, i in enumerate(run):
+            places.setdefault(i, []).append(place)
+        for i in sorted(places):
+            yield i, done[i], len(places[i]), len(places[i]), len(run), at, places[i]
+            done[i] += len(places[i])
         at += len(run)
 
 
-def _groups(keys: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
-    found, starts = np.unique(keys, return_index=True)
-    return found.tolist(), np.split(values, starts[1:])
-
-
 def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, power: float = 0.5, id_col: str = "doc_id", source_col: str = "source", most_sources: int = 1 << 20) -> DataFrame:
     """Every row of ``docs``, with all its columns, and mix_block (of its source), mix_slot (when that block comes),
     mix_place (in the block).  Sorting by slot and place gives the mixture; no row is dropped or repeated.
@@ -157,11 +151,10 @@ def mix(docs: DataFrame, weights: dict | None = None, block: int = 32, power: fl
 
 def _table(spark: SparkSession, names: list, rows: Iterator[tuple], kind, total: int) -> DataFrame:
     """The schedule as a table of source, block and slot.  The driver holds MOST_SLOTS slots of it at a time."""
-    fields = {"__source": to_arrow_type(kind), "__first": pa.int64(), "__at": pa.int64(), "__places": pa.list_(pa.int32())}
+    fields = StructType([StructField("__source", kind), StructField("__first", LongType()), StructField("__at", LongType()), StructField("__places", ArrayType(IntegerType()))])
 
     def frame(part: list[tuple]) -> DataFrame:
-        columns = [[names[r[0]] for r in part], [r[1] for r in part], [r[5] for r in part], [r[6] for r in part]]
-        return spark.createDataFrame(pa.table([pa.array(c, t) for c, t in zip(columns, fields.values())], names=list(fields)))
+        return spark.createDataFrame([(names[r[0]], r[1], r[5], r[6]) for r in part], fields, verifySchema=False)
 
     if total <= MOST_SLOTS:
         runs = frame(list(rows))
@@ -174,7 +167,7 @@ def _table(spark: SparkSession, names: list, rows: Iterator[tuple], kind, total:
             part.append(r)
         frame(part).write.mode("append").parquet(path)
         runs = spark.read.parquet(path)
-    each = runs.select(F.col("__source").cast(kind).alias("source"), "__first", "__at", F.posexplode("__places").alias("__k", "__place"))
+    each = runs.select(F.col("__source").alias("source"), "__first", "__at", F.posexplode("__places").alias("__k", "__place"))
     return each.select("source", (F.col("__first") + F.col("__k")).alias("block"), (F.col("__at") + F.col("__place")).alias("slot"))
 
 
