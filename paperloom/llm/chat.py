@@ -9,7 +9,6 @@ from collections import Counter, deque
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -154,26 +153,51 @@ def ordered(messages: DataFrame, owners: DataFrame) -> DataFrame:
         return edges.select("conv_id", "call_id", F.col("met").alias("ready"), F.lit(None).cast("long").alias("hops")).where("false")
     taking_part = edges.join(late, "conv_id")
     large = taking_part.where(F.col("n") > AT_ONCE).drop("n")
-    found = taking_part.where(F.col("n") <= AT_ONCE).drop("n").groupBy("conv_id").applyInPandas(_in_order, "conv_id long, call_id string, ready long, hops long")
+    # identifiers as bytes, so that those which are not UTF-8 pass as they are
+    named = ["conv_id", F.col("call_id").cast("binary").alias("call_id"), "turn", F.col("need").cast("binary").alias("need"), "met"]
+    whole = taking_part.where(F.col("n") <= AT_ONCE).select(*named).repartition("conv_id").sortWithinPartitions("conv_id")
+    found = whole.mapInArrow(_in_order, "conv_id long, call_id binary, ready long, hops long").withColumn("call_id", F.col("call_id").cast("string"))
     return found if late.where(F.col("n") > AT_ONCE).isEmpty() else found.unionByName(_by_rounds(keep(large, "large")))
 
 
-def _in_order(needs: pd.DataFrame) -> pd.DataFrame:
-    """One conversation's needs (call_id, turn, need, met) -> its pushed calls."""
-    by_need: dict[str, list[tuple[str, int]]] = {}
-    ready: dict[str, int] = {}
-    for call, turn, need, met in needs[["call_id", "turn", "need", "met"]].itertuples(index=False):
+def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Needs (conv_id, call_id, turn, need, met) in order of conversation -> the pushed calls of each."""
+    columns, types = ["conv_id", "call_id", "ready", "hops"], [pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], columns)
+
+    here, needs, rows = None, [], []
+    for batch in batches:
+        for conv, *need in zip(*(c.to_pylist() for c in batch.columns)):
+            if conv != here:
+                rows += [(here, *x) for x in _settled(needs)]
+                here, needs = conv, []
+                if len(rows) > 20_000:
+                    yield out(rows)
+                    rows = []
+            needs.append(need)
+    rows += [(here, *x) for x in _settled(needs)]
+    if rows:
+        yield out(rows)
+
+
+def _settled(needs: list[list]) -> Iterator[tuple[bytes, int, int | None]]:
+    """One conversation's needs [call_id, turn, need, met] -> (call_id, ready, hops) of its pushed calls."""
+    by_need: dict[bytes, list[tuple[bytes, int]]] = {}
+    ready: dict[bytes, int] = {}
+    for call, turn, need, met in needs:
         by_need.setdefault(need, []).append((call, turn))
         if met >= turn:
             ready[call] = max(met, ready.get(call, met))
     # the latest first: what it pushes waits for it, and for nothing later
-    latest, settled = [(-r, c) for c, r in ready.items()], set()
+    latest, done = [(-r, c) for c, r in ready.items()], set()
     heapify(latest)
     while latest:
         r, now = heappop(latest)
-        if now in settled:
+        if now in done:
             continue
-        settled.add(now)
+        done.add(now)
         for call, turn in by_need.get(now, ()):
             if -r >= turn and -r > ready.get(call, -1):
                 ready[call] = -r
@@ -189,9 +213,7 @@ def _in_order(needs: pd.DataFrame) -> pd.DataFrame:
             if not waits[call]:
                 hops[call] = hops[now] + 1  # the last that it waited for is of the highest layer
                 queue.append(call)
-    rows = [(needs["conv_id"].iloc[0], c, r, hops.get(c)) for c, r in ready.items()]
-    found = pd.DataFrame(rows, columns=["conv_id", "call_id", "ready", "hops"])
-    return found.astype({"hops": "Int64"})
+    return ((c, r, hops.get(c)) for c, r in ready.items())
 
 
 def _by_rounds(edges: DataFrame) -> DataFrame:

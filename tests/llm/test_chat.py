@@ -175,3 +175,10 @@ def test_odd_conversations_are_put_in_order(spark):
     plain = spark.createDataFrame([(1, t, "user" if t % 2 == 0 else "assistant", "x") for t in range(6)] + [(2, t, "user", "x") for t in (0, 2)], "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.turn): (r.ready, r.hops) for r in chat.format_chats(chat.turns_as_tools(plain), chat.REPLY_TOOLS).collect()}
     assert got == {(1, 0): (5, 2), (1, 1): (5, 2), (1, 2): (5, 1), (1, 3): (5, 1), (1, 4): (4, 0), (1, 5): (5, 0), (2, 0): (0, 0), (2, 2): (2, 0)}
+
+
+def test_identifiers_that_are_not_text(spark):
+    df = spark.sql("""SELECT 1L conv_id, 1L turn, 'call' kind, CAST(X'61FF' AS STRING) call_id, 'add' name, '{"a":1}' body, array(CAST(X'62FE' AS STRING)) needs
+      UNION ALL SELECT 1L, 2L, 'call', CAST(X'62FE' AS STRING), 'add', '{"a":1}', CAST(array() AS array<string>)""")
+    got = {r.turn: (r.ready, r.hops) for r in chat.format_chats(df, TOOLS).drop("call_id").collect()}
+    assert got == {1: (2, 1), 2: (2, 0)}
