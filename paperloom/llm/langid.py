@@ -131,17 +131,18 @@ def least(values: np.ndarray, lost: float) -> float:
 
 def best_temperature(z: np.ndarray, y: np.ndarray) -> float:
     """The temperature of least cross entropy.  As in Platt's scaling, of n + 2 rows one counts as wrong, so that there is a
-    minimum even where all are right; a minimum at an edge of the grid is an error."""
+    minimum even where all are right.  The grid is widened while the minimum is at its edge; it stays there only if the
+    logits say nothing, or the opposite of what they should, and then any great temperature is as good."""
     n, k = z.shape
     if k == 1 or np.ptp(z, axis=1).max() == 0:
         return 1.0
     aim = np.full((n, k), 1 / (n + 2) / (k - 1))
     aim[np.arange(n), y] = 1 - 1 / (n + 2)
-    grid = np.exp(np.linspace(-12, 12, 481))
-    loss = [-(aim * np.log(softmax(z / t) + 1e-300)).sum() for t in grid]
-    at = int(np.argmin(loss))
-    if at in (0, len(grid) - 1):
-        raise ValueError(f"no temperature within the grid: {grid[at]:.2g} is at its edge")
+    for reach in (12, 24, 48):
+        grid = np.exp(np.linspace(-reach, reach, 40 * reach + 1))
+        at = int(np.argmin([-(aim * np.log(softmax(z / t) + 1e-300)).sum() for t in grid]))
+        if 0 < at < len(grid) - 1:
+            break
     return float(grid[at])
 
 
@@ -248,12 +249,13 @@ def filter_texts(docs: DataFrame, wanted, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` for whose text (str or None) ``wanted`` holds.  Bytes that are not UTF-8 are replaced for
     ``wanted``, and stay as they are in the rows."""
 
+    at, plain = docs.columns.index(text_col), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [bool(wanted(t)) for t in decoded(batch.column(batch.schema.get_field_index(text_col)))]
-            yield batch.filter(pa.array(found, pa.bool_()))
+            yield batch.filter(pa.array([bool(wanted(t)) for t in decoded(batch.column(at))], pa.bool_()))
 
-    return map_texts(docs, run, docs.schema)
+    return map_texts(plain, run, plain.schema).toDF(*docs.columns)
 
 
 def decoded(texts: pa.Array) -> Iterator[str | None]:

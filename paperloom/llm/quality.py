@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from paperloom.llm.langid import decoded
-from paperloom.llm.shared import keep, map_texts, unused
+from paperloom.llm.shared import keep, map_texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
@@ -187,17 +187,17 @@ def keep_good(docs: DataFrame, text_col: str = "text", least: float = 0.5) -> Da
     writes each row with its votes and whether it fails the base rule; the posterior of each pattern of votes then filters
     them.  Rows with a null text go, as they have no words; repeated rows share their fate; bytes that are not UTF-8 are
     replaced for the rules and stay in the rows; an empty table gives an empty result."""
-    pattern, failed = unused(docs.columns, "pattern"), unused(docs.columns, "base_failed")
+    at, names = docs.columns.index(text_col), [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measure(t) for t in decoded(batch.column(batch.schema.get_field_index(text_col)))]
+            rows = [measure(t) for t in decoded(batch.column(at))]
             marks = [pa.array([_pattern(cast) for _, cast in rows], pa.int64()), pa.array([base_failed(c[0], c[4]) for c, _ in rows], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *marks], [*batch.schema.names, pattern, failed])
-
-    marked = StructType([*docs.schema.fields, StructField(pattern, LongType()), StructField(failed, BooleanType())])
-    rows = keep(map_texts(docs, run, marked), "measured")
-    posterior = fit(rows.select(F.col(pattern).alias("pattern")))
-    good = [(p,) for p, value in posterior.items() if value >= least]
-    table = docs.sparkSession.createDataFrame(good or [(-1,)], f"`{pattern}` long")
-    return rows.where(~F.col(failed)).join(F.broadcast(table), pattern, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *marks], [*names, "pattern", "base_failed"])
+
+    marked = StructType([*plain.schema.fields, StructField("pattern", LongType()), StructField("base_failed", BooleanType())])
+    rows = keep(map_texts(plain, run, marked), "measured")
+    good = [(p,) for p, value in fit(rows.select("pattern")).items() if value >= least]
+    table = docs.sparkSession.createDataFrame(good or [(-1,)], "pattern long")
+    return rows.where("NOT base_failed").join(F.broadcast(table), "pattern", "left_semi").select(*names).toDF(*docs.columns)

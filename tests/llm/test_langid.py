@@ -65,6 +65,9 @@ def test_temperature_is_no_edge():
     z = np.array([[0.02, 0.0], [0.0, 0.03]] * 50)  # all right, by little: sharper is better but for the one row that counts as wrong
     assert 0.001 < L.best_temperature(z, np.array([0, 1] * 50)) < 0.02
     assert L.best_temperature(np.zeros((5, 1)), np.zeros(5, int)) == 1
+    tiny = L.best_temperature(z * 1e-8, np.array([0, 1] * 50))
+    assert tiny > np.exp(-24) and abs(tiny / L.best_temperature(z, np.array([0, 1] * 50)) - 1e-8) < 1e-9  # the grid is widened
+    assert L.best_temperature(z, np.array([1, 0] * 50)) > 1e3  # all wrong: no score means anything
     assert abs(L.least(np.linspace(0.5, 1, 100_000), 0.001) - 0.5005) < 1e-3 and L.least(np.full(9, 0.7), 0.001) < 0.7
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import langid, mixing, packing, quality, simhash
 from paperloom.llm.queries import byte_bpe, oracle_sql, queries
+from paperloom.llm.shared import keep
 
 D = "/root/testdata/sf0.001"
 
@@ -41,6 +42,43 @@ def test_run_gives_whole_documents(spark):
     assert all(tokens[r.doc_id] == r.doc_tokens for r in got)
 
 
+def odd_documents(spark):
+    """Documents with every oddity: nulls in each column, empty, very long and broken texts, repeats, and other columns whose
+    names the operators use inside."""
+    docs = spark.read.parquet(f"{D}/documents.parquet").where("length(text) > 300").limit(60)
+    odd = spark.sql("""SELECT * FROM VALUES (CAST(NULL AS BIGINT), 'a text without any id at all', 'en', 'src0'), (900001L, NULL, 'en', 'src0'), (900002L, '', NULL, NULL),
+      (900003L, ' \n\t ', 'de', ''), (900004L, '12 34 !? $$$', 'en', 'src1'), (900005L, 'x', 'xx', 'only here') AS t(doc_id, text, lang, source)""").withColumn("n_chars", F.length("text").cast("long"))
+    long = docs.limit(1).select(F.lit(900006).cast("long").alias("doc_id"), F.repeat(F.concat("text", F.lit(" ")), 300).alias("text"), "lang", "source", F.lit(None).cast("long").alias("n_chars"))
+    broken = docs.limit(1).select(F.lit(900007).cast("long").alias("doc_id"), F.concat(F.col("text").cast("binary"), F.unhex(F.lit("FF"))).cast("string").alias("text"), "lang", "source", "n_chars")
+    whole = docs.unionByName(docs.limit(20)).unionByName(odd).unionByName(long).unionByName(broken)
+    clashes = ("fp", "digest", "pattern", "base_failed", "kept_id", "__kept", "__rank", "__w", "mix", "tier", "vec", "a.b", "TEXT_2", "length")
+    return whole.select("*", *[F.lit(f"own {c}").alias(c) for c in clashes])
+
+
+def test_stages_take_every_oddity_and_empty_tables(spark):
+    whole = odd_documents(spark)
+    for rows in (whole, whole.limit(0), whole.where("text IS NULL")):
+        now = rows
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            got = stage(spark, now, D)
+            assert got.columns == rows.columns, name
+            got = keep(got, "odd")
+            found = got.select("doc_id", "`a.b`", "__rank", "fp").collect()
+            assert all(r["a.b"] == "own a.b" and r["__rank"] == "own __rank" and r.fp == "own fp" for r in found), name
+            now = got
+            if rows is whole:
+                ids = [r.doc_id for r in found]
+                assert ids and 900001 not in ids and 900002 not in ids and 900003 not in ids and 900004 not in ids
+                if name in ("language", "quality"):
+                    assert len(ids) > len(set(ids))  # repeated rows are rows like any other
+                if name == "near copies":
+                    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})
+            else:
+                assert not found
+        packed = corpus_pipeline.packed(spark, now, D).collect()
+        assert bool(packed) == (rows is whole)
+
+
 def test_sequences_follow_the_schedule(spark, tmp_path):
     n = 24_000
     text = F.concat(F.lit("word "), F.col("id").cast("string"), F.repeat(F.lit(" and more"), (F.col("id") % 90).cast("int")))
