@@ -1,4 +1,9 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+
+All stages take whole texts of any length, carry all columns that they are given, whatever their names, treat repeated rows as
+rows like any other unless they say so, and give an empty result for an empty table.  Bytes that are not UTF-8 are replaced for
+the decision and stay as they are in the rows.
+"""
 
 from __future__ import annotations
 
@@ -11,28 +16,33 @@ from paperloom.llm.tables import table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the classifier, trained on a bounded sample of them, rejects go."""
+    """Documents whose language the classifier, trained on a bounded sample of them, rejects go; so do null texts and texts
+    without a letter.  Null ids and null languages are never learned from, but are classified like any other."""
     return langid.keep_known(docs, langid.fit(docs))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules, or are probably bad by the weighed votes, go."""
+    """Documents that fail the base rules, or are probably bad by the weighed votes, go; so do null texts, as they have no
+    words.  Ids, languages and sources play no part."""
     return quality.keep_good(docs)
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-equal fingerprints, the document with the least id stays."""
+    """Of each component of near-equal fingerprints, the document with the least id stays, once, and of that id's texts the one
+    of least hash.  Documents without an id all stay."""
     return simhash.drop_near_copies(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, in the order in which their sources' blocks come; the part files are in that order."""
+    """All documents, in the order in which their sources' blocks come; the part files are in that order.  Null sources are one
+    source; documents of one source come by a hash of their ids, null ids first."""
     return mixing.in_mixed_order(mixing.mix(docs), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in windows of at most 2048 tokens, whose ids rise with the schedule of the mixture.  Readers deal
-    part files to tasks by length, so the schedule, which depends on the documents alone, is made again."""
+    part files to tasks by length, so the schedule, which depends on the documents alone, is made again.  A null text is the
+    end token alone; ids are only carried along."""
     columns = ["doc_id", "source", "text"]
     return packing.pack(mixing.in_mixed_order(mixing.mix(docs.select(*columns)), columns), *byte_bpe())
 
