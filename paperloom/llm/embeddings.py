@@ -20,6 +20,8 @@ from paperloom.llm.shared import keep
 BLOCK = 2048
 #: Rows of a block that are multiplied at a time: bounds a task's memory.
 TILE = 512
+#: Vectors that may meet in a bucket by chance: beyond that, comparing them costs more than the keys of one more hash.
+BY_CHANCE = 128
 #: What a pair at the least cosine may be missed with, in simulation.
 MISSED = 2e-4
 
@@ -36,13 +38,13 @@ class Hashing:
 
 
 def hashing_for(rows: int, dims: int, least: float = 0.9, seed: int = 7) -> Hashing:
-    """Hashing for so many distinct vectors.  A key joins as many hashes as it takes for the vectors that meet in a bucket by
-    chance to fill a block at most; probes double with each hash; and there are as many tables as leave a simulated pair at
+    """Hashing for so many distinct vectors.  A key joins as many hashes as it takes for at most BY_CHANCE vectors to meet in a
+    bucket by chance; probes double with each hash; and there are as many tables as leave a simulated pair at
     cosine ``least`` without a common key in MISSED of all cases.  So buckets stay small at any size, and the recall the same.
     Where a single table finds few pairs (few dimensions, low cosines), a hash less is joined."""
     size = 1 << max(1, (max(dims, 1) - 1).bit_length())
     hashes = 2
-    while hashes < 6 and rows * 2**hashes / (2 * size) ** hashes > BLOCK:
+    while hashes < 6 and rows * 2**hashes / (2 * size) ** hashes > BY_CHANCE:
         hashes += 1
     while True:
         one = Hashing(hashes, 2**hashes, 1, seed)
