@@ -72,19 +72,18 @@ def parse(text: str) -> TextQuery:
 def tokenised(df: DataFrame, key: str, columns: dict[str, Column], native: bool = False) -> DataFrame:
     """(key, fields: array of col and tokens): a row per document, the texts read once.  ``native`` splits with built-in
     functions, for text whose letters carry no combining marks to fold; otherwise an Arrow function folds diacritics."""
-    tokens = (lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")) if native else search_tokens_col
-    cols = [F.struct(F.lit(name).alias("col"), tokens(cjk_spaced(F.coalesce(c, F.lit("")))).alias("tokens")) for name, c in columns.items()]
+    tokens = (lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))) if native else search_tokens_col
+    # most texts have nothing to space: looking costs less than replacing
+    spaced = lambda c: F.when(c.rlike(f"[{CJK}]"), cjk_spaced(c)).otherwise(c)
+    cols = [F.struct(F.lit(name).alias("col"), tokens(spaced(F.coalesce(c, F.lit("")))).alias("tokens")) for name, c in columns.items()]
     return df.select(F.col(key), F.array(*cols).alias("fields"))
 
 
 def listed(found: DataFrame, key: str, terms: Sequence[str] | None = None) -> DataFrame:
     """(key, col, pos, term) of tokenised documents: one row per token or, with ``terms``, per token that is one of them; the
-    others are dropped within their array, before there are rows of them."""
-    each = found.select(F.col(key), F.explode("fields").alias("x"))
-    placed = F.transform("x.tokens", lambda t, i: F.struct(i.alias("pos"), t.alias("term")))
-    if terms is not None:
-        placed = F.filter(placed, lambda p: p.term.isin(*terms))
-    return each.select(key, "x.col", F.explode(placed).alias("p")).select(key, "col", "p.pos", "p.term")
+    others never leave the stage that reads them."""
+    each = found.select(F.col(key), F.explode("fields").alias("x")).select(key, "x.col", F.posexplode("x.tokens").alias("pos", "term"))
+    return each if terms is None else each.where(F.col("term").isin(*terms))
 
 
 def postings(df: DataFrame, key: str, columns: dict[str, Column], native: bool = False, terms: Sequence[str] | None = None) -> DataFrame:
@@ -105,7 +104,7 @@ def lengths(posts: DataFrame, key: str) -> DataFrame:
 
 def lengths_of(found: DataFrame, key: str) -> DataFrame:
     """The same of tokenised documents, of which each is one row: nothing is shuffled.  Documents without tokens are left out."""
-    n = F.aggregate("fields", F.lit(0).cast("long"), lambda a, x: a + F.size(x.tokens))
+    n = F.aggregate("fields", F.lit(0).cast("long"), lambda a, x: a + F.size(x.tokens))  # a step for each field
     return found.select(key, n.alias("tokens")).where("tokens > 0")
 
 

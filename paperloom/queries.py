@@ -320,9 +320,9 @@ def matching(spark: SparkSession, d: str, asked: search.TextQuery) -> DataFrame:
 
 
 def ranked(spark: SparkSession, d: str, asked: search.TextQuery) -> DataFrame:
-    """The texts are cut into tokens once; what is kept of them are a length for each document and the query's own postings."""
-    found = searched(spark, d)
-    return search.ranked(search.listed(found, "doc_id", asked.terms), "doc_id", asked, sizes=storage.keep(search.lengths_of(found, "doc_id"), "lengths"))
+    """The texts are cut into tokens once; the lengths of documents and the query's own postings come from these."""
+    found = storage.keep(searched(spark, d), "tokens")
+    return search.ranked(search.listed(found, "doc_id", asked.terms), "doc_id", asked, sizes=search.lengths_of(found, "doc_id"))
 
 
 TOKENS = r"""tok AS (SELECT doc_id, col, pos, term FROM (
