@@ -51,6 +51,30 @@ def test_adaptive_against_the_definition(spark):
         assert got == want and len(want) > 20
 
 
+def test_only_what_could_matter_is_scored():
+    """What is left out lies below what the best asks for, by the definition, and most is left out."""
+    import random
+    from functools import partial
+
+    from paperloom.functions import textudf as U
+
+    rnd, words = random.Random(5), [c * 3 + d for c in "abcdefgh" for d in "klmnop"]
+    title = " ".join(rnd.choices(words, k=20))
+    others = [" ".join(rnd.choices(words, k=rnd.randint(1, 40))) for _ in range(300)] + [title[:-4] + "x", title[4:], "", title]
+    for lowest in (0.5, 0.8):
+        got = U.leading_ratios(title, others, partial(L.floor_of, lowest=lowest))
+        least = L.floor_of(max(U.ratio(title, x) for x in others), lowest)
+        assert all(g == U.ratio(title, x) if g is not None else U.ratio(title, x) < least for g, x in zip(got, others))
+        assert sum(g is not None for g in got) < 10
+
+
+def test_every_hundredth_document_is_a_query(spark, small):
+    from paperloom.queries import QUERIES
+
+    found = [r.ident for r in QUERIES["resolve_cascade_full"](spark, small).select("ident").collect()]
+    assert found and all(i % 100 == 0 for i in found) and len(set(found)) == len(found)
+
+
 def test_a_block_of_any_size(spark):
     """One key for all queries and targets: rows are ranked per query, no block is gathered."""
     rows = [(i, f"title number {i:04} of the series", "k", None) for i in range(300)]
