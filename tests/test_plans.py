@@ -127,6 +127,17 @@ def test_sinks(spark, tmp_path):
     assert [r[0] for r in df.select(sinks.rendered(df, "# {t} ({id})", df.columns)).collect()] == ["# beta (1)", "#  (2)", "# alpha (3)"]
 
 
+def test_letters_of_titles_are_one_character_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from paperloom.queries import QUERIES, SQL
+
+    odd = ["ß und", "ŉ a", "ᾳ b", "ǆ", "ﬁ", "\u00a0x", "\nbody", " \nbody", "  ", "", None, "# head", "\tq", "é", "ÿ"]
+    spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.connect().execute(SQL["split_letter"].replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    assert dict(map(tuple, QUERIES["split_letter"](spark, str(tmp_path)).select("doc_id", "part").collect())) == dict(want)
+
+
 def test_facet_names_and_pages(spark):
     assert facets.facet_type("Templates") == "summary_template" and facets.facet_type("authors") == "author" and facets.facet_type("translations") == "translation_lang"
     with pytest.raises(ValueError):
