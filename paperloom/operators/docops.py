@@ -29,6 +29,7 @@ formula_errors_col = per_text("array<string>")(S.formula_errors)
 diagram_errors_col = per_text("array<string>")(S.diagram_errors)
 references_col = per_text("string")(M.fix_references)
 links_col = per_text("string")(M.fix_links)
+links_apart_col = per_text("string")(lambda t: M.fix_links(t, apart=True))
 paragraphs_col = per_text("string")(M.merge_paragraphs)
 pseudocode_col = per_text("string")(M.wrap_pseudocode)
 titles_col = per_text("string")(M.fix_titles)
@@ -46,8 +47,8 @@ identifier_col = per_text("boolean")(T.is_identifier)
 person_col = per_text("boolean")(T.is_person)
 
 
-def fixed_col(level: str = "moderate") -> Callable[[Column], Column]:
-    return per_text("string")(lambda t: M.fix_markdown(t, level))
+def fixed_col(level: str = "moderate", apart: bool = False) -> Callable[[Column], Column]:
+    return per_text("string")(lambda t: M.fix_markdown(t, level, apart))
 
 
 def segments_of(most: int) -> Callable[[Column], Column]:
@@ -131,7 +132,7 @@ def realigned_col(source: pd.Series, target: pd.Series) -> pd.Series:
     return pd.Series([None if s is None or t is None else T.realigned(s, T.typos_fixed(t, set(T.PLACEHOLDER.findall(s)))) if t.strip() else t for s, t in zip(source, target)], index=source.index, dtype=object)
 
 
-def translate(df: DataFrame, key: str, text: str, lang: str, call: Callable[[DataFrame], DataFrame], most: int = 4000, group: int = 8000, level: str = "moderate", rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+def translate(df: DataFrame, key: str, text: str, lang: str, call: Callable[[DataFrame], DataFrame], most: int = 4000, group: int = 8000, level: str = "moderate", rounds: int = 3, apart: bool = False) -> tuple[DataFrame, DataFrame]:
     """(documents with ``translated``, nodes that stayed untranslated).
 
     Fix, freeze, cut into nodes; ``call`` takes (key, ord, source) and returns (key, ord, target), and is asked again for
@@ -139,7 +140,7 @@ def translate(df: DataFrame, key: str, text: str, lang: str, call: Callable[[Dat
     """
     from paperloom.plans.storage import keep
 
-    ready = df.select(key, fixed_col(level)(F.coalesce(F.col(text), F.lit(""))).alias("fixed"))
+    ready = df.select(key, fixed_col(level, apart)(F.coalesce(F.col(text), F.lit(""))).alias("fixed"))
     frozen = keep(protected(ready, "fixed"))
     nodes = keep(exploded(frozen, key, segments_of(most)(F.col("protected"))))
     todo = nodes.where((F.col("kind") == "node") & ~placeholder_only_col("content")).select(key, "ord", F.col("content").alias("source"))

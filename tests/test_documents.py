@@ -193,3 +193,27 @@ def test_long_texts_split_at_ends(most):
     text = "One. Two, three; four! Five? " * 5
     parts = M.split_long(text, most)
     assert "".join(parts) == text and (most < 50 or all(len(p) <= most for p in parts))
+
+
+def test_numbers_that_share_a_mark():
+    assert M.fix_links("1-555-123-4567 1-555-123-4568 1-555-123-4569") == "<tel:1-555-123-4567> <tel:1-555-123-4568> <tel:1-555-123-4569>"
+    assert M.fix_links("1-555-123-4567 1-555-123-4568 1-555-123-4569", apart=True) == "<tel:1-555-123-4567> 1-555-123-4568 <tel:1-555-123-4569>"
+    assert M.fix_links("1-555-123-4567  1-555-123-4568", apart=True) == "<tel:1-555-123-4567>  <tel:1-555-123-4568>"
+
+
+ADDRESSED = ["fix_links"]
+
+
+@pytest.mark.parametrize("name", ADDRESSED)
+def test_neighbouring_addresses_as_in_sql(spark, tmp_path, name):
+    import duckdb
+
+    from paperloom import queries_docs  # noqa: F401
+    from paperloom.queries import QUERIES, SQL
+
+    tel, mail = "+1 (436) 555-1138", "ab.12@mail3.example.com"
+    texts = [f"of {tel} {tel} {tel} 4678592399679231 is", f"{tel}\n{tel}", f"{mail} {mail} {tel}. {tel}!", f"ße {tel} 4984250489669 {tel}", f"1{tel} {tel},{tel} and", "$$$ of$$$", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    want = duckdb.connect().execute(SQL[name].replace("documents", f"'{tmp_path}/documents.parquet/*.parquet'")).fetchall()
+    got = QUERIES[name](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
